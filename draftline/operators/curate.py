@@ -63,10 +63,11 @@ def hash_sample(df: DataFrame, key: str, rows: int = SAMPLE_ROWS, broadcast_rows
 def with_version_name(df: DataFrame, versions: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:
     """Left join to the version dimension; unknown versions get a NULL name."""
     dim = versions.select(F.col("id").alias(schema.version), F.col("name").alias(schema.version_name))
-    repeated = dim.groupBy(schema.version).count().filter("count > 1").select(schema.version).head(1)
-    if repeated:
-        raise ValueError(f"version dimension: id {repeated[0][0]} is not unique")
-    return df.join(broadcast_if_small(dim), schema.version, "left")
+    size = dim.groupBy(schema.version).agg(F.count("*").alias("n")).agg(F.max("n").alias("uses"), F.sum("n").alias("rows")).first()
+    if (size["uses"] or 0) > 1:
+        raise ValueError(f"version dimension: an id occurs {size['uses']} times")
+    small = (size["rows"] or 0) <= BROADCAST_ROWS
+    return df.join(F.broadcast(dim) if small else dim, schema.version, "left")
 
 
 def latest_eligible(raw: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:

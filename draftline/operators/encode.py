@@ -398,9 +398,13 @@ def prepare_features(
 
 
 def encoded_long(prepared: PreparedFeatures, keep: Sequence[str] | None = None) -> DataFrame:
-    """Non-zero cells as (key, feature, value)."""
+    """Non-zero cells as (key, feature, value).
+
+    Every row has entries, so the outer form drops nothing; the plain form would make the optimizer
+    add a test for empty arrays, which repeats the whole encoding below the shuffle.
+    """
     keep = list(keep) if keep is not None else [prepared.schema.key]
-    cells = prepared.frame.select(*keep, F.inline(prepared.encoder.getOrDefault(prepared.encoder.entriesCol)))
+    cells = prepared.frame.select(*keep, F.inline_outer(prepared.encoder.getOrDefault(prepared.encoder.entriesCol)))
     names = prepared.encoder.feature_table(prepared.frame)
     named = cells.join(F.broadcast(names) if len(prepared.feature_names) <= BROADCAST_ROWS else names, "index")
     return named.select(*keep, "feature", F.col("value").cast("int").alias("value"))
