@@ -158,7 +158,10 @@ def split_boundaries_shipdate(spark, folder):
 def known_versions(spark, folder):
     prepared = _prepared(spark, folder)
     known = keep_known(F.col(DRAFT.version), prepared.encoder.version_vocabulary)
-    return prepared.frame.select("match_id", known.alias("known_version"))
+    kept = prepared.frame.select("split", known.alias("known_version"))
+    return kept.groupBy("split").agg(
+        F.count("known_version").alias("kept"), F.count_if(F.col("known_version").isNull()).alias("nulled")
+    )
 
 
 # --- models ---------------------------------------------------------------------------------------
