@@ -87,6 +87,7 @@ def fit_logistic(
     )
     width = assembled.schema[_WITH_BIAS].metadata["ml_attr"]["num_attrs"]
     anchor = train.sparkSession.createDataFrame([(0.0, Vectors.sparse(width, [], []), float(rows))], assembled.schema)
+    anchor = anchor.coalesce(1)  # one row; each empty task would cost time in every iteration
     model = LogisticRegression(
         featuresCol=_WITH_BIAS,
         labelCol=label,
