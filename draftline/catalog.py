@@ -141,7 +141,7 @@ def order_breaks(spark, folder):
 
 def prefix_sums(spark, folder):
     lines = _table(spark, folder, "lineitem").groupBy("l_returnflag", "l_shipdate").agg(F.count("*").alias("n"))
-    return ranks.prefix_sums(lines, "l_shipdate", ["n"], ["l_returnflag"])
+    return ranks.prefix_sums(materialize(lines), "l_shipdate", ["n"], ["l_returnflag"])
 
 
 # --- splits ---------------------------------------------------------------------------------------

@@ -427,13 +427,14 @@ def unseen_picks(prepared: PreparedFeatures) -> DataFrame:
 
 def unseen_pick_summary(prepared: PreparedFeatures) -> DataFrame:
     """Unseen picks, IDs and affected matches per split; zero where there are none."""
-    s = prepared.schema
-    per_split = unseen_picks(prepared).groupBy(F.col(s.split).alias("split")).agg(
-        F.count("*").alias("unseen_picks"),
-        F.countDistinct(f"{s.item}_id").alias("unseen_hero_ids"),
-        F.countDistinct(s.key).alias("affected_matches"),
-    )
-    return all_splits(prepared.frame, per_split)
+    s, item = prepared.schema, f"{prepared.schema.item}_id"
+    unseen = unseen_picks(prepared).select(F.col(s.split).alias("split"), item, s.key)
+    # Two plain counts: one aggregate with two distincts would copy every row.
+    by_id = unseen.groupBy("split", item).agg(F.count("*").alias("n"))
+    by_match = unseen.groupBy("split", s.key).agg(F.count("*").alias("n"))
+    picks = by_id.groupBy("split").agg(F.sum("n").alias("unseen_picks"), F.count(item).alias("unseen_hero_ids"))
+    touched = by_match.groupBy("split").agg(F.count(s.key).alias("affected_matches"))
+    return all_splits(prepared.frame, picks.join(touched, "split"))  # three rows per side
 
 
 def unseen_pick_catalog(prepared: PreparedFeatures, chronological: bool = False) -> DataFrame:

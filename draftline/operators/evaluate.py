@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import predicted_class, split_rank
-from ..schema import DRAFT, DraftSchema
+from ..schema import DRAFT
+from ..sources.storage import materialize
 from .ranks import prefix_sums
 
 GROUPS = ("model", "split")
@@ -38,9 +39,10 @@ def _log_loss(score: Column) -> Column:
 def metrics(scored: DataFrame, groups: Sequence[str] = GROUPS, score: str = "probability", label: str = "label") -> DataFrame:
     """Rows, accuracy at 0.5, exact ROC-AUC with half credit for ties, and log loss per group.
 
-    AUC is NULL where a group has one class only.
+    AUC is NULL where a group has one class only. The rows are scored once: their counts are
+    stored, as ranking reads them several times.
     """
-    ranked = prefix_sums(score_counts(scored, groups, score, label), score, ["neg"], groups)
+    ranked = prefix_sums(materialize(score_counts(scored, groups, score, label)), score, ["neg"], groups)
     p, pos, neg = F.col(score), F.col("pos"), F.col("neg")
     right = F.when(predicted_class(p) == 1, pos).otherwise(neg)
     won = pos * (F.col("cum_neg") - neg / F.lit(2.0))  # negatives below, plus half of the tied ones
@@ -73,10 +75,13 @@ def roc_points(scored: DataFrame, groups: Sequence[str] = (), score: str = "prob
 
     Points on a straight line are kept; the (0, 0) row has an infinite threshold.
     """
-    counts = score_counts(scored, groups, score, label)
+    counts = materialize(score_counts(scored, groups, score, label))
     ranked = prefix_sums(counts, score, ["pos", "neg"], groups, descending=True)
     sizes = counts.groupBy(*groups).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
-    joined = ranked.join(F.broadcast(sizes), list(groups)) if groups else ranked.crossJoin(F.broadcast(sizes))
+    if groups:
+        joined = ranked.join(F.broadcast(sizes), list(groups))  # one row per group
+    else:
+        joined = ranked.withColumns({c: sizes.select(c).scalar() for c in ("_pos", "_neg")})
     points = joined.select(
         *groups,
         F.col(score).alias("threshold"),

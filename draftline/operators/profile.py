@@ -107,8 +107,8 @@ def metadata_record(
             F.date_format("max_time", stamp).alias("raw_date_max"),
         ).alias("source")
     )
-    content = fingerprint(sample).select(F.col("hash_sum").alias("content_hash"))
-    summary = sample_summary(sample, schema).crossJoin(F.broadcast(content)).select(
+    content = fingerprint(sample).select("hash_sum")
+    summary = sample_summary(sample, schema).withColumn("content_hash", content.scalar()).select(
         F.struct(
             F.lit(requested_rows).cast("bigint").alias("requested_rows"),
             F.col("row_count").alias("actual_rows"),
@@ -126,4 +126,4 @@ def metadata_record(
         F.lit(f"first {requested_rows} keys in MD5 order").alias("sampling"),
         F.lit(f"{schema.time}, then {schema.key}").alias("output_order"),
     )
-    return source.crossJoin(F.broadcast(summary)).withColumn("selection", rules)
+    return source.withColumn("sample", summary.scalar()).withColumn("selection", rules)

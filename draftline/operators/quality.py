@@ -79,7 +79,7 @@ def dataset_facts(df: DataFrame, sequence: str, within: Sequence[str] = (), sche
     ).withColumn("columns", F.lit(len(columns)))
     keys = repeated_keys(df.select(schema.key), schema.key)
     order = order_breaks(df.select(*{schema.time: 0, sequence: 0, **dict.fromkeys(within, 0)}), schema.time, sequence, within)
-    return per_row.crossJoin(F.broadcast(keys)).crossJoin(F.broadcast(order))  # one row each
+    return per_row.withColumns({"repeated_keys": keys.scalar(), "breaks": order.scalar()})
 
 
 def dataset_checks(

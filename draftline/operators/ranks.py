@@ -7,6 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..sources.storage import materialize
+
+_SAMPLE_PER_BUCKET = 100
+
 
 def _as_number(df: DataFrame, key: str) -> Column:
     """A double that never decreases when the key increases."""
@@ -25,20 +29,23 @@ def _as_number(df: DataFrame, key: str) -> Column:
 def with_range_bucket(df: DataFrame, key: str, bucket: str = "_bucket", buckets: int | None = None) -> DataFrame:
     """Add a range number that rises with the key and holds about equally many rows each.
 
-    Limits come from one quantile pass and become constants of the plan, so a lost task that is
-    run again puts every row in the same range. Equal keys always share a range. NULL keys come last.
+    Limits are quantiles of a small random sample; they decide how even the ranges are, never
+    which rows are in the result. They become constants of the plan, so a lost task that is run
+    again puts every row in the same range. Equal keys always share a range. NULL keys come last.
     """
     if buckets is None:
         buckets = 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cuts = [i / buckets for i in range(1, buckets)]
     number = df.withColumn("_number", _as_number(df, key))
-    accuracy = F.lit(max(10_000, 20 * buckets))
-    limits = number.agg(F.percentile_approx("_number", F.array(*[F.lit(c) for c in cuts]), accuracy)).first()[0]
-    splits = [float("-inf"), *sorted(set(limits or [])), float("inf")]
-    if len(splits) == 2:
-        splits.insert(1, 0.0)
+    limits = None
+    if cuts:
+        wanted, rows = _SAMPLE_PER_BUCKET * buckets, df.count()
+        drawn = number.select("_number").sample(wanted / rows, seed=0) if rows > wanted else number
+        quantiles = F.percentile_approx("_number", F.array(*[F.lit(c) for c in cuts]), F.lit(max(10_000, 20 * buckets)))
+        limits = drawn.agg(quantiles).first()[0]
+    splits = [float("-inf"), *sorted(set(limits or [0.0])), float("inf")]
     ranged = Bucketizer(splits=splits, inputCol="_number", outputCol=bucket, handleInvalid="keep").transform(number)
-    return ranged.withColumn(bucket, F.col(bucket).cast("int")).drop("_number")
+    return ranged.withColumn(bucket, F.coalesce(F.col(bucket).cast("int"), F.lit(len(splits)))).drop("_number")
 
 
 def prefix_sums(
@@ -52,7 +59,8 @@ def prefix_sums(
     """Running totals `cum_<measure>` by key inside each group. Keys must be unique per group.
 
     Rows are summed inside key ranges in parallel; a table of one row per group and range then
-    gives each range its starting value. The groups must be few, as splits or models are.
+    gives each range its starting value. The groups must be few, as splits or models are. The
+    table is read several times, so pass one that is stored.
     """
     ranged = with_range_bucket(df, key, buckets=buckets)
 
@@ -61,12 +69,17 @@ def prefix_sums(
 
     earlier = Window.partitionBy(*groups).orderBy(way("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*groups, "_bucket").agg(*[F.sum(m).alias(f"_sum_{m}") for m in measures])
+    by = [*groups, "_bucket"]
     starts = totals.select(
-        *groups, "_bucket", *[F.coalesce(F.sum(f"_sum_{m}").over(earlier), F.lit(0)).alias(f"_start_{m}") for m in measures]
+        *[F.col(c).alias(f"_on_{c}") for c in by],
+        *[F.coalesce(F.sum(f"_sum_{m}").over(earlier), F.lit(0)).alias(f"_start_{m}") for m in measures],
     )
-    inside = Window.partitionBy(*groups, "_bucket").orderBy(way(key)).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*by).orderBy(way(key)).rowsBetween(Window.unboundedPreceding, 0)
     running = ranged.withColumns({f"_run_{m}": F.sum(m).over(inside) for m in measures})
-    joined = running.join(starts, [*groups, "_bucket"])
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    joined = running.join(F.broadcast(starts), same)  # groups times ranges rows
     return joined.select(
         *df.columns, *[(F.col(f"_start_{m}") + F.col(f"_run_{m}")).alias(f"cum_{m}") for m in measures]
     )
@@ -75,13 +88,13 @@ def prefix_sums(
 def order_statistics(df: DataFrame, column: str, fractions: Mapping[str, float]) -> DataFrame:
     """Exact order statistics, one row: for each name, the k-th smallest value, k = int(n * fraction).
 
-    n counts every row; k = 0 gives the largest value. Only distinct values with their counts are
-    shuffled, so a value that fills a third of the table is one row.
+    n counts every row; k = 0 gives the largest value. The table is scanned once: its different
+    values with their counts are stored and ranked, so a value that fills a third of the table is
+    one row.
     """
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n"))
-    ranked = prefix_sums(counts, column, ["n"])
-    size = df.agg(F.count("*").alias("_rows"))
-    ranked = ranked.crossJoin(F.broadcast(size))  # one row
+    counts = materialize(df.groupBy(column).agg(F.count("*").alias("n")))
+    ranked = prefix_sums(counts.filter(F.col(column).isNotNull()), column, ["n"])
+    ranked = ranked.withColumn("_rows", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar())
 
     def pick(fraction: float) -> Column:
         k = F.floor(F.col("_rows").cast("double") * F.lit(fraction))

@@ -59,9 +59,9 @@ def split_boundaries(
 
 
 def with_total_share(counts: DataFrame, part: str, total: DataFrame | None = None, name: str = "share") -> DataFrame:
-    """Add a count's share of the table: of its own total, or of a one-row `_total`."""
-    whole = total if total is not None else counts.agg(F.sum(part).alias("_total"))
-    return counts.crossJoin(F.broadcast(whole)).withColumn(name, share(F.col(part), F.col("_total"))).drop("_total")
+    """Add a count's share of the table: of its own total, or of a given one-cell table."""
+    whole = total if total is not None else counts.agg(F.sum(part))
+    return counts.withColumn(name, share(F.col(part), whole.scalar()))
 
 
 def split_summary(df: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:

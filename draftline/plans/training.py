@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from ..operators.encode import prepare_features
 from ..operators.models import BaselineRun, ordered_metrics, train_baselines
 from ..schema import DRAFT, TRAIN_CUTOFF, VALIDATION_CUTOFF, DraftSchema
-from ..sources import read_curated, require_sources, write_metrics
+from ..sources import materialize, read_curated, require_sources, write_metrics
 
 
 def run_training(
@@ -23,7 +23,8 @@ def run_training(
 ) -> BaselineRun:
     """Read, prepare, train, evaluate; save the metrics if a path is given."""
     require_sources(spark, [path])
-    frame = read_curated(spark, path, schema)
+    # Training reads the table many times; text is parsed once and kept in the shared folder.
+    frame = materialize(read_curated(spark, path, schema))
     run = train_baselines(prepare_features(frame, train_cutoff, validation_cutoff, schema), evaluate_test)
     if metrics_path is not None:
         write_metrics(ordered_metrics(run).coalesce(1), metrics_path)  # six rows at most
