@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .functions import keep_known, outcome
 from .operators import curate as cur, encode as enc, evaluate as ev, explore as ex, models as mod
 from .operators import profile as prof, quality as q, ranks, roles, split as sp
-from .sources import materialize
+from .sources import materialize, stored_once
 from .schema import DRAFT
 from .sources.match_view import VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, match_view, version_view
 
@@ -28,11 +28,16 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), _ROUND) for c in columns})
 
 
-def _matches(spark: SparkSession, folder: str) -> DataFrame:
+def _curated(spark: SparkSession, folder: str) -> DataFrame:
     """All curated matches, no sampling, no order."""
     return cur.curate(match_view(spark, folder), version_view(spark, folder), rows=None, ordered=False)
 
 
+def _matches(spark: SparkSession, folder: str) -> DataFrame:
+    """The curated table as analysis reads it: stored once, by the curation above."""
+    return stored_once(spark, folder, "matches", lambda: _curated(spark, folder))
+
+
 def _prepared(spark: SparkSession, folder: str) -> enc.PreparedFeatures:
     return enc.encode_with_train_vocabulary(_matches(spark, folder), VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF)
 
@@ -70,8 +75,8 @@ def _run(spark: SparkSession, folder: str) -> mod.BaselineRun:
     """One training run per session and folder, shared by the queries that report on it."""
     key = (spark.sparkContext.applicationId, folder)
     if key not in _runs:
-        matches = materialize(_matches(spark, folder))
-        _runs[key] = mod.train_baselines(enc.prepare_features(matches, VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF))
+        prepared = enc.prepare_features(_matches(spark, folder), VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF)
+        _runs[key] = mod.train_baselines(prepared)
     return _runs[key]
 
 
@@ -192,7 +197,7 @@ QUERIES: dict[str, Query] = {
     # curation
     "curated_sample": curated_sample,
     "curated_small_sample": partial(curated_sample, rows=2000),
-    "curated_all": _matches,
+    "curated_all": _curated,
     "keep_latest_matches": keep_latest_matches,
     "keep_latest_events": keep_latest_events,
     "hash_sample": hash_sample_orders,
@@ -207,6 +212,7 @@ QUERIES: dict[str, Query] = {
     "role_summary": _with(lambda s, f: prof.column_inventory(match_view(s, f)), roles.role_summary),
     "dtype_summary": _with(_matches, prof.dtype_summary),
     "missing_cells": _with(_view, prof.missing_cells),
+    "missing_cells_curated": _with(_matches, prof.missing_cells),
     "repeated_keys": _with(_view, prof.repeated_keys, key=DRAFT.key),
     "repeated_keys_events": _with(_from("events"), prof.repeated_keys, key="user_id"),
     "overview": _with(_matches, prof.overview),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import eligible, key_hash, outcome
 from ..schema import DRAFT, SAMPLE_ROWS, DraftSchema
+from ..sources.storage import materialize
 
 # Largest key set or dimension that is sent to every executor.
 BROADCAST_ROWS = 100_000
@@ -29,33 +30,51 @@ def keep_latest(df: DataFrame, keys: Sequence[str], newest_first: Sequence[str])
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
+def _nearest_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Stored distinct keys that surely hold the first `rows` in hash order, and not many more.
+
+    A sketch estimates the number of keys, which gives the share of the hash range to look at.
+    Only keys in that part are shuffled. If they turn out to be too few, the part is doubled, up
+    to all keys, so the estimate affects the cost but never the result.
+    """
+    keys = df.select(key).filter(F.col(key).isNotNull())
+    estimate = keys.agg(F.approx_count_distinct(key)).first()[0]
+    part = 1.3 * rows / estimate if estimate else 1.0
+    place = F.conv(F.substring(key_hash(key), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    while True:
+        near = keys.filter(place < part) if part < 1.0 else keys
+        found = materialize(near.distinct())
+        if part >= 1.0 or found.count() >= rows:
+            return found.withColumn("_hash", key_hash(key))
+        part *= 2.0
+
+
 def _sampled_keys(df: DataFrame, key: str, rows: int, broadcast_rows: int) -> DataFrame:
-    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    near = _nearest_keys(df, key, rows)
     order: list[Column] = [F.col("_hash"), F.col(key)]
     if rows <= broadcast_rows:
-        # A bounded top-n: every task keeps n rows, and no key is sorted globally.
-        hashed = keys.withColumn("_hash", key_hash(key))
-        return F.broadcast(hashed.orderBy(*order).limit(rows).select(key))
-
-    # Large samples: MD5 is uniform, so its first 20 bits cut the keys into even buckets. Whole
-    # buckets below the limit are taken; only the bucket holding the limit is ordered.
-    buckets = 1 << 20
-    bucket = F.conv(F.substring("_hash", 1, 5), 16, 10).cast("int")
-    hashed = keys.withColumn("_hash", key_hash(key)).withColumn("_bucket", bucket)
-    counts = hashed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+        return F.broadcast(near.orderBy(*order).limit(rows).select(key))
+
+    # Large samples: the first 20 bits cut the keys into even buckets. Whole buckets below the
+    # limit are taken; only the bucket holding the limit is ordered.
+    bucketed = near.withColumn("_bucket", F.conv(F.substring("_hash", 1, 5), 16, 10).cast("int"))
+    counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**20 rows
     ends = counts.withColumn("_end", F.sum("_n").over(running))
-    edge = ends.filter(F.col("_end") > rows).orderBy("_bucket").select("_bucket", rows - F.col("_end") + F.col("_n")).first()
-    edge_bucket, edge_rows = edge if edge else (buckets, 0)
-    below = hashed.filter(F.col("_bucket") < edge_bucket)
-    at_edge = hashed.filter(F.col("_bucket") == edge_bucket).orderBy(*order).limit(edge_rows)
+    inside = (rows - F.col("_end") + F.col("_n")).alias("inside")
+    edge = ends.filter(F.col("_end") > rows).orderBy("_bucket").select("_bucket", inside).first()
+    if edge is None:
+        return near.select(key)
+    below = bucketed.filter(F.col("_bucket") < edge["_bucket"])
+    at_edge = bucketed.filter(F.col("_bucket") == edge["_bucket"]).orderBy(*order).limit(edge["inside"])
     return below.unionByName(at_edge).select(key)
 
 
 def hash_sample(df: DataFrame, key: str, rows: int = SAMPLE_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """All rows of the first `rows` distinct keys in MD5 order; the same keys on every run.
 
-    Only keys are shuffled to find the sample; the wide rows are then filtered in place.
+    Little more than the sampled keys is shuffled to find them; the wide rows are then filtered
+    in place.
     """
     return df.join(_sampled_keys(df, key, rows, broadcast_rows), key, "left_semi")
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import item_of_feature
 from ..schema import DRAFT, SPLITS, DraftSchema
+from ..sources.storage import materialize
 from .curate import broadcast_if_small
 from .encode import PreparedFeatures
 from .evaluate import metrics, rounded
@@ -234,12 +235,23 @@ def coefficient_table(run: BaselineRun) -> DataFrame:
 
 
 def item_names(df: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:
-    """One name per ID: the first in side, slot and row order."""
+    """One name per ID: the first in side, slot and row order.
+
+    Order matters only for IDs with several names. They are found by a plain distinct, and only
+    their picks are compared; the others need no sorting.
+    """
     item, name = f"{schema.item}_id", f"{schema.item}_name"
+    long = picks_long(df, [schema.key, schema.time], schema)
+    per_item = long.select(item, name).distinct().groupBy(item).agg(F.count("*").alias("names"), F.max(name).alias(name))
+    per_item = materialize(per_item)  # one row per ID
+    clear = per_item.filter("names = 1").select(item, name)
+    several = per_item.filter("names > 1").select(item)
+    if several.isEmpty():
+        return clear
     side = F.when(F.col("side") == schema.sides[0].title(), 0).otherwise(1)
     order = F.struct(side.alias("side"), F.col("slot"), F.col(schema.time), F.col(schema.key))
-    long = picks_long(df, [schema.key, schema.time], schema)
-    return long.groupBy(item).agg(F.min_by(name, order).alias(name))
+    compared = long.join(broadcast_if_small(several), long[item].eqNullSafe(several[item]), "left_semi")
+    return clear.unionByName(compared.groupBy(item).agg(F.min_by(name, order).alias(name)))
 
 
 def item_coefficients(run: BaselineRun) -> DataFrame:

@@ -299,6 +299,9 @@ ORACLE_SQL: dict[str, str] = {
     "missing_cells": _view(
         f"SELECT CAST(sum(null_count) AS BIGINT) AS missing_cells FROM ({_nulls('match_view', _VIEW_COLUMNS, percent=False)})"
     ),
+    "missing_cells_curated": _m(
+        f"SELECT CAST(sum(null_count) AS BIGINT) AS missing_cells FROM ({_nulls('matches', DRAFT.curated_columns(), percent=False)})"
+    ),
     "dtype_summary": _m(
         'SELECT "column", CASE WHEN "column" = \'radiant_win\' THEN \'boolean\' '
         f"WHEN \"column\" = '{_TIME}' THEN 'timestamp_ntz' WHEN \"column\" = 'game_version_id' THEN 'int' "

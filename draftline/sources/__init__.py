@@ -1,7 +1,7 @@
 """Sources and sinks."""
 
 from .readers import FILE_POSITION, read_curated, read_matches, read_versions, require_sources, with_file_position
-from .storage import checkpoint_folder, materialize
+from .storage import checkpoint_folder, materialize, stored_once
 from .writers import write_csv, write_inventory, write_metadata, write_metrics
 
 __all__ = [
@@ -12,6 +12,7 @@ __all__ = [
     "read_matches",
     "read_versions",
     "require_sources",
+    "stored_once",
     "with_file_position",
     "write_csv",
     "write_inventory",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .storage import checkpoint_folder
+from .storage import stored_once
 
 _STEPS = range(10)
 _SIGNAL = " ".join(f"{'+' if i < 5 else '-'} (h{i} * 37 % 101 - 50)" for i in _STEPS)
@@ -66,27 +66,14 @@ VIEW_TRAIN_CUTOFF = "1999-08-29 00:00:00"
 VIEW_VALIDATION_CUTOFF = "2000-08-09 00:00:00"
 
 
-_stored: dict[tuple[str, str, str], str] = {}
-
-
-def _stored_view(spark: SparkSession, folder: str, name: str, ctes: str) -> DataFrame:
-    """The view as a Parquet table in the checkpoint folder, written once per session and input.
+def match_view(spark: SparkSession, folder: str) -> DataFrame:
+    """The view, stored as a Parquet table as raw matches are in practice."""
 
-    Matches come as a Parquet file in practice; stored like that, the queries on them get column
-    pruning and filter pushdown instead of replanning the derivation each time.
-    """
-    key = (spark.sparkContext.applicationId, folder, name)
-    if key not in _stored:
+    def derive() -> DataFrame:
         orders = spark.read.parquet(f"{folder}/orders.parquet")
-        text = ctes.replace("FROM orders", "FROM {orders}")
-        path = f"{checkpoint_folder(spark)}/draftline-{key[0]}-{len(_stored)}-{name}"
-        spark.sql(f"WITH {text} SELECT * FROM {name}", orders=orders).write.mode("overwrite").parquet(path)
-        _stored[key] = path
-    return spark.read.parquet(_stored[key])
+        return spark.sql(f"WITH {MATCH_VIEW_CTES.replace('FROM orders', 'FROM {orders}')} SELECT * FROM match_view", orders=orders)
 
-
-def match_view(spark: SparkSession, folder: str) -> DataFrame:
-    return _stored_view(spark, folder, "match_view", MATCH_VIEW_CTES)
+    return stored_once(spark, folder, "match_view", derive)
 
 
 def version_view(spark: SparkSession, folder: str) -> DataFrame:

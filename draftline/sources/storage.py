@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -23,6 +25,22 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+_stored: dict[tuple[str, str, str], str] = {}
+
+
+def stored_once(spark: SparkSession, source: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A derived table as Parquet in the checkpoint folder, written once per session and source.
+
+    Reading it back gives column pruning and filter pushdown, and nothing is derived twice.
+    """
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _stored:
+        path = f"{checkpoint_folder(spark)}/draftline-{key[0]}-{len(_stored)}-{name}"
+        build().write.mode("overwrite").parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute once, store in the shared folder and forget the lineage; survives lost executors."""
     checkpoint_folder(df.sparkSession)
