@@ -28,6 +28,9 @@ from .split import split_counts
 PRIOR = "Dummy prior"
 LOGISTIC = "Logistic regression"
 
+ROWS_PER_TASK = 250_000
+SMALL_TRAINING_ROWS = 2_000_000
+
 _BIAS, _WITH_BIAS, _WEIGHT = "_bias", "_features_and_bias", "_weight"
 
 
@@ -86,6 +89,10 @@ def fit_logistic(
     assembled = assemble.transform(with_bias.transform(train.select(*cells))).select(
         label, _WITH_BIAS, F.lit(1.0).alias(_WEIGHT)
     )
+    if rows <= SMALL_TRAINING_ROWS:
+        # Every iteration is a job: on a small table its tasks cost more than their work. The small
+        # shuffle also keeps the encoded rows for Spark ML's second pass over its input.
+        assembled = assembled.repartition(1 + rows // ROWS_PER_TASK)
     width = assembled.schema[_WITH_BIAS].metadata["ml_attr"]["num_attrs"]
     anchor = train.sparkSession.createDataFrame([(0.0, Vectors.sparse(width, [], []), float(rows))], assembled.schema)
     anchor = anchor.coalesce(1)  # one row; each empty task would cost time in every iteration
