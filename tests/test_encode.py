@@ -54,6 +54,7 @@ def test_random_drafts_equal_brute_force(spark, monkeypatch, span):
         match(100 + k, "2023-01-01", radiant=rng.choices(range(1, 60), k=5), dire=rng.choices(range(1, 60), k=5), version=rng.choice([1, 3, 9, None]))
         for k in range(60)
     ]
+    later.append(match(200, "2023-01-01", radiant=(2**62, -(2**62), 1, 2, 3), dire=(0, -1, 21, 22, 23), version=2**30))
     model = DraftEncoder().fit(matches(spark, train))
     known, versions = set(model.item_vocabulary), set(model.version_vocabulary)
     got = cells(model, matches(spark, later))
