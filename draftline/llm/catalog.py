@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from ..sources.storage import checkpoint_folder
+from .common import store, table
 from .oracle import ORACLE_SQL as ORACLE_SQL
+from .packing import cut_pieces, pack
 from .quality_rules import apply_rules
+from .token_files import encode_documents, read_tokens, with_crc, write_tokens
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return apply_rules(table(spark, folder, "documents"))
 
 
+def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{checkpoint_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    write_tokens(encode_documents(table(spark, folder, "documents"), tokenizer, end_id=2), path)
+    return with_crc(read_tokens(spark, path))
+
+
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    pieces = cut_pieces(table(spark, folder, "documents"), tokenizer, end_id=0, with_ids=False)
+    return pack(store(pieces, "pieces"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op6_token_files": op6_token_files,
+    "op10_packing": op10_packing,
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -13,7 +15,16 @@ from ..sources.storage import checkpoint_folder
 SPACES = r"[\x20\x09-\x0D]+"
 
 
+def findable(spark: SparkSession) -> None:
+    """Let Python workers that start in another folder import this package from where it is installed."""
+    root = str(Path(__file__).resolve().parents[2])
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in paths.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    findable(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
