@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.storage import checkpoint_folder
 from .common import store, table
+from .language import predict, train
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import cut_pieces, pack
 from .quality_rules import apply_rules
+from .simhash import near_duplicates
 from .token_files import encode_documents, read_tokens, with_crc, write_tokens
 
 
@@ -27,6 +29,15 @@ def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return with_crc(read_tokens(spark, path))
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return predict(docs, train(docs))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     pieces = cut_pieces(table(spark, folder, "documents"), tokenizer, end_id=0, with_ids=False)
@@ -36,5 +47,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op6_token_files": op6_token_files,
+    "op7_simhash": op7_simhash,
+    "op8_language_id": op8_language_id,
     "op10_packing": op10_packing,
 }
