@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.storage import checkpoint_folder
 from .common import store, table
+from .html_text import extract
 from .language import predict, train
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import cut_pieces, pack
@@ -22,6 +23,10 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return apply_rules(table(spark, folder, "documents"))
 
 
+def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -46,6 +51,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_html_text": op3_html_text,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
