@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.storage import checkpoint_folder
 from .common import store, table
@@ -16,6 +16,7 @@ from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import cut_pieces, pack
 from .quality_rules import apply_rules
 from .simhash import near_duplicates
+from .suffix_dedup import remove_repeats
 from .token_files import encode_documents, read_tokens, with_crc, write_tokens
 
 
@@ -27,6 +28,11 @@ def op3_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return extract(table(spark, folder, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -52,6 +58,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_html_text": op3_html_text,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
