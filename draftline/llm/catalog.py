@@ -12,6 +12,7 @@ from ..sources.storage import checkpoint_folder
 from .common import store, table
 from .html_text import extract
 from .language import predict, train
+from .neighbours import search
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import cut_pieces, pack
 from .quality_rules import apply_rules
@@ -49,6 +50,10 @@ def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return predict(docs, train(docs))
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return search(table(spark, folder, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     pieces = cut_pieces(table(spark, folder, "documents"), tokenizer, end_id=0, with_ids=False)
@@ -62,5 +67,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,
+    "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
 }
