@@ -12,6 +12,7 @@ from ..sources.storage import checkpoint_folder
 from .common import store, table
 from .html_text import extract
 from .language import predict, train
+from .mixing import taken
 from .neighbours import search
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import cut_pieces, pack
@@ -34,6 +35,10 @@ def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return taken(table(spark, folder, "documents"))
+
+
 def op6_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{checkpoint_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_html_text": op3_html_text,
     "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_mixing": op5_mixing,
     "op6_token_files": op6_token_files,
     "op7_simhash": op7_simhash,
     "op8_language_id": op8_language_id,

@@ -67,4 +67,37 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM m LEFT JOIN l ON m.lang IS NOT DISTINCT FROM l.lang AND m.source IS NOT DISTINCT FROM l.source
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _QUALITY}
+_MIXING = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix|' || coalesce(doc_id::VARCHAR, '')) AS perm
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::HUGEINT AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS position
+  FROM sized GROUP BY source
+), weighted AS (
+  SELECT *, CASE position % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM sources
+), filled AS (
+  SELECT *, row_number() OVER f AS turn, sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open_w,
+         3 * sum(s) OVER () - 4 * coalesce(sum(s) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left2
+  FROM weighted WINDOW f AS (ORDER BY 2 * s / w, position)
+), level AS (
+  SELECT turn, left2, open_w FROM filled WHERE 4 * s * open_w >= left2 * w ORDER BY turn LIMIT 1
+), target AS (
+  SELECT f.source, f.s, CASE WHEN l.turn IS NULL OR f.turn < l.turn THEN (2 * f.s)::DOUBLE
+                             ELSE (l.left2 * f.w)::DOUBLE / (2 * l.open_w)::DOUBLE END AS target
+  FROM filled f LEFT JOIN level l ON TRUE
+), ranked AS (
+  SELECT d.doc_id, d.size, t.s AS source_size, t.target,
+         CASE WHEN t.s > 0 THEN floor(t.target / t.s) ELSE 0 END AS rounds,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.perm, d.doc_id, d.size
+                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM sized d JOIN target t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target,
+       (size * (rounds + CASE WHEN target - rounds * source_size > 0
+                               AND 2 * before + size <= 2 * (target - rounds * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM ranked
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": _QUALITY, "op5_mixing": _MIXING}
