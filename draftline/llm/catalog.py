@@ -19,9 +19,14 @@ from .packing import cut_pieces, pack
 from .quality_rules import apply_rules
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
+from .token_counts import token_counts
 from .token_files import encode_documents, read_tokens, with_crc, write_tokens
 
 
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return apply_rules(table(spark, folder, "documents"))
 
@@ -66,6 +71,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
     "op3_html_text": op3_html_text,
     "op4_suffix_dedup": op4_suffix_dedup,
