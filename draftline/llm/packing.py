@@ -19,7 +19,6 @@ def cut_pieces(
     A text's ids end with `end_id`; NULL and empty texts have that id alone. Only longer documents are
     cut; all pieces but the first are full. Repeated rows give repeated pieces; other columns are ignored.
     """
-    end = end_id.to_bytes(4, "little")
     names = [id_column, *[x.split()[0] for x in _PIECE.split(", ")]]
     if not with_ids:
         names.remove("ids")
@@ -33,30 +32,29 @@ def cut_pieces(
         ids_of = encoder(tokenizer)
 
         def one(batch):
-            rows, values = {n: [] for n in names}, []
-            for key, ids in zip(batch.column(0).to_pylist(), ids_of.encode(batch.column(1).to_pylist())):
-                ids, at, piece = ids + end, 0, 0
-                n = len(ids) // 4
-                while at < n:
-                    size = (n - 1) % capacity + 1 if piece == 0 else capacity
-                    part = ids[4 * at : 4 * (at + size)]
-                    for name, value in zip((id_column, "piece", "start", "length"), (key, piece, at, size)):
-                        rows[name].append(value)
-                    rows["ids_crc32"].append(zlib.crc32(part))
-                    values.append(part)
-                    at, piece = at + size, piece + 1
+            ids, at = ids_of.encode(batch.column(1), end_id)
+            sizes = np.diff(at)
+            n = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), n)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            first = (sizes - 1) % capacity + 1
+            start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+            length = np.where(piece == 0, first[row], capacity)
+            begin = at[row] + start
+            crc = [zlib.crc32(ids[a:b].data) for a, b in zip(begin.tolist(), (begin + length).tolist())]
             arrays = {
-                id_column: pa.array(rows[id_column], batch.column(0).type),
-                "piece": pa.array(rows["piece"], pa.int32()),
-                **{n: pa.array(rows[n], pa.int64()) for n in ("start", "length", "ids_crc32")},
+                id_column: batch.column(0).take(pa.array(row)),
+                "piece": pa.array(piece, pa.int32()),
+                "start": pa.array(start),
+                "length": pa.array(length),
+                "ids_crc32": pa.array(crc, pa.int64()),
             }
-            if with_ids:
-                flat = pa.array(np.frombuffer(b"".join(values), dtype="<u4").astype(np.int32))
-                ends = np.concatenate([[0], np.cumsum(rows["length"])]).astype(np.int32)
-                arrays["ids"] = pa.ListArray.from_arrays(pa.array(ends), flat)
+            if with_ids:  # pieces follow each other just as the ids do
+                ends = np.append(begin, at[-1]).astype(np.int32)
+                arrays["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([arrays[n] for n in names], names)
 
-        yield from in_batches(one)(batches)
+        yield from in_batches(one, 2048)(batches)
 
     fields = [docs.schema[id_column], *[f for f in T._parse_datatype_string(_PIECE).fields if f.name in names]]
     columns = docs.select(id_column, F.coalesce("text", F.lit("")).alias("text"))

@@ -27,7 +27,6 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     dealt = ranged.repartitionById(n + 3, F.col("block")).sortWithinPartitions(
         F.col("block"), F.col("doc_id").asc_nulls_last(), "text"
     )
-    end = end_id.to_bytes(4, "little")
 
     def encode(batches):
         import numpy as np
@@ -39,26 +38,23 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
         def one(batch):
             nonlocal first, block
-            found = [x + end for x in ids_of.encode(batch.column("text").to_pylist())]
-            sizes = np.array([len(x) // 4 for x in found], dtype=np.int64)
-            blocks, firsts = batch.column("block").to_pylist(), []
+            ids, at = ids_of.encode(batch.column("text"), end_id)
+            sizes, blocks, firsts = np.diff(at), batch.column("block").to_pylist(), []
             for b, size in zip(blocks, sizes.tolist()):
                 if b != block:
                     block, first = b, 0
                 firsts.append(first)
                 first += size
-            values = pa.array(np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
             columns = {
                 "block": batch.column("block"),
                 "first": pa.array(firsts, pa.int64()),
                 "doc_id": batch.column("doc_id").cast(pa.int64()),
                 "n_tokens": pa.array(sizes),
-                "ids": pa.ListArray.from_arrays(offsets, values),
+                "ids": pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32))),
             }
             yield pa.RecordBatch.from_pydict(columns)
 
-        yield from in_batches(one)(batches)
+        yield from in_batches(one, 2048)(batches)
 
     return dealt.mapInArrow(encode, "block int, first bigint, doc_id bigint, n_tokens bigint, ids array<int>")
 
