@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -37,6 +37,12 @@ def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "text")) -> DataFrame:
+    """Add _k1 and _k2, 128 bits that tell rows apart by content; rows equal in `columns` share them."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]
+    return docs.withColumn("_k1", F.xxhash64(*cells)).withColumn("_k2", F.xxhash64(*reversed(cells), F.lit(1)))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -5,17 +5,12 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import findable, in_batches, n_words, store
+from .common import findable, in_batches, n_words, store, with_row_key
 
 WEIGHTS = (3, 1, 2)
 _ROW = ["_k1", "_k2"]
 
 
-def _with_row_key(docs: DataFrame) -> DataFrame:
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in ("doc_id", "source", "text")]
-    return docs.withColumn("_k1", F.xxhash64(*cells)).withColumn("_k2", F.xxhash64(*reversed(cells), F.lit(1)))
-
-
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150) -> DataFrame:
     """Add position, weight and target to one row per source (source, n, source_size).
 
@@ -56,7 +51,7 @@ def plan_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
     no source, however large, is ordered by one task.
     """
     perm = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = _with_row_key(docs.select("doc_id", "source", "text")).select(
+    sized = with_row_key(docs.select("doc_id", "source", "text")).select(
         *_ROW, "doc_id", "source", n_words(F.col("text")).alias("size"), perm.alias("_perm")
     )
     sized = store(sized.withColumn("_bucket", F.substring("_perm", 1, 3)), "sizes")
@@ -180,7 +175,7 @@ def mix(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy(*_ROW).orderBy("position", "rank")
     numbered = planned.select(*_ROW, "position", "rank", F.row_number().over(order).alias("_same"))
     where = place(planned).join(numbered, ["position", "rank"]).select(*_ROW, "_same", "shard", "place")
-    base = _with_row_key(docs)
+    base = with_row_key(docs)
     base = base.withColumn("_same", F.row_number().over(Window.partitionBy(*_ROW).orderBy(F.lit(0))))
     out = base.join(where, [*_ROW, "_same"]).select(*docs.columns, "shard", "place")
     return out.repartition(F.col("shard")).sortWithinPartitions("shard", "place")

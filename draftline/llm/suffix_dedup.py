@@ -203,15 +203,19 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return spans.unionByName(more).unionByName(last)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", rewrite: bool = False) -> DataFrame:
     """All columns of `docs` (but those of the same names) and kept (binary), n_bytes, n_removed, n_spans of every whole text.
 
+    With `rewrite` the text column holds what is kept instead, without characters that lost some of their bytes.
+
     A byte goes if a string of `length` bytes that covers it also starts anywhere else, the same text
     included; strings are judged on the input and never cross rows. NULL counts as empty; texts shorter
     than `length` stay. Repeated rows are occurrences of their own, so both lose what they repeat. Names
     are two 64-bit hashes; a gram's is one, as a clash there only costs work.
     """
     added = T._parse_datatype_string("kept binary, n_bytes bigint, n_removed bigint, n_spans bigint")
+    if rewrite:
+        added = T.StructType(added.fields[1:])
     docs = docs.drop(*added.names)
     columns = docs.columns
     inner = docs.withColumn("_bytes", F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
@@ -244,9 +248,11 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text") -> Da
                 kept = b"".join([*kept, data[at:]])
                 for name, value in zip(out, (kept, len(data), len(data) - len(kept), n)):
                     out[name].append(value)
-            arrays = [batch.column(c) for c in columns]
+            if rewrite:
+                short = pa.array([x.decode("utf-8", "ignore") for x in out.pop("kept")], pa.string())
+            arrays = [short if rewrite and c == text else batch.column(c) for c in columns]
             arrays += [pa.array(out[f.name], pa.binary() if f.name == "kept" else pa.int64()) for f in added]
-            yield pa.RecordBatch.from_arrays(arrays, [*columns, *out])
+            yield pa.RecordBatch.from_arrays(arrays, [*columns, *added.names])
 
         yield from in_batches(one)(batches)
 
