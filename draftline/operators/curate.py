@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import eligible, key_hash, outcome
 from ..schema import DRAFT, SAMPLE_ROWS, DraftSchema
@@ -22,10 +22,11 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
 def keep_latest(df: DataFrame, keys: Sequence[str], newest_first: Sequence[str]) -> DataFrame:
     """One row per key: the greatest by the order columns, NULLs last.
 
-    Full ties are broken by a hash of the whole row, so reruns pick the same row. The rank filter
-    lets Spark keep one row per key and map task before the shuffle, so a hot key stays small.
+    Ties are broken by the other columns in turn, so only equal rows can stand for each other. The
+    rank filter lets Spark keep one row per key and map task before the shuffle, so a hot key stays small.
     """
-    order = [F.col(c).desc_nulls_last() for c in newest_first] + [F.xxhash64(*df.columns).desc()]
+    ranking = [*newest_first, *(c for c in df.columns if c not in {*keys, *newest_first})]
+    order = [F.col(f"`{c}`").desc_nulls_last() for c in ranking]
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
@@ -49,34 +50,37 @@ def _nearest_keys(df: DataFrame, key: str, rows: int) -> DataFrame:
         part *= 2.0
 
 
-def _sampled_keys(df: DataFrame, key: str, rows: int, broadcast_rows: int) -> DataFrame:
-    near = _nearest_keys(df, key, rows)
-    order: list[Column] = [F.col("_hash"), F.col(key)]
-    if rows <= broadcast_rows:
-        return F.broadcast(near.orderBy(*order).limit(rows).select(key))
+def _last_sampled(df: DataFrame, key: str, rows: int):
+    """(_hash, key) of the last of the first `rows` keys in hash order; None if there are no more keys.
 
-    # Large samples: the first 20 bits cut the keys into even buckets. Whole buckets below the
-    # limit are taken; only the bucket holding the limit is ordered.
-    bucketed = near.withColumn("_bucket", F.conv(F.substring("_hash", 1, 5), 16, 10).cast("int"))
+    The first 20 bits of the hash cut the keys into even buckets. Counts tell which bucket holds the
+    last key, and only that bucket is ordered.
+    """
+    bucketed = _nearest_keys(df, key, rows).withColumn("_bucket", F.conv(F.substring("_hash", 1, 5), 16, 10).cast("int"))
     counts = bucketed.groupBy("_bucket").agg(F.count("*").alias("_n"))
     running = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, 0)  # at most 2**20 rows
-    ends = counts.withColumn("_end", F.sum("_n").over(running))
-    inside = (rows - F.col("_end") + F.col("_n")).alias("inside")
-    edge = ends.filter(F.col("_end") > rows).orderBy("_bucket").select("_bucket", inside).first()
+    ends = counts.withColumn("_end", F.sum("_n").over(running)).withColumn("_before", F.col("_end") - F.col("_n"))
+    edge = ends.filter(F.col("_end") >= rows).orderBy("_bucket").select("_bucket", "_before").first()
     if edge is None:
-        return near.select(key)
-    below = bucketed.filter(F.col("_bucket") < edge["_bucket"])
-    at_edge = bucketed.filter(F.col("_bucket") == edge["_bucket"]).orderBy(*order).limit(edge["inside"])
-    return below.unionByName(at_edge).select(key)
+        return None
+    at_edge = bucketed.filter(F.col("_bucket") == edge["_bucket"]).orderBy("_hash", key)
+    return at_edge.offset(rows - 1 - edge["_before"]).select("_hash", key).first()
 
 
-def hash_sample(df: DataFrame, key: str, rows: int = SAMPLE_ROWS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def hash_sample(df: DataFrame, key: str, rows: int = SAMPLE_ROWS) -> DataFrame:
     """All rows of the first `rows` distinct keys in MD5 order; the same keys on every run.
 
-    Little more than the sampled keys is shuffled to find them; the wide rows are then filtered
-    in place.
+    The sample is everything up to one place in that order, so the table is filtered against two
+    constants where it lies: neither a join nor a shuffle, at any sample size. Little more than the
+    sampled keys is shuffled to find the place. Rows with a NULL key are not sampled.
     """
-    return df.join(_sampled_keys(df, key, rows, broadcast_rows), key, "left_semi")
+    if rows <= 0:
+        return df.limit(0)
+    last = _last_sampled(df, key, rows)
+    if last is None:
+        return df.filter(F.col(key).isNotNull())
+    place, limit, value = key_hash(key), F.lit(last["_hash"]), F.lit(last[key]).cast(df.schema[key].dataType)
+    return df.filter((place < limit) | ((place == limit) & (F.col(key) <= value)))
 
 
 def with_version_name(df: DataFrame, versions: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:
