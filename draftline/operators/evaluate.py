@@ -79,7 +79,7 @@ def roc_points(scored: DataFrame, groups: Sequence[str] = (), score: str = "prob
     ranked = prefix_sums(counts, score, ["pos", "neg"], groups, descending=True)
     sizes = counts.groupBy(*groups).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     if groups:
-        joined = ranked.join(F.broadcast(sizes), list(groups))  # one row per group
+        joined = ranked.join(sizes, list(groups))
     else:
         joined = ranked.withColumns({c: sizes.select(c).scalar() for c in ("_pos", "_neg")})
     points = joined.select(

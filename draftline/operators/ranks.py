@@ -79,7 +79,7 @@ def prefix_sums(
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
-    joined = running.join(F.broadcast(starts), same)  # groups times ranges rows
+    joined = running.join(starts, same)  # small for few groups; the optimizer knows its size
     return joined.select(
         *df.columns, *[(F.col(f"_start_{m}") + F.col(f"_run_{m}")).alias(f"cum_{m}") for m in measures]
     )
@@ -106,23 +106,24 @@ def order_statistics(df: DataFrame, column: str, fractions: Mapping[str, float])
 def order_breaks(df: DataFrame, value: str, sequence: str, within: Sequence[str] = ()) -> DataFrame:
     """One row with `breaks`: how many rows have a smaller value than the row before them.
 
-    The order is (`within` columns, sequence). `within` names natural pieces such as file and
-    block; without it, pieces are ranges of the sequence. Each piece is checked on its own, and
-    then the last value of a piece against the first of the next: one row per piece.
+    The order is (`within` columns, sequence, value), so rows of one sequence value hold no break among
+    themselves and their smallest and largest value stand for them: a sequence value that a third of
+    the rows share becomes one row before anything is ordered. NULL values are left out. `within` names
+    natural pieces such as file and block; without it, pieces are ranges of the sequence. Each piece is
+    checked on its own, and then the last value of a piece against the first of the next.
     """
-    if within:
-        pieces, by = df, list(within)
-    else:
-        pieces, by = with_range_bucket(df, sequence), ["_bucket"]
-    before = F.lag(value).over(Window.partitionBy(*by).orderBy(sequence))
-    broken = F.coalesce(F.col(value) < before, F.lit(False)).cast("int")
+    ends = df.where(F.col(value).isNotNull()).groupBy(*within, sequence).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    ends = materialize(ends)
+    pieces, by = (ends, list(within)) if within else (with_range_bucket(ends, sequence), ["_bucket"])
+    before = F.lag("_high").over(Window.partitionBy(*by).orderBy(sequence))
+    broken = F.coalesce(F.col("_low") < before, F.lit(False)).cast("int")
     ends = (
         pieces.withColumn("_broken", broken)
         .groupBy(*by)
         .agg(
             F.sum("_broken").alias("_inside"),
-            F.min_by(value, sequence).alias("_first"),
-            F.max_by(value, sequence).alias("_last"),
+            F.min_by("_low", F.struct(F.col(sequence).isNotNull(), sequence)).alias("_first"),
+            F.max_by("_high", F.struct(F.col(sequence).isNotNull(), sequence)).alias("_last"),
         )
     )
     piece_before = F.lag("_last").over(Window.orderBy(*by))
