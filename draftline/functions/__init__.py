@@ -12,6 +12,7 @@ from .expressions import (
     key_hash,
     outcome,
     predicted_class,
+    row_hash,
     share,
     split_label,
     split_rank,
@@ -31,6 +32,7 @@ __all__ = [
     "key_hash",
     "outcome",
     "predicted_class",
+    "row_hash",
     "share",
     "split_label",
     "split_rank",

@@ -59,6 +59,16 @@ def key_hash(key: str) -> Column:
     return F.md5(F.col(key).cast("string"))
 
 
+def row_hash(columns: Sequence[str]) -> Column:
+    """Hex MD5 of all cells as text, each with its length or a mark for NULL.
+
+    A value that moves to the next column, or a NULL that changes places with one, changes the hash.
+    """
+    cells = [F.col(f"`{c}`").cast("string") for c in columns]
+    marked = [F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), c), F.lit("-")) for c in cells]
+    return F.md5(F.concat_ws("|", *marked))
+
+
 def split_label(time: Column, train_cutoff: str, validation_cutoff: str) -> Column:
     """Period of a row; a row exactly on a cutoff belongs to the earlier period.
 

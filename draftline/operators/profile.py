@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import row_hash
 from ..schema import DRAFT, SAMPLE_ROWS, DraftSchema
 from .roles import with_role
 
@@ -51,25 +52,28 @@ def repeated_keys(df: DataFrame, key: str) -> DataFrame:
     return per_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("repeated_keys"))
 
 
+def distinct_keys(df: DataFrame, key: str) -> DataFrame:
+    """Different keys without NULL, one row."""
+    return df.select(key).distinct().agg(F.count(key).alias("unique_key_count"))
+
+
+def _summary(df: DataFrame, schema: DraftSchema, *more: Column) -> DataFrame:
+    """Keys are counted apart: beside them, every other counter would go through their shuffle."""
+    time = F.col(schema.time)
+    facts = df.agg(F.count("*").alias("row_count"), F.min(time).alias("min_time"), F.max(time).alias("max_time"), *more)
+    facts = facts.withColumn("unique_key_count", distinct_keys(df, schema.key).scalar())
+    rest = [c for c in facts.columns if c not in ("row_count", "unique_key_count")]
+    return facts.select("row_count", "unique_key_count", *rest)
+
+
 def table_summary(df: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:
     """Rows, distinct keys, first and last time."""
-    return df.agg(
-        F.count("*").alias("row_count"),
-        F.countDistinct(schema.key).alias("unique_key_count"),
-        F.min(schema.time).alias("min_time"),
-        F.max(schema.time).alias("max_time"),
-    )
+    return _summary(df, schema)
 
 
 def sample_summary(df: DataFrame, schema: DraftSchema = DRAFT, decimals: int = 6) -> DataFrame:
     """Table summary and mean label."""
-    return df.agg(
-        F.count("*").alias("row_count"),
-        F.countDistinct(schema.key).alias("unique_key_count"),
-        F.min(schema.time).alias("min_time"),
-        F.max(schema.time).alias("max_time"),
-        F.bround(F.avg(F.col(schema.label).cast("int")), decimals).alias("label_rate"),
-    )
+    return _summary(df, schema, F.bround(F.avg(F.col(schema.label).cast("int")), decimals).alias("label_rate"))
 
 
 def overview(df: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:
@@ -87,8 +91,8 @@ def overview(df: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:
 
 def fingerprint(df: DataFrame) -> DataFrame:
     """Content fingerprint, one row: independent of row order, partitions and file layout."""
-    row_hash = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("rows"), F.sum(row_hash).cast("string").alias("hash_sum"))
+    number = F.conv(F.substring(row_hash(df.columns), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("rows"), F.coalesce(F.sum(number), F.lit(0)).cast("string").alias("hash_sum"))
 
 
 def metadata_record(
