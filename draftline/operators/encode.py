@@ -12,8 +12,9 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions import feature_name, share, split_rank, status
+from ..functions import share, split_rank
 from ..schema import DRAFT, FORBIDDEN, SPLITS, STRICT_FORBIDDEN, TRAIN_CUTOFF, VALIDATION_CUTOFF, DraftSchema
+from ..sources.storage import materialize
 from .curate import BROADCAST_ROWS
 from .explore import picks_long
 from .quality import check_table, forbidden_features, require_columns
@@ -148,14 +149,24 @@ class DraftEncoderModel(Model, _EncoderParams):
                 for c, name in zip(columns, names)
             }
             return df.withColumns(found)
+        return self._joined_positions(df, columns, ids, names)
+
+    def _joined_positions(self, df: DataFrame, columns: Sequence[str], ids: Sequence[int], names: Sequence[str]) -> DataFrame:
+        """The same by one join over the unfolded cells, for IDs that are spread widely.
+
+        Rows are stored first, so that the numbers given to them stay. A cell's value may be in a third
+        of all rows; the join leaves it to the optimizer to send the vocabulary to every task or to
+        split that value.
+        """
+        rows = materialize(df.withColumn("_row_number", F.monotonically_increasing_id()))
         lookup = df.sparkSession.createDataFrame([(v, p) for p, v in enumerate(ids)], "_value bigint, _position int")
-        if len(ids) <= BROADCAST_ROWS * 10:  # 12 bytes a row
-            lookup = F.broadcast(lookup)
-        for c, name in zip(columns, names):
-            side = lookup.select(F.col("_value").alias(f"_key_{name}"), F.col("_position").alias(f"_found_{name}"))
-            df = df.join(side, F.col(c).cast("bigint") == F.col(f"_key_{name}"), "left")
-            df = df.withColumn(name, F.coalesce(f"_found_{name}", F.lit(-1))).drop(f"_key_{name}", f"_found_{name}")
-        return df
+        cells = F.posexplode(F.array(*[F.col(c).cast("bigint") for c in columns])).alias("_cell", "_value")
+        found = rows.select("_row_number", cells).join(lookup, "_value")
+        per_row = found.groupBy("_row_number").agg(
+            *[F.max(F.when(F.col("_cell") == i, F.col("_position"))).alias(name) for i, name in enumerate(names)]
+        )
+        joined = rows.join(per_row, "_row_number", "left")
+        return joined.withColumns({name: F.coalesce(name, F.lit(-1)) for name in names}).select(*df.columns, *names)
 
     def _transform(self, df: DataFrame) -> DataFrame:
         items, versions = self.item_vocabulary, self.version_vocabulary
@@ -196,9 +207,13 @@ class DraftEncoderModel(Model, _EncoderParams):
         value.append(F.array(F.lit(1.0)))
         pairs = F.sort_array(F.arrays_zip(F.concat(*index).alias("index"), F.concat(*value).alias("value")))
 
-        entries, output = self.getOrDefault(self.entriesCol), self.getOrDefault(self.outputCol)
-        encoded = placed.withColumn(entries, pairs).drop(*positions, "_v", "_plus", "_minus", "_u0", "_u1")
-        return encoded.withColumn(output, sparse_vector(F.col(entries), self.feature_names))
+        entries = self.getOrDefault(self.entriesCol)
+        return self.with_vector(placed.withColumn(entries, pairs).drop(*positions, "_v", "_plus", "_minus", "_u0", "_u1"))
+
+    def with_vector(self, encoded: DataFrame) -> DataFrame:
+        """Add the feature vector to rows that have their entries."""
+        entries = F.col(self.getOrDefault(self.entriesCol))
+        return encoded.withColumn(self.getOrDefault(self.outputCol), sparse_vector(entries, self.feature_names))
 
     def wide(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
         """One byte column per feature, in feature order, for export and inspection."""
@@ -252,7 +267,7 @@ def _raise_on_target(facts, schema: DraftSchema) -> None:
 def _feature_facts(model: DraftEncoderModel) -> list[Column]:
     """Row tests of encoded rows, all inside one aggregate."""
     width, size = len(model.item_vocabulary), len(model.feature_names)
-    entries, output = F.col(model.getOrDefault(model.entriesCol)), F.col(model.getOrDefault(model.outputCol))
+    entries = F.col(model.getOrDefault(model.entriesCol))  # the vector is these entries and nothing else
     picks = F.filter(entries, lambda e: e["index"] < width)
     counts = F.filter(entries, lambda e: (e["index"] >= width) & (e["index"] < width + 2))
     flags = F.filter(entries, lambda e: e["index"] >= width + 2)
@@ -266,7 +281,7 @@ def _feature_facts(model: DraftEncoderModel) -> list[Column]:
     unsigned = F.exists(picks, lambda e: ~e["value"].isin(-1.0, 1.0))
     return [
         F.count("*").alias("rows"),
-        F.count_if(entries.isNull() | output.isNull()).alias("null_features"),
+        F.count_if(entries.isNull()).alias("null_features"),
         F.count_if(outside).alias("outside_features"),
         F.count_if(unsigned).alias("unsigned_picks"),
         F.count_if(accounted != model.schema.picks_per_row).alias("unaccounted_picks"),
@@ -294,7 +309,7 @@ def _raise_on_features(facts, model: DraftEncoderModel, forbidden: Sequence[str]
 
 def validate_features(encoded: DataFrame, model: DraftEncoderModel, forbidden: Sequence[str] = FORBIDDEN) -> None:
     """Fail on the first structural error of the encoded rows; one pass over them."""
-    require_columns(encoded, [model.getOrDefault(model.entriesCol), model.getOrDefault(model.outputCol)], "encoded rows")
+    require_columns(encoded, [model.getOrDefault(model.entriesCol)], "encoded rows")
     _raise_on_features(encoded.agg(*_feature_facts(model)).first(), model, forbidden)
 
 
@@ -307,12 +322,12 @@ def feature_checks(
 ) -> DataFrame:
     """The validator as a check table; features and label share a row, so they align by construction."""
     label, split = F.col(schema.label), F.col(schema.split)
-    output = F.col(model.getOrDefault(model.outputCol))
+    entries = F.col(model.getOrDefault(model.entriesCol))
     names = model.feature_names
     rows = {s: F.count_if(split == s).alias(f"rows_{s}") for s in SPLITS}
     targets = {s: F.count_if((split == s) & label.isNotNull()).alias(f"targets_{s}") for s in SPLITS}
     facts = encoded.agg(
-        *_feature_facts(model), F.count_if(output.isNotNull() != label.isNotNull()).alias("unaligned"), *rows.values(), *targets.values()
+        *_feature_facts(model), F.count_if(entries.isNotNull() != label.isNotNull()).alias("unaligned"), *rows.values(), *targets.values()
     )
     no_repeats = F.lit(len(set(names)) == len(names))
     checks = [
@@ -381,20 +396,24 @@ def prepare_features(
     validation_cutoff: str = VALIDATION_CUTOFF,
     schema: DraftSchema = DRAFT,
 ) -> PreparedFeatures:
-    """Split, encode, build the label and validate; target and feature tests share one pass."""
+    """Split, encode, build the label and validate.
+
+    Rows are encoded once and stored with their entries; tests, training and scoring read them back.
+    Target and feature tests share one pass.
+    """
     require_columns(df, [schema.time], "split input")
     if df.schema[schema.time].dataType.simpleString() != "timestamp_ntz":
         df = df.withColumn(schema.time, F.col(schema.time).cast("timestamp_ntz"))
-    prepared = encode_with_train_vocabulary(df, train_cutoff, validation_cutoff, schema)
-    frame = prepared.frame
-    null_times = F.count_if(F.col(schema.time).isNull()).alias("null_times")
-    # The split column is left out here: a NULL time is reported by name instead of failing a task.
-    facts = frame.agg(null_times, *_target_facts(frame, schema), *_feature_facts(prepared.encoder)).first()
-    if facts["null_times"]:
+    if not df.filter(F.col(schema.time).isNull()).isEmpty():
         raise ValueError(f"{schema.time} contains missing values")
+    prepared = encode_with_train_vocabulary(df, train_cutoff, validation_cutoff, schema)
+    encoder = prepared.encoder
+    frame = materialize(prepared.frame.drop(encoder.getOrDefault(encoder.outputCol)))
+    facts = frame.agg(*_target_facts(frame, schema), *_feature_facts(encoder)).first()
     _raise_on_target(facts, schema)
-    _raise_on_features(facts, prepared.encoder, FORBIDDEN)
-    return replace(prepared, frame=frame.withColumn(schema.label, F.col(schema.label).cast("tinyint")))
+    _raise_on_features(facts, encoder, FORBIDDEN)
+    labelled = frame.withColumn(schema.label, F.col(schema.label).cast("tinyint"))
+    return replace(prepared, frame=encoder.with_vector(labelled))
 
 
 def encoded_long(prepared: PreparedFeatures, keep: Sequence[str] | None = None) -> DataFrame:
@@ -419,10 +438,17 @@ def _known(df: DataFrame, ids: Sequence[int], name: str) -> DataFrame:
 
 
 def unseen_picks(prepared: PreparedFeatures) -> DataFrame:
-    """Long picks whose ID is not in the training vocabulary."""
-    s = prepared.schema
-    picks = picks_long(prepared.frame, [s.key, s.time, s.split], s)
-    return picks.join(_known(picks, prepared.encoder.item_vocabulary, f"{s.item}_id"), f"{s.item}_id", "left_anti")
+    """Long picks whose ID is not in the training vocabulary, stored.
+
+    The encoder has counted unknown picks in the row, so only rows that have some are unfolded.
+    """
+    s, encoder = prepared.schema, prepared.encoder
+    width = len(encoder.item_vocabulary)
+    entries = F.col(encoder.getOrDefault(encoder.entriesCol))
+    touched = prepared.frame.filter(F.exists(entries, lambda e: (e["index"] == width) | (e["index"] == width + 1)))
+    picks = picks_long(touched, [s.key, s.time, s.split], s)
+    known = _known(picks, encoder.item_vocabulary, f"{s.item}_id")
+    return materialize(picks.join(known, f"{s.item}_id", "left_anti"))
 
 
 def unseen_pick_summary(prepared: PreparedFeatures) -> DataFrame:

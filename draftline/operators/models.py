@@ -12,7 +12,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import item_of_feature
 from ..schema import DRAFT, SPLITS, DraftSchema
@@ -28,9 +28,6 @@ from .split import split_counts
 PRIOR = "Dummy prior"
 LOGISTIC = "Logistic regression"
 
-ROWS_PER_TASK = 250_000
-SMALL_TRAINING_ROWS = 2_000_000
-
 _BIAS, _WITH_BIAS, _WEIGHT = "_bias", "_features_and_bias", "_weight"
 
 
@@ -89,10 +86,6 @@ def fit_logistic(
     assembled = assemble.transform(with_bias.transform(train.select(*cells))).select(
         label, _WITH_BIAS, F.lit(1.0).alias(_WEIGHT)
     )
-    if rows <= SMALL_TRAINING_ROWS:
-        # Every iteration is a job: on a small table its tasks cost more than their work. The small
-        # shuffle also keeps the encoded rows for Spark ML's second pass over its input.
-        assembled = assembled.repartition(1 + rows // ROWS_PER_TASK)
     width = assembled.schema[_WITH_BIAS].metadata["ml_attr"]["num_attrs"]
     anchor = train.sparkSession.createDataFrame([(0.0, Vectors.sparse(width, [], []), float(rows))], assembled.schema)
     anchor = anchor.coalesce(1)  # one row; each empty task would cost time in every iteration
@@ -136,14 +129,9 @@ def evaluate_model(
     name: str,
     schema: DraftSchema = DRAFT,
 ) -> DataFrame:
-    """Accuracy, ROC-AUC and log loss of one model for each split in the rows."""
-    return _metric_rows({name: model}, df, schema)
-
-
-def _metric_rows(models: Mapping[str, Model], df: DataFrame, schema: DraftSchema) -> DataFrame:
+    """Accuracy, ROC-AUC and log loss of any fitted model for each split in the rows."""
     slim = df.select(F.col(schema.split).alias("split"), F.col(schema.label).cast("int").alias("label"), "features")
-    scored = scored_by(models, slim, ["split", "label"])
-    table = metrics(scored)
+    table = metrics(scored_by({name: model}, slim, ["split", "label"]))
     return table.select("model", "split", "accuracy", "roc_auc", "log_loss")
 
 
@@ -198,6 +186,14 @@ class BaselineRun:
     validation_gate_passed: bool
 
 
+def entry_scores(run_weights: tuple[list[float], float], entries: Column) -> Column:
+    """Probability of label 1 from the non-zero entries alone: no vector is built to score a row."""
+    values, bias = run_weights
+    table = F.lit(values) if values else F.array().cast("array<double>")
+    margin = F.aggregate(entries, F.lit(bias), lambda acc, e: acc + e["value"] * F.get(table, e["index"]))
+    return 1.0 / (1.0 + F.exp(-margin))
+
+
 _METRICS = "position int, model string, split string, accuracy double, roc_auc double, log_loss double"
 
 
@@ -217,8 +213,14 @@ def train_baselines(prepared: PreparedFeatures, evaluate_test: bool = True, C: f
         LOGISTIC: fit_logistic(train, "features", schema.label, C=C, tol=tol, rows=rows),
     }
 
+    entries = F.col(prepared.encoder.getOrDefault(prepared.encoder.entriesCol))
+    scores = {PRIOR: F.lit(positive / rows), LOGISTIC: entry_scores(weights(models[LOGISTIC]), entries)}
+    both = F.inline(F.array(*[F.struct(F.lit(n).alias("model"), p.alias("probability")) for n, p in scores.items()]))
+    scored = frame.select(F.col(schema.split).alias("split"), F.col(schema.label).cast("int").alias("label"), both)
+
     def measured(*splits: str) -> list[tuple]:
-        found = _metric_rows(models, frame.filter(F.col(schema.split).isin(*splits)), schema).collect()
+        table = metrics(scored.filter(F.col("split").isin(*splits)))
+        found = table.select("model", "split", "accuracy", "roc_auc", "log_loss").collect()
         place = {(m, s): i for i, (m, s) in enumerate((m, s) for m in models for s in splits)}
         return sorted((tuple(r) for r in found), key=lambda r: place[r[0], r[1]])
 
@@ -263,10 +265,15 @@ def item_names(df: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:
 
 def item_coefficients(run: BaselineRun) -> DataFrame:
     """Pick features with ID, name (NULL if unknown) and weight."""
-    s = run.prepared.schema
-    table = coefficient_table(run).filter(F.col("feature").startswith(f"{s.item}_"))
+    return named_coefficients(coefficient_table(run), run.prepared.frame, run.prepared.schema)
+
+
+def named_coefficients(coefficients: DataFrame, df: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:
+    """The pick features of an (index, feature, coefficient) table with ID and name."""
+    s = schema
+    table = coefficients.filter(F.col("feature").startswith(f"{s.item}_"))
     table = table.withColumn(f"{s.item}_id", item_of_feature(F.col("feature"), s.item))
-    named = table.join(broadcast_if_small(item_names(run.prepared.frame, s)), f"{s.item}_id", "left")
+    named = table.join(broadcast_if_small(item_names(df, s)), f"{s.item}_id", "left")
     return named.select("index", "feature", f"{s.item}_id", f"{s.item}_name", "coefficient")
 
 
@@ -321,11 +328,13 @@ __all__ = [
     "PRIOR",
     "RunSummary",
     "coefficient_table",
+    "entry_scores",
     "evaluate_model",
     "fit_logistic",
     "gate_checks",
     "item_coefficients",
     "item_names",
+    "named_coefficients",
     "ordered_metrics",
     "require_trainable",
     "run_summary",
