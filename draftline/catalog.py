@@ -11,13 +11,14 @@ from .functions import keep_known, outcome
 from .operators import curate as cur, encode as enc, evaluate as ev, explore as ex, models as mod
 from .operators import profile as prof, quality as q, ranks, roles, split as sp
 from .sources import materialize, stored_once
+from .sources.storage import input_files
 from .schema import DRAFT
 from .sources.match_view import VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, match_view, version_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _ROUND = 6
-_runs: dict[tuple[str, str], mod.BaselineRun] = {}
+_runs: dict[tuple, mod.BaselineRun] = {}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,7 +36,7 @@ def _curated(spark: SparkSession, folder: str) -> DataFrame:
 
 def _matches(spark: SparkSession, folder: str) -> DataFrame:
     """The curated table as analysis reads it: stored once, by the curation above."""
-    return stored_once(spark, folder, "matches", lambda: _curated(spark, folder))
+    return stored_once(spark, f"{folder}/orders.parquet", "matches", lambda: _curated(spark, folder))
 
 
 def _prepared(spark: SparkSession, folder: str) -> enc.PreparedFeatures:
@@ -73,8 +74,9 @@ def _lines_scored(spark: SparkSession, folder: str) -> DataFrame:
 
 def _run(spark: SparkSession, folder: str) -> mod.BaselineRun:
     """One training run per session and folder, shared by the queries that report on it."""
-    key = (spark.sparkContext.applicationId, folder)
+    key = (spark.sparkContext.applicationId, input_files(spark, f"{folder}/orders.parquet"))
     if key not in _runs:
+        _runs.clear()  # one run at a time; those of earlier sessions and tables are of no use
         prepared = enc.prepare_features(_matches(spark, folder), VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF)
         _runs[key] = mod.train_baselines(prepared)
     return _runs[key]
@@ -97,9 +99,9 @@ def keep_latest_events(spark, folder):
     return cur.keep_latest(events, ["user_id"], ["ts", "event_id"])
 
 
-def hash_sample_orders(spark, folder, rows=1000, broadcast_rows=cur.BROADCAST_ROWS):
+def hash_sample_orders(spark, folder, rows=1000):
     orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return cur.hash_sample(orders, "o_orderkey", rows, broadcast_rows)
+    return cur.hash_sample(orders, "o_orderkey", rows)
 
 
 def hash_sample_parts_of_lines(spark, folder):
@@ -201,7 +203,7 @@ QUERIES: dict[str, Query] = {
     "keep_latest_matches": keep_latest_matches,
     "keep_latest_events": keep_latest_events,
     "hash_sample": hash_sample_orders,
-    "hash_sample_beyond_broadcast": partial(hash_sample_orders, rows=5000, broadcast_rows=100),
+    "hash_sample_large": partial(hash_sample_orders, rows=5000),
     "hash_sample_repeated_key": hash_sample_parts_of_lines,
     # profiling
     "table_summary": _with(_view, prof.table_summary),

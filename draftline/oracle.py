@@ -278,7 +278,7 @@ ORACLE_SQL: dict[str, str] = {
     "keep_latest_events": """SELECT event_id, ts, user_id, event_type, value FROM (
         SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
     "hash_sample": _key_sample("orders", "o_orderkey", "o_orderkey, o_custkey, o_totalprice", 1000),
-    "hash_sample_beyond_broadcast": _key_sample("orders", "o_orderkey", "o_orderkey, o_custkey, o_totalprice", 5000),
+    "hash_sample_large": _key_sample("orders", "o_orderkey", "o_orderkey, o_custkey, o_totalprice", 5000),
     "hash_sample_repeated_key": _key_sample("lineitem", "l_partkey", "l_orderkey, l_linenumber, l_partkey", 150),
     # profiling
     "table_summary": _view(

@@ -1,7 +1,6 @@
 """Whole jobs composed from the operators."""
 
 from .curation import CurationResult, run_curation
-from ..sources import materialize
 from .training import run_training
 
-__all__ = ["CurationResult", "materialize", "run_curation", "run_training"]
+__all__ = ["CurationResult", "run_curation", "run_training"]

@@ -73,7 +73,7 @@ def match_view(spark: SparkSession, folder: str) -> DataFrame:
         orders = spark.read.parquet(f"{folder}/orders.parquet")
         return spark.sql(f"WITH {MATCH_VIEW_CTES.replace('FROM orders', 'FROM {orders}')} SELECT * FROM match_view", orders=orders)
 
-    return stored_once(spark, folder, "match_view", derive)
+    return stored_once(spark, f"{folder}/orders.parquet", "match_view", derive)
 
 
 def version_view(spark: SparkSession, folder: str) -> DataFrame:

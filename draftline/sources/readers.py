@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -32,22 +33,39 @@ def _nanos_to_ntz(name: str) -> Column:
     )
 
 
+def _nanosecond_columns(spark: SparkSession, paths: Iterable[str]) -> set[str]:
+    """Columns of nanosecond timestamps, from the footer of one file; no data is read."""
+    first = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(list(paths)).select("path").first()
+    if first is None:
+        return set()
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    file = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(first[0]), hadoop)
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(file)
+    try:
+        layout = reader.getFileMetaData().getSchema().toString()
+    finally:
+        reader.close()
+    return set(re.findall(r"int64 (\S+) \(TIMESTAMP\(NANOS", layout))
+
+
 def read_matches(spark: SparkSession, *paths: str, schema: DraftSchema = DRAFT) -> DataFrame:
-    """Raw matches from Parquet, with every known time column as TIMESTAMP_NTZ.
+    """Raw matches from Parquet, with every known time column and every nanosecond column as TIMESTAMP_NTZ.
 
-    Spark refuses nanosecond timestamps unless they are read as integers, so the session is
-    told to do that; microsecond files need no conversion and keep filter pushdown on time.
+    Microsecond files need no conversion and keep filter pushdown on time. Spark refuses nanosecond
+    timestamps unless the session reads them as integers; only for files that have some is the session
+    told so, and it stays told, as the setting also counts when the rows are read.
     """
-    spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
+    nanos = _nanosecond_columns(spark, paths)
+    if nanos:
+        spark.conf.set("spark.sql.legacy.parquet.nanosAsLong", "true")
     raw = spark.read.parquet(*paths)
     times = {f.name for f in raw_struct(schema) if isinstance(f.dataType, T.TimestampNTZType)}
     converted = {}
     for field in raw.schema:
-        if field.name not in times or isinstance(field.dataType, T.TimestampNTZType):
+        if field.name not in times | nanos or isinstance(field.dataType, T.TimestampNTZType):
             continue
         column = F.col(field.name)
-        is_nanos = isinstance(field.dataType, T.LongType)
-        converted[field.name] = _nanos_to_ntz(field.name) if is_nanos else column.cast("timestamp_ntz")
+        converted[field.name] = _nanos_to_ntz(field.name) if field.name in nanos else column.cast("timestamp_ntz")
     return raw.withColumns(converted) if converted else raw
 
 
