@@ -185,6 +185,9 @@ def _rerank(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """_k1, _k2, start, end of every run of windows that also starts elsewhere (see `remove_repeats`)."""
     found = store(_anchor_rows(docs, length), "anchors", compression="zstd")
+    # most grams are unique; their anchors need no further look
+    shared = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    found = store(found.join(shared, "g"), "shared-anchors", compression="zstd")
     names, live = _rerank(found.withColumn("known", F.lit(False)), [*_KEY, "a", "s", "e"])
     live = store(live, "live-anchors")
     spans = found.select(*_KEY, "s", "e", "c1", "c2").join(names, ["c1", "c2"])
