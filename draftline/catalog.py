@@ -5,15 +5,30 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .functions import keep_known, outcome
+from .functions import flip_where, keep_known, outcome
 from .operators import curate as cur, encode as enc, evaluate as ev, explore as ex, models as mod
 from .operators import profile as prof, quality as q, ranks, roles, split as sp
-from .sources import materialize, stored_once
-from .sources.storage import input_files
+from .plans import run_curation, run_training
+from .sources import (
+    FILE_POSITION,
+    materialize,
+    read_curated,
+    read_matches,
+    read_versions,
+    stored_once,
+    with_file_position,
+    write_csv,
+    write_inventory,
+    write_metadata,
+    write_metrics,
+)
+from .sources.storage import checkpoint_folder, input_files
 from .schema import DRAFT
-from .sources.match_view import VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, match_view, version_view
+from .sources.match_view import VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, match_view, version_view, wide_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -171,9 +186,165 @@ def known_versions(spark, folder):
     )
 
 
+# --- sources and sinks ----------------------------------------------------------------------------
+
+
+def _written(spark: SparkSession, folder: str, name: str, write: Callable[[str], object]) -> str:
+    """A path below the checkpoint folder, written once per session and state of the table."""
+    path = f"{checkpoint_folder(spark)}/{name}"
+    key = (path, input_files(spark, f"{folder}/orders.parquet"))
+    if key not in _outputs:
+        _outputs[key] = f"{path}-{len(_outputs)}"
+        write(_outputs[key])
+    return _outputs[key]
+
+
+_outputs: dict[tuple, str] = {}
+
+
+def _curated_file(spark, folder):
+    """The whole curated table as a CSV export in time order."""
+    table = cur.curate(match_view(spark, folder), version_view(spark, folder), rows=None)
+    return _written(spark, folder, "curated-csv", lambda path: write_csv(table, path))
+
+
+def curated_csv(spark, folder):
+    return read_curated(spark, _curated_file(spark, folder))
+
+
+def file_order_checks(spark, folder):
+    placed = with_file_position(read_curated(spark, _curated_file(spark, folder)))
+    file, block, row = FILE_POSITION
+    return q.dataset_checks(placed, sequence=row, within=[file, block], expected_columns=25).drop("position")
+
+
+def inventory_csv(spark, folder):
+    inventory = prof.column_inventory(wide_view(spark, folder))
+    path = _written(spark, folder, "inventory-csv", lambda path: write_inventory(inventory, path))
+    table = spark.read.options(header=True, quote='"', escape='"').csv(path)
+    return table.select("column", F.col("null_count").cast("bigint").alias("null_count"), "column_group", "v1_decision", "reason")
+
+
+def metadata_json(spark, folder):
+    record = prof.metadata_record(match_view(spark, folder), _matches(spark, folder))
+    path = _written(spark, folder, "metadata-json", lambda path: write_metadata(record, path))
+    read = spark.read.json(path)
+    return read.select("source.*", "sample.actual_rows", "sample.date_min", "sample.date_max", F.size("sample.columns").alias("n_columns"))
+
+
+def metrics_csv(spark, folder):
+    path = _written(spark, folder, "metrics-csv", lambda path: write_metrics(_measured(spark, folder), path))
+    typed = "model string, split string, accuracy double, roc_auc double, log_loss double"
+    return _rounded(spark.read.schema(typed).option("header", True).csv(path), "accuracy", "roc_auc", "log_loss")
+
+
+def _versions_file(spark, folder):
+    versions = version_view(spark, folder)
+    return _written(spark, folder, "versions-csv", lambda path: write_csv(versions, path))
+
+
+def versions_csv(spark, folder):
+    return read_versions(spark, _versions_file(spark, folder)).select("id", "name")
+
+
+def _raw_file(spark, folder):
+    return _written(spark, folder, "raw-parquet", lambda path: match_view(spark, folder).write.parquet(path))
+
+
+def raw_matches(spark, folder):
+    raw = read_matches(spark, _raw_file(spark, folder)).select("match_id", DRAFT.time, DRAFT.version, DRAFT.winner)
+    return raw.fillna(-1, [DRAFT.version, DRAFT.winner])
+
+
+def _curation(spark, folder) -> str:
+    """The curation job from files to files; the path of its sample."""
+    paths = [f"{checkpoint_folder(spark)}/job-{len(_outputs)}-{n}" for n in ("inventory", "metadata")]
+    sources = _raw_file(spark, folder), _versions_file(spark, folder)
+    return _written(spark, folder, "job-sample", lambda path: run_curation(spark, *sources, path, *paths, rows=2000))
+
+
+def curation_job(spark, folder):
+    return read_curated(spark, _curation(spark, folder))
+
+
+def training_job_prior(spark, folder):
+    """The training job on the curated file; the prior's rows of the metrics that it writes."""
+
+    def job(path: str) -> None:
+        run_training(spark, _curated_file(spark, folder), True, path, VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF)
+
+    path = _written(spark, folder, "job-metrics", job)
+    typed = "model string, split string, accuracy double, roc_auc double, log_loss double"
+    table = spark.read.schema(typed).option("header", True).csv(path)
+    return _rounded(table.filter(F.col("model") == mod.PRIOR), "accuracy", "roc_auc", "log_loss")
+
+
+def binary_labels(spark, folder):
+    return enc.binary_target(_matches(spark, folder)).select("match_id", F.col(DRAFT.label).cast("int").alias("label"))
+
+
+def flipped_labels(spark, folder):
+    label = F.col(DRAFT.label).cast("int")
+    return _matches(spark, folder).select("match_id", flip_where(label, F.col("match_id") % 3 == 0).alias("label"))
+
+
+def training_guards(spark, folder):
+    facts = mod.training_facts(_split(spark, folder))
+    mod.require_trainable(facts)
+    rows = [(split, n, pos, 0 < pos < n) for split, (n, pos) in facts.items()]
+    return spark.createDataFrame(rows, "split string, rows bigint, positives bigint, trainable boolean")
+
+
 # --- models ---------------------------------------------------------------------------------------
 
 
+def _measured(spark, folder) -> DataFrame:
+    """Metric table of the training prior and the made-up score, under the names of the two models."""
+    split = _split(spark, folder)
+    label = F.col(DRAFT.label).cast("int")
+    prior = split.filter(F.col("split") == "train").agg(F.avg(label.cast("double"))).scalar()
+    scored = _scored(spark, folder).withColumn("_prior", prior)
+    both = F.array(
+        F.struct(F.lit(mod.PRIOR).alias("model"), F.col("_prior").alias("probability")),
+        F.struct(F.lit(mod.LOGISTIC).alias("model"), F.col("probability")),
+    )
+    return ev.metrics(scored.select("split", "label", F.inline(both))).select("model", "split", "accuracy", "roc_auc", "log_loss")
+
+
+def _pick_means(spark, folder) -> DataFrame:
+    """A weight per known pick that SQL can compute: the mean label of the first side's picks."""
+    long = _matches(spark, folder).select(
+        F.explode(F.array(*[F.col(c) for c in DRAFT.pick_ids("radiant")])).alias("id"), F.col(DRAFT.label).cast("int").alias("y")
+    )
+    means = long.groupBy("id").agg(F.avg("y").alias("coefficient"))
+    return means.select(F.col("id").cast("int").alias("index"), F.concat(F.lit("hero_"), F.col("id")).alias("feature"), "coefficient")
+
+
+def named_means(spark, folder):
+    return _rounded(mod.named_coefficients(_pick_means(spark, folder), _matches(spark, folder)), "coefficient")
+
+
+def encoded_vectors(spark, folder):
+    """Size and non-zero cells of the feature vectors as text."""
+    values = vector_to_array("features")
+    cells = _prepared(spark, folder).frame.select("match_id", values.alias("v"))
+    text = "array_join(transform(filter(sequence(0, size(v) - 1), i -> v[i] <> 0), i -> concat(i, ':', CAST(v[i] AS int))), ' ')"
+    return cells.select("match_id", F.size("v").alias("size"), F.expr(text).alias("cells"))
+
+
+def logistic_weights(spark, folder):
+    """A fit with two features and bias, small enough for Newton's method in SQL."""
+    lines = _table(spark, folder, "lineitem").select(
+        (F.col("l_quantity") / 50).cast("double").alias("quantity"),
+        (F.col("l_discount") * 10).cast("double").alias("discount"),
+        (F.col("l_returnflag") == "R").cast("int").alias("label"),
+    )
+    rows = VectorAssembler(inputCols=["quantity", "discount"], outputCol="features").transform(lines)
+    values, bias = mod.weights(mod.fit_logistic(rows, C=0.01))
+    table = list(zip(("quantity", "discount", "bias"), [*values, bias]))
+    return spark.createDataFrame(table, "feature string, weight double").withColumn("weight", F.round("weight", 4))
+
+
 def prior_metrics(spark, folder):
     df = _split(spark, folder).withColumn(DRAFT.label, F.col(DRAFT.label).cast("int"))
     model = mod.ClassPrior(labelCol=DRAFT.label).fit(sp.of_split(df, "train"))
@@ -205,12 +376,24 @@ QUERIES: dict[str, Query] = {
     "hash_sample": hash_sample_orders,
     "hash_sample_large": partial(hash_sample_orders, rows=5000),
     "hash_sample_repeated_key": hash_sample_parts_of_lines,
+    # sources and sinks
+    "raw_matches": raw_matches,
+    "versions_csv": versions_csv,
+    "curated_csv": curated_csv,
+    "file_order_checks": file_order_checks,
+    "inventory_csv": inventory_csv,
+    "metadata_json": metadata_json,
+    "metrics_csv": metrics_csv,
+    "curation_job": curation_job,
+    "training_job_prior": training_job_prior,
     # profiling
     "table_summary": _with(_view, prof.table_summary),
     "sample_summary": _with(_matches, prof.sample_summary, "label_rate", decimals=5),
     "null_profile": _with(_view, prof.null_profile, "null_percent", drop=("type",)),
     "null_profile_documents": _with(_from("documents"), prof.null_profile, "null_percent", drop=("type",)),
     "column_inventory": _with(_view, prof.column_inventory, "null_percent", drop=("type",)),
+    "column_inventory_wide": _with(wide_view, prof.column_inventory, "null_percent", drop=("type",)),
+    "role_summary_wide": _with(lambda s, f: prof.column_inventory(wide_view(s, f)), roles.role_summary, drop=("names",)),
     "role_summary": _with(lambda s, f: prof.column_inventory(match_view(s, f)), roles.role_summary),
     "dtype_summary": _with(_matches, prof.dtype_summary),
     "missing_cells": _with(_view, prof.missing_cells),
@@ -224,6 +407,8 @@ QUERIES: dict[str, Query] = {
     "quality_checks": quality_checks,
     "quality_checks_raw": quality_checks_raw,
     "order_breaks": order_breaks,
+    "order_breaks_repeated": _with(_from("lineitem"), ranks.order_breaks, value="l_shipdate", sequence="l_orderkey"),
+    "order_breaks_raw": _with(_view, ranks.order_breaks, value=DRAFT.time, sequence=DRAFT.key),
     "prefix_sums": prefix_sums,
     "split_checks": _with(_split, q.split_checks, drop=("position",)),
     # exploration
@@ -278,6 +463,7 @@ def _of_run(report: Callable[[mod.BaselineRun], DataFrame]) -> Query:
 QUERIES |= {
     "vocabulary_summary": _of_prepared(enc.vocabulary_summary),
     "encoded_long": _of_prepared(enc.encoded_long),
+    "encoded_vectors": encoded_vectors,
     "unseen_hero_summary": _of_prepared(enc.unseen_pick_summary),
     "unseen_hero_catalog": _of_prepared(enc.unseen_pick_catalog),
     "unseen_hero_catalog_by_time": _of_prepared(enc.unseen_pick_catalog, chronological=True),
@@ -301,8 +487,20 @@ QUERIES |= {
     "quality_metrics": _with(_length_scored, ev.metrics, "accuracy", "roc_auc", "log_loss", groups=[]),
     "quality_confusion": _with(_length_scored, ev.confusion_matrix),
     "line_metrics": _with(_lines_scored, ev.metrics, "accuracy", "roc_auc", "log_loss", groups=["status"]),
+    # labels and guards
+    "binary_labels": binary_labels,
+    "flipped_labels": flipped_labels,
+    "training_guards": training_guards,
     # models
     "prior_metrics": prior_metrics,
+    "gate_checks_of_scores": lambda s, f: mod.gate_checks(_measured(s, f)).drop("position"),
+    "metric_gaps_of_scores": lambda s, f: _rounded(
+        gaps := ev.metric_gaps(_measured(s, f), mod.LOGISTIC, mod.PRIOR), *gaps.columns
+    ),
+    "metrics_by_auc_of_scores": lambda s, f: _rounded(ev.by_auc(_measured(s, f)), "accuracy", "roc_auc", "log_loss"),
+    "named_means": named_means,
+    "strongest_means": lambda s, f: mod.strongest(named_means(s, f)),
+    "logistic_weights": logistic_weights,
     "baseline_metrics": _of_run(mod.ordered_metrics),
     "gate_checks": _of_run(lambda run: mod.gate_checks(run.metrics).drop("position")),
     "metric_gaps": _of_run(lambda run: ev.metric_gaps(run.metrics, mod.LOGISTIC, mod.PRIOR)),

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from .operators.roles import OTHER_ROLE, ROLE_RULES
-from .schema import DRAFT
-from .sources.match_view import MATCH_VIEW_CTES, VERSIONS_CTE, VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF
+from .schema import DRAFT, raw_struct
+from .sources.match_view import MATCH_VIEW_CTES, VERSIONS_CTE, VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, WIDE_VIEW_CTE
 
 _IDS, _NAMES = DRAFT.pick_ids(), DRAFT.pick_names()
 _PICKS = ", ".join(f"m.{i}, m.{n}" for i, n in zip(_IDS, _NAMES))
@@ -110,23 +109,44 @@ def _nulls(source: str, columns: list[str], percent: bool = True) -> str:
     )
 
 
-def _role_case(field: str) -> str:
-    """First matching rule as a CASE over the column name."""
-
-    def test(rule) -> str:
-        tests = [f"\"column\" = '{n}'" for n in rule.names]
-        tests += [f"starts_with(\"column\", '{p}')" for p in rule.prefixes]
-        tests += [f"ends_with(\"column\", '{s}')" for s in rule.suffixes]
-        joined = "(" + " OR ".join(tests) + ")"
-        return f"{joined} AND contains(\"column\", '{rule.contains}')" if rule.contains else joined
-
-    whens = " ".join(f"WHEN {test(r)} THEN '{getattr(r, field)}'" for r in ROLE_RULES)
-    return f"CASE {whens} ELSE '{getattr(OTHER_ROLE, field)}' END"
-
-
-_ROLES = (
-    f"{_role_case('group')} AS column_group, {_role_case('decision')} AS v1_decision, {_role_case('reason')} AS reason"
-)
+# Fixed values, written out by hand and not taken from the library's rules: groups, decisions, reasons.
+_ROLE_TABLE = """
+role_names(k, column_group, v1_decision, reason) AS (VALUES
+  (1, 'target source', 'target_derivation_only', 'Directly identifies the winner; use it only to create radiant_win, then remove it.'),
+  (2, 'target mapping', 'target_derivation_only', 'Needed to map winner_id to Radiant or Dire; excluded from the draft-only model.'),
+  (3, 'identifier', 'tracking_only', 'Useful for deduplication and tracing a row, but an arbitrary ID is not a feature.'),
+  (4, 'time', 'split_only', 'Use for the chronological split, not as a direct model feature.'),
+  (5, 'pre-match context', 'use_feature', 'The game patch is known before the match and changes hero balance.'),
+  (6, 'draft', 'use_feature', 'The selected hero is known when the draft ends and is a primary model input.'),
+  (7, 'draft label', 'display_only', 'Human-readable duplicate of hero_id; keep for inspection, not as a second model feature.'),
+  (8, 'post-match result', 'exclude_leakage', 'Created during or after the match and would reveal information unavailable at draft time.'),
+  (9, 'role assignment', 'exclude_leakage_risk', 'May be assigned or inferred using match play; exclude until its timestamp and origin are verified.'),
+  (10, 'player identity', 'exclude_scope', 'Potentially known before the match, but high-cardinality identity features complicate a simple draft model.'),
+  (11, 'team identity', 'exclude_scope', 'Known before the match, but excluded so the baseline measures draft information rather than team reputation.'),
+  (12, 'competition metadata', 'exclude_scope', 'Mostly available before the match, but not necessary for the smallest useful draft-only baseline.'),
+  (13, 'other', 'review_before_use', 'Outside the baseline scope; verify availability before considering it as a feature.'))"""
+_ROLE_NUMBER = r"""CASE
+    WHEN "column" = 'winner_id' THEN 1
+    WHEN regexp_full_match("column", '(radiant|dire)_team_id') THEN 2
+    WHEN "column" = 'match_id' THEN 3
+    WHEN "column" = 'match_start_date_time' THEN 4
+    WHEN "column" = 'game_version_id' THEN 5
+    WHEN regexp_full_match("column", '(radiant|dire)_player_[1-5]_hero_id') THEN 6
+    WHEN regexp_full_match("column", '(radiant|dire)_player_[1-5]_hero') THEN 7
+    WHEN regexp_full_match("column", 'match_duration_seconds|first_blood_time_seconds|(radiant|dire)_kills') THEN 8
+    WHEN regexp_full_match("column", '(radiant|dire)_player_[1-5]_(kills|deaths|assists|networth)') THEN 8
+    WHEN regexp_full_match("column", '(radiant|dire)_player_[1-5]_(position|lane|role)') THEN 9
+    WHEN regexp_full_match("column", '(radiant|dire)_player_[1-5]_(id|name)') THEN 10
+    WHEN regexp_full_match("column", '(radiant|dire)_team_name') THEN 11
+    WHEN regexp_full_match("column", 'league|league_.*|series_(id|type)') THEN 12
+    ELSE 13 END"""
+
+
+def _inventory(source: str, columns: list[str], *more: str) -> tuple[str, ...]:
+    """CTEs ending in `inventory`: null profile and role of every column."""
+    profile = f"\nprofile AS ({_nulls(source, columns)})"
+    joined = f"\ninventory AS (SELECT p.*, r.column_group, r.v1_decision, r.reason FROM profile p JOIN role_names r ON r.k = {_ROLE_NUMBER})"
+    return (*more, _ROLE_TABLE, profile, joined)
 
 
 def _sample(rows: int) -> str:
@@ -151,7 +171,7 @@ cuts AS (
   FROM ranked)"""
 
 
-def _quality(source: str, columns: list[str], expected_rows: str, expected_columns: str) -> str:
+def _quality(source: str, columns: list[str], expected_rows: str, expected_columns: str, order: str = "match_id") -> str:
     missing = " + ".join(f"CAST({c} IS NULL AS INT)" for c in columns)
     bad = " + ".join(f"CAST(coalesce({c} <= 0, FALSE) AS INT)" for c in _IDS)
     facts = f"""
@@ -160,7 +180,7 @@ facts AS (SELECT count(*) AS n, CAST(sum({missing}) AS BIGINT) AS missing,
     count(*) FILTER (WHERE len(list_distinct([{", ".join(_IDS)}])) <> 10) AS drafts,
     count(*) FILTER (WHERE radiant_win) AS yes, count(*) FILTER (WHERE NOT radiant_win) AS no,
     count(*) - count(DISTINCT match_id) AS repeated FROM {source}),
-steps AS (SELECT {_TIME} < lag({_TIME}) OVER (ORDER BY match_id) AS down FROM {source}),
+steps AS (SELECT {_TIME} < lag({_TIME}) OVER (ORDER BY {order}, {_TIME}) AS down FROM {source}),
 sorted AS (SELECT count(*) FILTER (WHERE down) = 0 AS ok FROM steps)"""
 
     def zero(name: str, value: str) -> str:
@@ -269,6 +289,72 @@ target AS (SELECT 'Radiant win' AS result, count(*) FILTER (WHERE radiant_win) A
 _STAMP = "'%Y-%m-%d %H:%M:%S'"
 _SUMMARY = f"""count(*) AS matches, min({_TIME}) AS first_match, max({_TIME}) AS last_match"""
 
+_WIDE_COLUMNS = [f.name for f in raw_struct()] + ["weather"]
+_BOTH = (
+    _SCORED,
+    """
+both_scored AS (
+  SELECT 'Logistic regression' AS model, split, label, p FROM scored
+  UNION ALL SELECT 'Dummy prior', split, y, (SELECT avg(y) FROM split_matches WHERE split = 'train') FROM split_matches),
+both_counts AS (SELECT model, split, p, CAST(sum(label) AS BIGINT) AS pos, CAST(sum(1 - label) AS BIGINT) AS neg FROM both_scored GROUP BY 1, 2, 3),
+both_running AS (SELECT *, sum(neg) OVER (PARTITION BY model, split ORDER BY p) AS cum_neg FROM both_counts),
+measured AS (SELECT model, split,
+    CAST(sum(CASE WHEN p >= 0.5 THEN pos ELSE neg END) AS DOUBLE) / sum(pos + neg) AS accuracy,
+    CAST(sum(pos * (cum_neg - neg / 2.0)) AS DOUBLE) / (CAST(sum(pos) AS DOUBLE) * sum(neg)) AS roc_auc,
+    sum(-(pos * ln(p) + neg * ln(1 - p))) / sum(pos + neg) AS log_loss
+  FROM both_running GROUP BY 1, 2)""",
+)
+_BOTH_METRICS = (
+    "SELECT model, split, round(accuracy, 6) AS accuracy, round(roc_auc, 6) AS roc_auc, round(log_loss, 6) AS log_loss FROM measured"
+)
+_PRIOR_METRICS = """SELECT 'Dummy prior' AS model, split,
+        round(avg(CASE WHEN CAST(prior >= 0.5 AS INT) = y THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy,
+        CAST(0.5 AS DOUBLE) AS roc_auc,
+        round(avg(-(y * ln(prior) + (1 - y) * ln(1 - prior))), 6) AS log_loss
+        FROM split_matches, (SELECT avg(y) AS prior FROM split_matches WHERE split = 'train') GROUP BY split"""
+_NAMED_MEANS = f"""
+means AS (SELECT hero_id, round(avg(radiant_win::INT), 6) AS coefficient FROM picks JOIN matches USING (match_id)
+  WHERE side = 'Radiant' GROUP BY 1),
+hero_names AS (SELECT hero_id, hero_name FROM (SELECT *, row_number() OVER (
+    PARTITION BY hero_id ORDER BY {_SIDE_ORDER}, picks.{_TIME}, match_id) AS rn FROM picks) WHERE rn = 1),
+named AS (SELECT CAST(m.hero_id AS INT) AS index, concat('hero_', m.hero_id) AS feature, m.hero_id, n.hero_name, m.coefficient
+  FROM means m LEFT JOIN hero_names n USING (hero_id))"""
+
+
+def _of(model: str, split: str, metric: str) -> str:
+    return f"(SELECT {metric} FROM measured WHERE model = '{model}' AND split = '{split}')"
+
+
+def _newton(steps: int) -> str:
+    """Newton's method for |w|^2 / 2 + 0.01 * sum(loss) with two features and a bias, one CTE per step.
+
+    The three equations of a step are solved by Cramer's rule; rows are counted by value first.
+    """
+    ctes = [
+        """
+points AS (SELECT CAST(l_quantity AS DOUBLE) / 50 AS x1, CAST(l_discount AS DOUBLE) * 10 AS x2, count(*) AS n,
+    CAST(count(*) FILTER (WHERE l_returnflag = 'R') AS DOUBLE) AS pos FROM lineitem GROUP BY 1, 2)""",
+        "\nw0 AS (SELECT CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c)",
+    ]
+    for k in range(steps):
+        ctes.append(f"""
+s{k} AS (SELECT x1, x2, a, b, c, 0.01 * n / (1 + exp(-(a * x1 + b * x2 + c))) - 0.01 * pos AS g,
+    0.01 * n / (1 + exp(-(a * x1 + b * x2 + c))) / (1 + exp(a * x1 + b * x2 + c)) AS h FROM points, w{k}),
+e{k} AS (SELECT any_value(a) AS a, any_value(b) AS b, any_value(c) AS c,
+    any_value(a) + sum(g * x1) AS g1, any_value(b) + sum(g * x2) AS g2, any_value(c) + sum(g) AS g3,
+    1 + sum(h * x1 * x1) AS m11, sum(h * x1 * x2) AS m12, sum(h * x1) AS m13,
+    1 + sum(h * x2 * x2) AS m22, sum(h * x2) AS m23, 1 + sum(h) AS m33 FROM s{k}),
+d{k} AS (SELECT *, m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13) AS det FROM e{k}),
+w{k + 1} AS (SELECT
+    a - (g1 * (m22 * m33 - m23 * m23) - m12 * (g2 * m33 - m23 * g3) + m13 * (g2 * m23 - m22 * g3)) / det AS a,
+    b - (m11 * (g2 * m33 - m23 * g3) - g1 * (m12 * m33 - m23 * m13) + m13 * (m12 * g3 - g2 * m13)) / det AS b,
+    c - (m11 * (m22 * g3 - g2 * m23) - m12 * (m12 * g3 - g2 * m13) + g1 * (m12 * m23 - m22 * m13)) / det AS c FROM d{k})""")
+    last = f"w{steps}"
+    return (
+        "WITH " + ",".join(ctes) + f" SELECT 'quantity' AS feature, round(a, 4) AS weight FROM {last}"
+        f" UNION ALL SELECT 'discount', round(b, 4) FROM {last} UNION ALL SELECT 'bias', round(c, 4) FROM {last}"
+    )
+
 ORACLE_SQL: dict[str, str] = {
     # curation
     "curated_sample": _sample(30_000),
@@ -290,12 +376,92 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "null_profile": _view(_nulls("match_view", _VIEW_COLUMNS)),
     "null_profile_documents": _nulls("documents", ["doc_id", "text", "lang", "source", "n_chars"]),
-    "column_inventory": _view(f"SELECT *, {_ROLES} FROM ({_nulls('match_view', _VIEW_COLUMNS)})"),
+    "column_inventory": _view("SELECT * FROM inventory", *_inventory("match_view", _VIEW_COLUMNS)),
     "role_summary": _view(
         f"""SELECT column_group, v1_decision, count(*) AS columns, min(position) AS first_position,
-        string_agg("column", ', ' ORDER BY position) AS names
-        FROM (SELECT *, {_ROLES} FROM ({_nulls('match_view', _VIEW_COLUMNS, percent=False)})) GROUP BY 1, 2"""
-    ),
+        string_agg("column", ', ' ORDER BY position) AS names FROM inventory GROUP BY 1, 2""",
+        *_inventory("match_view", _VIEW_COLUMNS),
+    ),
+    "column_inventory_wide": _view("SELECT * FROM inventory", *_inventory("wide_view", _WIDE_COLUMNS, WIDE_VIEW_CTE)),
+    "role_summary_wide": _view(
+        """SELECT column_group, v1_decision, count(*) AS columns, min(position) AS first_position
+        FROM inventory GROUP BY 1, 2""",
+        *_inventory("wide_view", _WIDE_COLUMNS, WIDE_VIEW_CTE),
+    ),
+    "inventory_csv": _view(
+        'SELECT "column", null_count, column_group, v1_decision, reason FROM inventory',
+        *_inventory("wide_view", _WIDE_COLUMNS, WIDE_VIEW_CTE),
+    ),
+    "fingerprint": _m(
+        """SELECT count(*) AS rows, CAST(sum(CAST(concat('0x', substr(h, 1, 15)) AS BIGINT)) AS VARCHAR) AS hash_sum
+        FROM (SELECT md5(concat_ws('|', """
+        + ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in DRAFT.curated_columns())
+        + ")) AS h FROM matches)"
+    ),
+    # sources and sinks
+    "raw_matches": _view(f"SELECT match_id, {_TIME}, coalesce(game_version_id, -1) AS game_version_id, coalesce(winner_id, -1) AS winner_id FROM match_view"),
+    "versions_csv": _sql(1, "SELECT id, name FROM versions"),
+    "curated_csv": _m("SELECT * FROM matches"),
+    "file_order_checks": _m(_STATUS, _quality("matches", DRAFT.curated_columns(), "n", "25", f"{_TIME}, match_id")),
+    "metadata_json": _m(
+        f"""SELECT r.raw_rows, r.raw_unique_matches, r.raw_date_min, r.raw_date_max, m.* FROM (
+          SELECT count(*) AS raw_rows, count(DISTINCT match_id) AS raw_unique_matches,
+          strftime(min({_TIME}), {_STAMP}) AS raw_date_min, strftime(max({_TIME}), {_STAMP}) AS raw_date_max FROM match_view) r,
+        (SELECT count(*) AS actual_rows, strftime(min({_TIME}), {_STAMP}) AS date_min,
+          strftime(max({_TIME}), {_STAMP}) AS date_max, CAST(25 AS INT) AS n_columns FROM matches) m"""
+    ),
+    "metrics_csv": _s(_BOTH_METRICS, *_BOTH),
+    "curation_job": _sample(2000),
+    "training_job_prior": _s(_PRIOR_METRICS),
+    "binary_labels": _s("SELECT match_id, y AS label FROM split_matches"),
+    "flipped_labels": _s("SELECT match_id, CASE WHEN match_id % 3 = 0 THEN 1 - y ELSE y END AS label FROM split_matches"),
+    "training_guards": _s(
+        """SELECT split, count(*) AS rows, CAST(sum(y) AS BIGINT) AS positives, sum(y) > 0 AND sum(y) < count(*) AS trainable
+        FROM split_matches GROUP BY 1"""
+    ),
+    "gate_checks_of_scores": _s(
+        """SELECT 'Validation ROC-AUC above 0.5' AS "check", auc > 0.5 AS passed, CASE WHEN auc > 0.5 THEN 'PASS' ELSE 'STOP' END AS status FROM gate
+        UNION ALL SELECT 'Validation Log Loss no worse than dummy', loss <= base, CASE WHEN loss <= base THEN 'PASS' ELSE 'STOP' END FROM gate""",
+        *_BOTH,
+        """
+gate AS (SELECT max(roc_auc) FILTER (WHERE model = 'Logistic regression') AS auc,
+    max(log_loss) FILTER (WHERE model = 'Logistic regression') AS loss, max(log_loss) FILTER (WHERE model = 'Dummy prior') AS base
+  FROM measured WHERE split = 'validation')""",
+    ),
+    "metric_gaps_of_scores": _s(
+        "SELECT "
+        + ", ".join(
+            [
+                f"round({_of('Logistic regression', s, m)} - {_of('Dummy prior', s, m)}, 6) AS {s}_{m}_gain"
+                for m in ("accuracy", "roc_auc", "log_loss")
+                for s in ("validation", "test")
+            ]
+            + [
+                f"round({_of('Logistic regression', 'validation', m)} - {_of('Logistic regression', 'test', m)}, 6) AS validation_test_{m}_gap"
+                for m in ("accuracy", "roc_auc", "log_loss")
+            ]
+        ),
+        *_BOTH,
+    ),
+    "metrics_by_auc_of_scores": _s(_BOTH_METRICS, *_BOTH),
+    "named_means": _p("SELECT * FROM named", _NAMED_MEANS),
+    "strongest_means": _p(
+        """SELECT * FROM (SELECT * FROM named ORDER BY coefficient, index LIMIT 10)
+        UNION ALL SELECT * FROM (SELECT * FROM named ORDER BY coefficient DESC, index LIMIT 10)""",
+        _NAMED_MEANS,
+    ),
+    "encoded_vectors": _e(
+        """SELECT c.match_id, CAST(max(w) AS INT) AS size, string_agg(concat(f.i, ':', c.value), ' ' ORDER BY f.i) AS cells
+        FROM cells c JOIN features f USING (feature), width GROUP BY 1""",
+        """
+features AS (
+  SELECT concat('hero_', hero_id) AS feature, row_number() OVER (ORDER BY hero_id) - 1 AS i FROM known_heroes
+  UNION ALL SELECT 'unknown_radiant_hero_count', (SELECT count(*) FROM known_heroes)
+  UNION ALL SELECT 'unknown_dire_hero_count', (SELECT count(*) FROM known_heroes) + 1
+  UNION ALL SELECT concat('patch_', game_version_id), (SELECT count(*) FROM known_heroes) + 1 + row_number() OVER (ORDER BY game_version_id) FROM known_patches
+  UNION ALL SELECT 'patch_unknown', (SELECT w - 1 FROM width))""",
+    ),
+    "logistic_weights": _newton(12),
     "missing_cells": _view(
         f"SELECT CAST(sum(null_count) AS BIGINT) AS missing_cells FROM ({_nulls('match_view', _VIEW_COLUMNS, percent=False)})"
     ),
@@ -331,6 +497,12 @@ ORACLE_SQL: dict[str, str] = {
         f"\nlabelled AS (SELECT *, {_LABEL} FROM match_view m)",
         _quality("labelled", [*_VIEW_COLUMNS, "radiant_win"], "15000", "27"),
     ),
+    "order_breaks_repeated": """SELECT count(*) FILTER (WHERE down) AS breaks FROM (
+        SELECT l_shipdate < lag(l_shipdate) OVER (ORDER BY l_orderkey, l_shipdate) AS down FROM lineitem)""",
+    "order_breaks_raw": _view(
+        f"""SELECT count(*) FILTER (WHERE down) AS breaks FROM (
+        SELECT {_TIME} < lag({_TIME}) OVER (ORDER BY match_id, {_TIME}) AS down FROM match_view)"""
+    ),
     "order_breaks": """SELECT count(*) FILTER (WHERE down) AS breaks FROM (
         SELECT o_orderdate < lag(o_orderdate) OVER (ORDER BY o_orderkey) AS down FROM orders)""",
     "prefix_sums": """SELECT l_returnflag, l_shipdate, n, CAST(sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_shipdate) AS BIGINT) AS cum_n
@@ -475,13 +647,7 @@ checks AS (
     "quality_confusion": f"WITH {_DOCS} {_confusion('')}",
     "line_metrics": _metrics(_LINES, "status"),
     # models
-    "prior_metrics": _s(
-        """SELECT 'Dummy prior' AS model, split,
-        round(avg(CASE WHEN CAST(prior >= 0.5 AS INT) = y THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS accuracy,
-        CAST(0.5 AS DOUBLE) AS roc_auc,
-        round(avg(-(y * ln(prior) + (1 - y) * ln(1 - prior))), 6) AS log_loss
-        FROM split_matches, (SELECT avg(y) AS prior FROM split_matches WHERE split = 'train') GROUP BY split"""
-    ),
+    "prior_metrics": _s(_PRIOR_METRICS),
     "run_split_counts": _s("SELECT split, count(*) AS matches FROM split_matches GROUP BY 1"),
     "run_shape": _e(
         """SELECT (SELECT count(*) FROM split_matches) AS rows, CAST(w AS INT) AS feature_columns,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..schema import raw_struct
 from .storage import stored_once
 
 _STEPS = range(10)
@@ -80,3 +81,28 @@ def version_view(spark: SparkSession, folder: str) -> DataFrame:
     """Version dimension of the view; every thirteenth ID is missing."""
     ids = match_view(spark, folder).select(F.col("game_version_id").alias("id"))
     return ids.filter("id % 13 <> 0").distinct().withColumn("name", F.concat(F.lit("p"), F.col("id").cast("string")))
+
+
+def _made_up(position: int, field) -> str:
+    """A value for a raw column that the view lacks, NULL in some rows, in SQL of both engines."""
+    kind, gap = field.dataType.simpleString(), 5 + position % 13
+    value = {
+        "string": f"concat('t', (match_id + {position}) % 97)",
+        "timestamp_ntz": "match_start_date_time",
+    }.get(kind, f"CAST((match_id + {position}) % 89 AS {kind.upper()})")
+    return f"CASE WHEN (match_id + {position}) % {gap} = 0 THEN NULL ELSE {value} END AS {field.name}"
+
+
+_HAS = {"match_id", "match_start_date_time", "game_version_id", "radiant_team_id", "dire_team_id", "winner_id", *_PICKS, *(f"{p}_id" for p in _PICKS)}
+_WIDE = ",\n    ".join(f.name if f.name in _HAS else _made_up(i, f) for i, f in enumerate(raw_struct()))
+# The view with all 130 columns of a raw match table, and one that no rule knows.
+WIDE_VIEW_CTE = f"""
+wide_view AS (
+  SELECT {_WIDE},
+    CASE WHEN match_id % 10 = 0 THEN NULL ELSE 'fair' END AS weather
+  FROM match_view)"""
+
+
+def wide_view(spark: SparkSession, folder: str) -> DataFrame:
+    text = WIDE_VIEW_CTE.replace("FROM match_view", "FROM {view}")
+    return spark.sql(f"WITH {text} SELECT * FROM wide_view", view=match_view(spark, folder))
