@@ -99,3 +99,18 @@ def test_sampling_before_ranking_equals_ranking_before_sampling(spark):
     want = sorted(full, key=lambda k: hashlib.md5(str(k).encode()).hexdigest())[:20]
     got = {r[DRAFT.key]: r for r in cur.curate(raw, versions, rows=20).collect()}
     assert got == {k: full[k] for k in want}
+
+
+def test_full_ties_do_not_depend_on_the_input_order(spark):
+    rows = [(1, 5, 1, None), (1, 5, None, 1), (1, 5, None, None)]
+    found = set()
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        df = spark.createDataFrame(order, "k int, t int, a int, b int").coalesce(1)
+        found |= {tuple(r) for r in cur.keep_latest(df, ["k"], ["t"]).collect()}
+    assert found == {(1, 5, 1, None)}
+
+
+def test_hash_sample_of_nothing_and_of_null_keys(spark):
+    df = spark.createDataFrame([(None,), (1,), (1,), (2,)], "k int")
+    assert cur.hash_sample(df, "k", 0).count() == 0
+    assert sorted(r.k for r in cur.hash_sample(df, "k", 5).collect()) == [1, 1, 2]

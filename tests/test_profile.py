@@ -92,3 +92,11 @@ def test_guards_and_summaries(spark):
     assert "winner_id" not in q.drop_forbidden(df).columns
     with pytest.raises(ValueError, match="x: missing required columns b, c"):
         q.require_columns(spark.createDataFrame([(1,)], "a int"), ["c", "a", "b"], "x")
+
+
+def test_fingerprint_sees_a_value_move_next_to_a_null(spark):
+    kind = "a int, b int, c string, d string"
+    tables = [[(1, None, "x", "")], [(None, 1, "x", "")], [(1, None, "", "x")], [(1, None, None, "x")], [(1, None, "x|1:", "")]]
+    prints = {prof.fingerprint(spark.createDataFrame(rows, kind)).first().hash_sum for rows in tables}
+    assert len(prints) == len(tables)
+    assert prof.fingerprint(spark.createDataFrame([], kind)).first() == (0, "0")

@@ -58,3 +58,18 @@ def test_order_breaks(spark):
 def test_text_keys_are_refused(spark):
     with pytest.raises(TypeError):
         ranks.with_range_bucket(spark.createDataFrame([("a",)], "k string"), "k")
+
+
+def test_breaks_do_not_depend_on_partitions_when_sequence_values_repeat(spark):
+    df = spark.range(400).selectExpr("id % 100 AS i", "CASE WHEN id % 7 = 0 THEN NULL ELSE id * 7919 % 101 END AS v")
+    rows = sorted((r.i, r.v) for r in df.collect() if r.v is not None)
+    expected = sum(b[1] < a[1] for a, b in zip(rows, rows[1:]))
+    for n in (1, 3, 16):
+        assert ranks.order_breaks(df.repartition(n), "v", "i").first().breaks == expected
+
+
+def test_a_hot_sequence_value_becomes_one_row(spark):
+    df = spark.range(90_000).selectExpr("IF(id % 3 = 0, 7, id) AS i", "id AS v")
+    assert ranks.order_breaks(df, "v", "i").first().breaks == 2  # before its smallest and after its largest
+    plan = df.where("v IS NOT NULL").groupBy("i").agg(F.min("v"), F.max("v"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("Exchange") < plan.rindex("HashAggregate")  # reduced below the shuffle

@@ -123,3 +123,51 @@ def test_run_training_from_csv(spark, tmp_path):
     assert saved.columns == ["model", "split", "accuracy", "roc_auc", "log_loss"] and saved.count() == 6
     with pytest.raises(FileNotFoundError):
         run_training(spark, str(tmp_path / "nowhere"))
+
+
+def test_evaluate_model_agrees_with_the_scores_from_entries(run):
+    frame = run.prepared.frame
+    expected = {(r.model, r.split): (r.accuracy, r.roc_auc, r.log_loss) for r in run.metrics.collect()}
+    for name, model in run.models.items():
+        for r in mod.evaluate_model(model, frame, name).collect():
+            assert (r.accuracy, r.roc_auc, r.log_loss) == pytest.approx(expected[name, r.split], abs=1e-9)
+
+
+def test_the_gradient_vanishes_for_every_feature(run):
+    values, bias = mod.weights(run.models[mod.LOGISTIC])
+    train = run.prepared.frame.filter("split = 'train'").select("features", "radiant_win").collect()
+    x = np.array([[*r.features.toArray(), 1.0] for r in train])
+    w = np.array([*values, bias])
+    p = 1 / (1 + np.exp(-x @ w))
+    gradient = w + x.T @ (p - np.array([r.radiant_win for r in train], dtype=float))
+    assert abs(gradient).max() < 1e-3
+
+
+def test_rows_are_encoded_once(run):
+    plan = run.prepared.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_except" not in plan  # what training and scoring read is stored
+
+
+def test_stored_tables_follow_their_source_and_go_at_the_end(spark, tmp_path):
+    import os
+
+    from draftline.sources import storage
+
+    source = str(tmp_path / "source")
+    build = lambda: spark.read.parquet(source)
+    spark.range(3).write.parquet(source)
+    first = storage.stored_once(spark, source, "t", build)
+    assert first.inputFiles() == storage.stored_once(spark, source, "t", build).inputFiles()
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert storage.stored_once(spark, source, "t", build).count() == 5
+    folder = storage.checkpoint_folder(spark)
+    place, kept, stored = str(tmp_path / "shared"), list(storage._folders), dict(storage._stored)
+    os.makedirs(f"{place}/x")
+    try:  # the session of the tests goes on, so only a folder of this test is dropped
+        storage._folders[:] = [place]
+        storage.drop_stored()
+        assert not os.path.exists(place) and not storage._stored
+    finally:
+        storage._folders[:] = kept
+        storage._stored.update(stored)
+    assert folder in kept
