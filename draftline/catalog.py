@@ -483,6 +483,8 @@ QUERIES |= {
     "log_loss": _with(_scored, ev.log_loss, "log_loss", groups=["split"]),
     "roc_auc": _with(_scored, ev.roc_auc, "roc_auc", groups=["split"]),
     "roc_points": _with(_scored, ev.roc_points, "threshold", "fpr", "tpr", groups=["split"]),
+    "roc_corners": _with(_scored, ev.roc_points, "threshold", "fpr", "tpr", groups=["split"], drop_collinear=True),
+    "roc_corners_lines": _with(_lines_scored, ev.roc_points, "threshold", "fpr", "tpr", groups=["status"], drop_collinear=True),
     "confusion_matrix": _with(_scored, ev.confusion_matrix, groups=["split"]),
     "quality_metrics": _with(_length_scored, ev.metrics, "accuracy", "roc_auc", "log_loss", groups=[]),
     "quality_confusion": _with(_length_scored, ev.confusion_matrix),

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import predicted_class, split_rank
 from ..schema import DRAFT
 from ..sources.storage import materialize
-from .ranks import prefix_sums
+from .ranks import prefix_sums, with_range_bucket
 
 GROUPS = ("model", "split")
 # Fixed value: double-precision machine epsilon, the clip of probabilities in the log loss.
@@ -70,13 +70,42 @@ def roc_auc(scored: DataFrame, groups: Sequence[str] = (), score: str = "probabi
     return metrics(scored, groups, score, label).select(*groups, "roc_auc")
 
 
-def roc_points(scored: DataFrame, groups: Sequence[str] = (), score: str = "probability", label: str = "label") -> DataFrame:
+def _corners(ranked: DataFrame, groups: Sequence[str], score: str) -> DataFrame:
+    """Ranked counts without those whose next lower score moves the curve just as they do.
+
+    The first and last score of a group stay. Neighbours are found inside ranges of the score; one row
+    per range carries the first counts of the range below.
+    """
+    by = [*groups, "_bucket"]
+    cell, ranged = F.struct("pos", "neg"), with_range_bucket(ranked, score)
+    heads = ranged.groupBy(*by).agg(F.max_by(cell, score).alias("_head"))
+    below = F.lead("_head").over(Window.partitionBy(*groups).orderBy(F.col("_bucket").desc()))
+    heads = heads.select(*[F.col(c).alias(f"_on_{c}") for c in by], below.alias("_below"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_on_{c}"))
+    inside = F.lead(cell).over(Window.partitionBy(*by).orderBy(F.col(score).desc()))
+    joined = ranged.withColumn("_next", inside).join(heads, same)
+    following = F.coalesce("_next", "_below")
+    first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
+    return joined.filter(first | ~cell.eqNullSafe(following)).select(*ranked.columns)
+
+
+def roc_points(
+    scored: DataFrame,
+    groups: Sequence[str] = (),
+    score: str = "probability",
+    label: str = "label",
+    drop_collinear: bool = False,
+) -> DataFrame:
     """False and true positive rate at every different score, from the highest down, after (0, 0).
 
-    Points on a straight line are kept; the (0, 0) row has an infinite threshold.
+    Points on a straight line are kept unless `drop_collinear`; the (0, 0) row has an infinite threshold.
     """
     counts = materialize(score_counts(scored, groups, score, label))
     ranked = prefix_sums(counts, score, ["pos", "neg"], groups, descending=True)
+    if drop_collinear:
+        ranked = _corners(materialize(ranked), groups, score)
     sizes = counts.groupBy(*groups).agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     if groups:
         joined = ranked.join(sizes, list(groups))

@@ -321,6 +321,17 @@ named AS (SELECT CAST(m.hero_id AS INT) AS index, concat('hero_', m.hero_id) AS
   FROM means m LEFT JOIN hero_names n USING (hero_id))"""
 
 
+def _corners(group: str) -> str:
+    return f"""SELECT {group}, round(p, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM (
+          SELECT *, CAST(down_neg AS DOUBLE) / sum(neg) OVER (PARTITION BY {group}) AS fpr,
+            CAST(down_pos AS DOUBLE) / sum(pos) OVER (PARTITION BY {group}) AS tpr,
+            lead(pos) OVER (PARTITION BY {group} ORDER BY p DESC) AS next_pos,
+            lead(neg) OVER (PARTITION BY {group} ORDER BY p DESC) AS next_neg,
+            row_number() OVER (PARTITION BY {group} ORDER BY p DESC) AS place FROM running)
+        WHERE place = 1 OR next_pos IS NULL OR next_pos <> pos OR next_neg <> neg
+        UNION ALL SELECT DISTINCT {group}, CAST('Infinity' AS DOUBLE), 0.0, 0.0 FROM running"""
+
+
 def _of(model: str, split: str, metric: str) -> str:
     return f"(SELECT {metric} FROM measured WHERE model = '{model}' AND split = '{split}')"
 
@@ -642,6 +653,8 @@ checks AS (
         _SCORED,
         _auc_ctes("split"),
     ),
+    "roc_corners": _s(_corners("split"), _SCORED, _auc_ctes("split")),
+    "roc_corners_lines": f"WITH {_LINES},{_auc_ctes('status')} {_corners('status')}",
     "confusion_matrix": _s(_confusion("split"), _SCORED),
     "quality_metrics": _metrics(_DOCS, ""),
     "quality_confusion": f"WITH {_DOCS} {_confusion('')}",
