@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -20,29 +19,35 @@ class TrieCounter:
     segmentation that ends there; a prefix shared by many pre-tokens is scored once. The node that
     ends a pre-token stores its count. A character that no piece covers costs `unknown` and counts
     as its UTF-8 bytes. Pre-tokens of over 48 characters are scored outside the trie, which is
-    emptied when it holds `nodes` nodes, so memory is bounded; neither changes a count.
+    emptied when it holds `nodes` nodes; counts of pre-tokens outlive it in two generations of at
+    most `words` each. So memory is bounded, and none of this changes a count.
     """
 
-    def __init__(self, scores: dict[str, float], nodes: int = 400_000):
-        self.scores, self.most = scores, nodes
+    def __init__(self, scores: dict[str, float], nodes: int = 1_000_000, words: int = 400_000):
+        self.scores, self.most, self.words = scores, nodes, words
+        self.counts, self.old = {}, {}
         self.reach = max(map(len, scores))
+        #: Longest piece by its last two characters: no longer strings need to be looked up.
+        self.longest: dict[str, int] = {}
+        for piece in scores:
+            self.longest[piece[-2:]] = max(self.longest.get(piece[-2:], 1), len(piece))
         self.unknown = min(scores.values()) - 10.0
         self._clear()
 
     def _clear(self) -> None:
-        self.root, self.size, self.counts = ({}, 0.0, 0), 0, {}
+        self.root, self.size = ({}, 0.0, 0), 0
 
     def _step(self, text: str, end: int, path: list[tuple]) -> tuple[dict, float, int]:
         """The node for text[:end]; path[i] is that of text[:i]."""
-        scores = self.scores
-        best, n = None, 0
-        for start in range(max(0, end - self.reach), end):
-            score = scores.get(text[start:end])
+        get, best, n = self.scores.get, None, 0
+        for start in range(max(0, end - self.longest.get(text[max(0, end - 2) : end], 1)), end):
+            score = get(text[start:end])
             if score is not None:
-                score += path[start][1]
+                _, before, tokens = path[start]
+                score += before
                 if best is None or score > best:
-                    best, n = score, path[start][2] + 1
-        if text[end - 1 : end] not in scores:
+                    best, n = score, tokens + 1
+        if text[end - 1] not in self.scores:
             score = path[end - 1][1] + self.unknown
             if best is None or score > best:
                 best, n = score, path[end - 1][2] + len(text[end - 1].encode("utf-8", "surrogatepass"))
@@ -52,6 +57,16 @@ class TrieCounter:
         found = self.counts.get(word)
         if found is not None:
             return found
+        found = self.old.get(word)
+        if found is None:
+            found = self._find(word)
+        if len(word) <= _LONG:
+            self.counts[word] = found
+            if len(self.counts) > self.words:
+                self.counts, self.old = {}, self.counts
+        return found
+
+    def _find(self, word: str) -> int:
         text = _SPACE + word
         if len(word) > _LONG:
             # only the last `reach` prefixes matter to the next one
@@ -70,7 +85,6 @@ class TrieCounter:
                 node = children[letter] = self._step(text, end, path)
                 self.size += 1
             path.append(node)
-        self.counts[word] = path[-1][2]
         return path[-1][2]
 
 
@@ -100,20 +114,25 @@ def token_counts(docs: DataFrame, model: str) -> DataFrame:
     """
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         if model not in _counters:
             _counters[model] = TrieCounter(piece_scores(model))
         counter = _counters[model]
 
         def one(batch):
-            words, tokens = [], []
-            for text in batch.column(1).to_pylist():
-                counts = Counter((text or "").encode("utf-8", "surrogatepass").split())
-                words.append(sum(counts.values()))
-                tokens.append(sum(n * counter.count(w.decode("utf-8", "surrogatepass")) for w, n in counts.items()))
-            arrays = [batch.column(0), pa.array(words, pa.int64()), pa.array(tokens, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_tokens"])
+            lists = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))
+            at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            coded = lists.flatten().dictionary_encode()
+            different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+            word = coded.indices.to_numpy(zero_copy_only=False)
+            # leading and trailing white space yields empty strings, which are no words
+            tokens = np.array([counter.count(w) if w else 0 for w in different], dtype=np.int64)[word]
+            real = np.array([bool(w) for w in different], dtype=np.int64)[word]
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[at]) for x in (real, tokens)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, sums)], ["doc_id", "n_words", "n_tokens"])
 
         yield from in_batches(one)(batches)
 

@@ -126,7 +126,7 @@ def test_trie_counts_equal_the_library_and_do_not_depend_on_the_bound():
     library.pre_tokenizer = pre_tokenizers.Metaspace()
     texts = pd.read_parquet(f"{SMALL}/documents.parquet").text
     words = sorted({w for t in texts for w in t.split()})[::7] + ["x" * 500, "ab" * 40]
-    ours, tight = TrieCounter(scores), TrieCounter(scores, nodes=50)
+    ours, tight = TrieCounter(scores), TrieCounter(scores, nodes=50, words=7)
     counts = [ours.count(w) for w in words]
     assert counts == [tight.count(w) for w in words] == [len(x.ids) for x in library.encode_batch(words)]
     assert ours.count("a𐎀") == ours.count("a") + 4  # no piece: four bytes
