@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import findable, in_batches, n_words, store, with_row_key
+from .common import in_batches, n_words, store, with_row_key
 
 WEIGHTS = (3, 1, 2)
 _ROW = ["_k1", "_k2"]
@@ -51,7 +51,7 @@ def plan_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
     no source, however large, is ordered by one task.
     """
     perm = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = with_row_key(docs.select("doc_id", "source", "text")).select(
+    sized = with_row_key(docs).select(
         *_ROW, "doc_id", "source", n_words(F.col("text")).alias("size"), perm.alias("_perm")
     )
     sized = store(sized.withColumn("_bucket", F.substring("_perm", 1, 3)), "sizes")
@@ -141,7 +141,6 @@ def place(planned: DataFrame, shard_blocks: int = 4096, seed: int = 11) -> DataF
         yield from in_batches(one)(batches)
 
     spark = planned.sparkSession
-    findable(spark)
     table = spark.range(shards).mapInArrow(ranges, "_p int, _low bigint, _high bigint, shard bigint").where("_low < _high")
     width = 1024
     table = table.withColumn("_chunk", F.explode(F.expr(f"sequence(_low div {width}, (_high - 1) div {width})")))
@@ -172,11 +171,10 @@ def mix(docs: DataFrame) -> DataFrame:
     """The columns of `docs`, one row per taken copy, with shard and place; rows of a shard lie together
     in their shuffled order."""
     planned = plan_copies(docs)
-    order = Window.partitionBy(*_ROW).orderBy("position", "rank")
-    numbered = planned.select(*_ROW, "position", "rank", F.row_number().over(order).alias("_same"))
-    where = place(planned).join(numbered, ["position", "rank"]).select(*_ROW, "_same", "shard", "place")
-    base = with_row_key(docs)
-    base = base.withColumn("_same", F.row_number().over(Window.partitionBy(*_ROW).orderBy(F.lit(0))))
-    out = base.join(where, [*_ROW, "_same"]).select(*docs.columns, "shard", "place")
+    where = place(planned).join(planned.select(*_ROW, "position", "rank"), ["position", "rank"])
+    # equal rows stand for each other: one of them meets the places of all
+    one = Window.partitionBy(*_ROW).orderBy(F.lit(0))
+    rows = with_row_key(docs).withColumn("_turn", F.row_number().over(one)).where("_turn = 1")
+    out = rows.join(where.select(*_ROW, "shard", "place"), _ROW).select(*docs.columns, "shard", "place")
     return out.repartition(F.col("shard")).sortWithinPartitions("shard", "place")
 
