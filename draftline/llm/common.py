@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,8 +15,14 @@ from ..sources.storage import checkpoint_folder
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def findable(spark: SparkSession) -> None:
-    """Let Python workers that start in another folder import this package from where it is installed."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Settings of the queries and the pipeline: rows hold whole texts, so batches for Python are kept
+    small unless the session says otherwise; and workers that start in another folder find this package."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
     root = str(Path(__file__).resolve().parents[2])
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
@@ -24,7 +30,7 @@ def findable(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    findable(spark)
+    prepare(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -37,10 +43,10 @@ def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def with_row_key(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source", "text")) -> DataFrame:
-    """Add _k1 and _k2, 128 bits that tell rows apart by content; rows equal in `columns` share them."""
-    cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]
-    return docs.withColumn("_k1", F.xxhash64(*cells)).withColumn("_k2", F.xxhash64(*reversed(cells), F.lit(1)))
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """Add _k1 and _k2, 128 bits of a row's content; only rows that are equal in all columns share them."""
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in sorted(docs.columns)]
+    return docs.withColumns({"_k1": F.xxhash64(*cells), "_k2": F.xxhash64(*reversed(cells), F.lit(1))})
 
 
 def partitions(spark: SparkSession) -> int:

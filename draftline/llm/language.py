@@ -104,7 +104,7 @@ def fit(rows: np.ndarray, names: list[str], size: int, steps: int = 120, ridge:
     return LanguageModel(classes, code, w, b - mean @ w, trust, size)
 
 
-def train(docs: DataFrame, size: int = 4096, sample: int = 4000) -> LanguageModel:
+def train(docs: DataFrame, size: int = 2048, sample: int = 4000) -> LanguageModel:
     """Fit on about `sample` labelled rows outside the held-out quarter, spread evenly over languages.
 
     Only this many feature vectors of `size` numbers (sample * size * 4 bytes) reach the driver. Rows
@@ -135,11 +135,12 @@ def train(docs: DataFrame, size: int = 4096, sample: int = 4000) -> LanguageMode
     order = sorted(zip(found["lang"].to_pylist(), found["x"].to_pylist()))  # sums do not depend on who came first
     if not order:
         return LanguageModel([], np.zeros((0, 0)), np.zeros((size, 0)), np.zeros(0), np.zeros((0, 0)), size)
-    rows = np.stack([np.frombuffer(x, np.float32) for _, x in order])
-    return fit(rows, [name for name, _ in order], size)
+    rows, names = np.stack([np.frombuffer(x, np.float32) for _, x in order]), [name for name, _ in order]
+    del found, order
+    return fit(rows, names, size)
 
 
-def predict(docs: DataFrame, model: LanguageModel, ambiguous_gap: float = 0.1, extra: tuple[str, ...] = ()) -> DataFrame:
+def predict(docs: DataFrame, model: LanguageModel, ambiguous_gap: float = 0.02, extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous (and `extra` columns) of every whole text.
 
     Only the text decides. NULL texts and texts without a letter are `und` with score 0. `ambiguous`

@@ -177,7 +177,8 @@ def _rerank(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     )
     kinds = store(kinds.withColumn("open", (F.col("n") == 1) & ~F.col("known")), "kinds")
     ranks = kinds.groupBy("g").agg(F.count("*").alias("_kinds"), F.max("open").alias("_open"))
-    ranks = ranks.where((F.col("_kinds") > 1) & F.col("_open")).select("g")
+    # stored, so that the join below has plain shuffles on both sides and a hot rank can be split
+    ranks = store(ranks.where((F.col("_kinds") > 1) & F.col("_open")).select("g"), "open-ranks")
     following = kinds.join(ranks, "g").select("_one.*", (~F.col("open")).alias("known"))
     return kinds.where("n > 1").select("c1", "c2"), following
 
@@ -186,7 +187,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """_k1, _k2, start, end of every run of windows that also starts elsewhere (see `remove_repeats`)."""
     found = store(_anchor_rows(docs, length), "anchors", compression="zstd")
     # most grams are unique; their anchors need no further look
-    shared = found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    shared = store(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "shared-grams")
     found = store(found.join(shared, "g"), "shared-anchors", compression="zstd")
     names, live = _rerank(found.withColumn("known", F.lit(False)), [*_KEY, "a", "s", "e"])
     live = store(live, "live-anchors")
