@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from draftline.llm.common import findable, store, table, with_row_key
+from draftline.llm.common import prepare, store, table, with_row_key
 from draftline.llm.language import UNKNOWN, predict, train
 from draftline.llm.mixing import mix
 from draftline.llm.packing import cut_pieces, pack
@@ -20,7 +20,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go: NULL texts, no letters, or two languages about equally near."""
-    findable(spark)
+    prepare(spark)
     judged = predict(docs, train(docs), extra=tuple(c for c in COLUMNS if c != "doc_id"))
     return judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*COLUMNS)
 
@@ -31,7 +31,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows are told apart by their content, so of repeated rows one stays, and a group without any doc_id
     keeps one document, too.
     """
-    findable(spark)
+    prepare(spark)
     keyed = with_row_key(docs.select(*COLUMNS))
     identity = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_k1", "_k2").alias("row")
     found = near_duplicates(keyed.select(identity, "text"), "row")
@@ -44,20 +44,20 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated strings of 400 bytes are cut out; n_chars follows the text. A character of which only some
     bytes stay is left out. Documents of which nothing stays remain, with an empty text."""
-    findable(spark)
+    prepare(spark)
     cut = remove_repeats(docs.select(*COLUMNS), rewrite=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, shard by shard in shuffled order."""
-    findable(spark)
+    prepare(spark)
     return mix(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their place in sequences of 2048 tokens."""
-    findable(spark)
+    prepare(spark)
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     return pack(store(cut_pieces(docs, tokenizer, end_id=0, with_ids=False), "pieces"))
 
