@@ -5,7 +5,6 @@ from .expressions import (
     drafted_in_full,
     drafted_once,
     eligible,
-    feature_name,
     flip_where,
     item_of_feature,
     keep_known,
@@ -25,7 +24,6 @@ __all__ = [
     "drafted_in_full",
     "drafted_once",
     "eligible",
-    "feature_name",
     "flip_where",
     "item_of_feature",
     "keep_known",

@@ -107,10 +107,6 @@ def share(part: Column, whole: Column) -> Column:
     return part.cast("double") / whole.cast("double")
 
 
-def feature_name(prefix: str, value: Column) -> Column:
-    return F.concat(F.lit(f"{prefix}_"), value.cast("string"))
-
-
 def item_of_feature(feature: Column, prefix: str) -> Column:
     """ID inside a feature name such as `hero_12`."""
     return F.substring(feature, len(prefix) + 2, 20).cast("bigint")
