@@ -330,6 +330,7 @@ def feature_checks(
         *_feature_facts(model), F.count_if(entries.isNotNull() != label.isNotNull()).alias("unaligned"), *rows.values(), *targets.values()
     )
     no_repeats = F.lit(len(set(names)) == len(names))
+    # The published labels of the checks.
     checks = [
         ("No missing feature values", F.col("null_features") == 0),
         ("No duplicate feature columns", no_repeats),
@@ -569,6 +570,7 @@ def feature_manifest(prepared: PreparedFeatures) -> DataFrame:
     """Families of features: size, origin, allowed values and treatment of new categories."""
     m, s = prepared.encoder, prepared.schema
     first, second = s.unknown_counts
+    # The published texts of the manifest.
     rows = [
         (1, "Known heroes", len(m.item_vocabulary), "Training hero IDs", "-1, 0, 1", "One column per training hero"),
         (2, "Unknown Radiant heroes", 1, "Future Radiant picks", "0 to 5", f"Count in {first}"),

@@ -101,6 +101,7 @@ def dataset_checks(
     columns = F.lit(expected_columns) if expected_columns is not None else F.col("columns")
     binary = (F.col("label_true") > 0) & (F.col("label_false") > 0) & (F.col("label_other") == 0)
     is_sorted = (F.col("breaks") == 0) & (F.col("invalid_dates") == 0)
+    # The published labels of the checks.
     return check_table(
         facts,
         [
@@ -125,6 +126,7 @@ def split_checks(df: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:
     facts = df.agg(F.count_if(split.isNull()).alias("unassigned"), F.count_if(~split.isin(*SPLITS)).alias("other"), *present, *limits)
     train, validation, test = SPLITS
     labels = (F.col("other") == 0) & F.col(f"has_{train}") & F.col(f"has_{validation}") & F.col(f"has_{test}")
+    # The published labels of the checks.
     return check_table(
         facts,
         [

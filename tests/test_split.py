@@ -8,6 +8,7 @@ from draftline.schema import DRAFT
 
 from fixtures import match, matches
 
+# Instants on and beside the published cutoffs.
 BOUNDARY = ["2022-11-10 23:59:59", "2022-11-11 00:00:00", "2022-11-11 00:00:01", "2023-11-19 08:14:29", "2023-11-19 08:14:30"]
 EXPECTED = ["train", "train", "validation", "validation", "test"]
 
