@@ -38,6 +38,8 @@ _BAD = frozenset(
     " recommended recommendations related remark replies reply respond rss search share sharing shoutbox sidebar signup skip"
     " social sponsor sponsored subscribe subscription taboola tags toolbar tooltip trending widget".split()
 )
+_ALWAYS = frozenset("comment comments sidebar".split())
+_BESIDE = frozenset("has with no without is not".split())
 _GOOD = frozenset("article body column content entry main post story text".split())
 _SAFE = frozenset("html body main article".split())
 #: An open element that a start tag of the key ends.
@@ -107,9 +109,12 @@ class _Tree:
         above = stack[-1]
         dead = self.dead[above] or name in _DEAD or (name == "header" and not self._inside(above, "article"))
         if not dead and attributes and name not in _SAFE:
-            found = _NAMES.findall(attributes)
-            parts = {w.lower() for _, value in found for w in _PART.findall(value)}
-            dead = bool(parts & _BAD) and not parts & _GOOD or bool(parts & {"comment", "comments", "sidebar"})
+            names = [_PART.findall(x) for _, value in _NAMES.findall(attributes) for x in value.strip("\"'").split()]
+            names = [[w.lower() for w in words] for words in names if words]
+            # "with-sidebar" is said of what stands beside a sidebar
+            names = [words for words in names if words[0] not in _BESIDE]
+            parts = {w for words in names for w in words}
+            dead = bool(parts & _BAD) and not parts & _GOOD or any(words[0] in _ALWAYS for words in names)
             dead = dead or bool(_HIDDEN.search(attributes))
         node = len(self.tag)
         self.tag.append(name)

@@ -181,6 +181,9 @@ LONG = "A first sentence, with a comma, and enough words to count as a paragraph
         (f"<article><section><p>{LONG}</p></section><section><p>Second, {LONG}</p></section></article>", f"{LONG.strip()}\n\nSecond, {LONG.strip()}"),
         (f"<article><p>{LONG}</p><aside>Notice</aside><form>Name <input></form><p>a <b>b</b>\n c<br>d</p></article>", f"{LONG.strip()}\n\na b c d"),
         (f"<body><div><ul><li><a href=1>Menu one</a></li><li><a href=2>Menu two</a></li><li><a href=3>Menu three</a></li></ul><p>{LONG}</p></div></body>", LONG.strip()),
+        (f"<div class='content with-sidebar'><p>{LONG}</p></div><div class=sidebar-content><p>{LONG * 2}</p></div>", LONG.strip()),
+        (f"<div class='has-comments post'><p>{LONG}</p><div class='comment-content'><p>{LONG * 2}</p></div></div>", LONG.strip()),
+        (f"<div id=main><p>{LONG}</p><div id='cookieNotice'>We use cookies, many of them, here and there.</div></div>", LONG.strip()),
         (f"<article><p>{LONG}</p><!-- <p>not this</p> --><p title='a>b'>x</p>", f"{LONG.strip()}\n\nx"),
     ],
 )
