@@ -51,6 +51,29 @@ class ListIndex:
             found, dist, done = (np.take_along_axis(x, best, axis=1) for x in (found, dist, done))
         return found, dist
 
+    def within(self, rows: np.ndarray, ratio: float, sizes: np.ndarray, least: int, width: int) -> list[np.ndarray]:
+        """For each row all lists whose centroid is within `ratio` of the nearest one's distance, and further
+        ones until they hold `least` rows. The graph serves rows that need fewer than `width` lists; for
+        the others all lists are ranked, so that no number of lists ends a search."""
+
+        def enough(found, dist):
+            take = dist <= ratio * dist[:, :1]
+            held = np.cumsum(sizes[found], axis=1)
+            return (take | (held - sizes[found] < least)) & np.isfinite(dist)
+
+        found, dist = self.search(rows, width)
+        take = enough(found, dist)
+        out = [f[t] for f, t in zip(found, take)]
+        wide = np.flatnonzero(take[:, -1] | ~np.isfinite(dist[:, -1]))
+        if len(wide) and found.shape[1] < len(self.centroids):
+            x = rows[wide]
+            dist = (x**2).sum(axis=1)[:, None] + (self.centroids**2).sum(axis=1) - 2 * x @ self.centroids.T
+            found = np.argsort(dist, axis=1, kind="stable")
+            dist = np.sqrt(np.maximum(np.take_along_axis(dist, found, axis=1), 0))
+            for i, f, t in zip(wide.tolist(), found, enough(found, dist)):
+                out[i] = f[t]
+        return out
+
 
 def _cluster(rows: np.ndarray, k: int, random: np.random.Generator, rounds: int = 8) -> np.ndarray:
     """Label of each row: k-means with farthest-point seeds."""
@@ -103,26 +126,18 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 1)
 
 
-def _in_lists(rows: DataFrame, index: ListIndex, ratio: float, most: int, width: int, least: np.ndarray | None = None) -> DataFrame:
-    """Each row once per list whose centroid is within `ratio` of the nearest one's distance.
-
-    `most` bounds the copies of a boundary vector; a query (`least`: rows in each list, how many are
-    needed) goes on to further lists until they hold enough rows.
-    """
+def _in_lists(rows: DataFrame, index: ListIndex, ratio: float, most: int, width: int) -> DataFrame:
+    """Each row once per list whose centroid is within `ratio` of the nearest one's distance; `most` bounds
+    the copies of a boundary vector."""
 
     def run(batches):
         import pyarrow as pa
 
         def one(batch):
-            x = _matrix(batch.column("v"))
-            found, dist = index.search(x, width)
-            take = dist <= ratio * dist[:, :1]
-            if least is not None:
-                held = np.cumsum(least[found], axis=1)
-                take |= np.concatenate([np.zeros((len(x), 1)), held[:, :-1]], axis=1) < 200
+            found, dist = index.search(_matrix(batch.column("v")), width)
+            take = (dist <= ratio * dist[:, :1]) & np.isfinite(dist)
             take[:, most:] = False
             take[:, 0] = True
-            take &= np.isfinite(dist)
             row, at = np.nonzero(take)
             arrays = [pa.array(found[row, at], pa.int32()), *[batch.column(c).take(pa.array(row)) for c in ("vec_id", "v")]]
             yield pa.RecordBatch.from_arrays(arrays, ["list", "vec_id", "v"])
@@ -133,8 +148,38 @@ def _in_lists(rows: DataFrame, index: ListIndex, ratio: float, most: int, width:
     return rows.mapInArrow(run, T.StructType(fields))
 
 
+def _asked_groups(rows: DataFrame, index: ListIndex, ratio: float, width: int, sizes: np.ndarray, group: np.ndarray) -> DataFrame:
+    """Each query once, with the groups (`group` of each list) of all lists it has to look into."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        def one(batch):
+            found = [np.unique(group[x]) for x in index.within(_matrix(batch.column("v")), ratio, sizes, 200, width)]
+            ends = np.cumsum([0, *map(len, found)])
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.int32), pa.int32())
+            groups = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([groups, batch.column("vec_id"), batch.column("v")], ["groups", "vec_id", "v"])
+
+        yield from in_batches(one)(batches)
+
+    fields = [T.StructField("groups", T.ArrayType(T.IntegerType())), rows.schema["vec_id"], rows.schema["v"]]
+    return rows.mapInArrow(run, T.StructType(fields))
+
+
+def _grouped(sizes: np.ndarray, block: int) -> np.ndarray:
+    """A number for each list; lists in a row share it as long as they hold `block` rows at most."""
+    group, held = np.zeros(len(sizes), dtype=np.int32), 0
+    for i, n in enumerate(sizes.tolist()):
+        held += n
+        group[i] = group[i - 1] if i else 0
+        if i and held > block:
+            group[i], held = group[i] + 1, n
+    return group
+
+
 def _nearest(k: int):
-    """The k nearest of one block of a list to one block of its queries, by the exact distance."""
+    """The k nearest of one block of a group of lists to one block of its queries, by the exact distance."""
 
     def run(queries, members):
         import pyarrow as pa
@@ -150,7 +195,11 @@ def _nearest(k: int):
             kind = kind.ravel()
             by_kind = np.argsort(kind, kind="stable")
             first = np.searchsorted(kind[by_kind], kind[by_kind], side="left")
-            chosen = by_kind[np.arange(len(ids)) - first <= k]
+            # a boundary vector may be in several lists of the group
+            again = np.concatenate([[False], (np.diff(kind[by_kind]) == 0) & (np.diff(ids[by_kind]) == 0)])
+            copies = np.cumsum(again)
+            place = np.arange(len(ids)) - first - (copies - copies[first])
+            chosen = by_kind[~again & (place <= k)]
             ids, x, kind = ids[chosen], x[chosen], kind[chosen]
             for at in range(0, len(q), 256):
                 part = q[at : at + 256]
@@ -190,8 +239,10 @@ def search(
     Lists are fitted on about `sample` rows, drawn by a hash of the id; every row is in one list at least.
     Vectors that are NULL, zero, hold NULL or non-finite numbers or differ in length from most take no
     part, nor do NULL ids. An id counts once, with its nearest vector; a query never finds its own id.
-    Ties go to smaller ids. A long list, or one that many queries want, is cut into blocks of about
-    `block` rows on both sides, so no task holds all of it. Empty tables give no rows.
+    A query looks into all lists within `search_ratio` of the nearest one's distance, however many these
+    are (`width`: up to how many the graph is used to find them). Ties go to smaller ids. Short lists
+    are grouped; a long one, or a group that many queries want, is cut into blocks of about `block` rows
+    on both sides, so no task holds all of it. Empty tables give no rows.
     """
     rows = _usable(vectors, id_column, column)
     n = rows.count()
@@ -208,23 +259,28 @@ def search(
     sizes = np.zeros(lists, dtype=np.int64)
     for r in members.groupBy("list").count().collect():  # one row per list
         sizes[r["list"]] = r["count"]
+    group = _grouped(sizes, block)
+    held = np.bincount(group, weights=sizes).astype(np.int64)
     asked = rows.where(F.col("vec_id") % query_every == 0)
-    queries = store(_in_lists(asked, index, search_ratio, width, width, sizes), "list-queries")
-    wanted = np.zeros(lists, dtype=np.int64)
-    for r in queries.groupBy("list").count().collect():
-        wanted[r["list"]] = r["count"]
+    queries = store(_asked_groups(asked, index, search_ratio, width, sizes, group), "list-queries")
+    queries = queries.select(F.explode("groups").alias("group"), "vec_id", "v")
+    wanted = np.zeros(len(held), dtype=np.int64)
+    for r in queries.groupBy("group").count().collect():
+        wanted[r["group"]] = r["count"]
+    of_list = F.array(*[F.lit(int(g)) for g in group])
+    members = members.select(of_list[F.col("list")].alias("group"), "vec_id", "v")
 
     def blocks(counts: np.ndarray):
-        return F.array(*[F.lit(int(max(1, -(-c // block)))) for c in counts])[F.col("list")]
+        return F.array(*[F.lit(int(max(1, -(-c // block)))) for c in counts])[F.col("group")]
 
     def dealt(side: DataFrame, own: str, own_counts: np.ndarray, other: str, other_counts: np.ndarray) -> DataFrame:
         own_block = F.pmod(F.xxhash64("vec_id", F.lit(own)), blocks(own_counts)).cast("int")
         copies_of = F.explode(F.sequence(F.lit(0), blocks(other_counts) - 1))
         return side.withColumn(own, own_block).withColumn(other, copies_of)
 
-    key = ["list", "_m", "_q"]
-    by_query = dealt(queries, "_q", wanted, "_m", sizes).groupBy(*key)
-    by_member = dealt(members, "_m", sizes, "_q", wanted).groupBy(*key)
+    key = ["group", "_m", "_q"]
+    by_query = dealt(queries, "_q", wanted, "_m", held).groupBy(*key)
+    by_member = dealt(members, "_m", held, "_q", wanted).groupBy(*key)
     found = by_query.cogroup(by_member).applyInArrow(_nearest(k), "query_id bigint, vec_id bigint, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

@@ -176,6 +176,23 @@ def test_recall_with_a_third_of_equal_vectors_and_small_blocks(spark):
     assert hits / 300 >= 0.9
 
 
+def test_the_ratio_and_not_a_number_of_lists_ends_a_search(spark):
+    random = np.random.default_rng(10)
+    rows = random.normal(size=(4000, 48)).astype(np.float32)
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id bigint, embedding array<float>")
+    found = neighbours.search(table, query_every=50, width=4).toPandas()
+    rows, hits = rows.astype(float), 0
+    for q in range(0, 4000, 50):
+        far = np.sqrt(((rows - rows[q]) ** 2).sum(axis=1))
+        hits += len(set(np.argsort(far)[1:11]) & set(found[found.query_id == q].vec_id))
+    assert hits / 800 >= 0.99
+    index = neighbours.fit_index(rows, 62)
+    sizes = np.full(len(index.centroids), 64)
+    exact = np.sqrt(((rows[:50, None] - index.centroids[None]) ** 2).sum(axis=2))
+    for near, lists in zip(exact, index.within(rows[:50], 1.35, sizes, 200, 4)):
+        assert set(np.flatnonzero(near <= 1.35 * near.min())) <= set(lists.tolist())
+
+
 @pytest.mark.parametrize("dictionary", [True, False])
 def test_token_files_are_read_selectively(spark, tmp_path, dictionary):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
