@@ -207,6 +207,13 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return spans.unionByName(more).unionByName(last)
 
 
+def spans_of_texts(docs: DataFrame, length: int = 400) -> DataFrame:
+    """_k1, _k2, _spans: the different repeated spans of each text. Rows with equal keys find the same spans;
+    these are kept once, so that an array is bounded by its own text."""
+    spans = repeated_spans(docs, length)
+    return spans.groupBy(*_KEY).agg(F.collect_set(F.struct("start", "end")).alias("_spans"))
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", rewrite: bool = False) -> DataFrame:
     """All columns of `docs` (but those of the same names) and kept (binary), n_bytes, n_removed, n_spans of every whole text.
 
@@ -226,8 +233,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, text: str = "text", rewri
     # rows with equal columns get equal keys, which is right: they lose the same bytes
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns if c != text]
     inner = inner.withColumn("_k1", F.xxhash64(*cells, "_bytes")).withColumn("_k2", F.xxhash64("_bytes", *cells))
-    spans = repeated_spans(inner, length).groupBy(*_KEY).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    joined = inner.join(spans.hint("shuffle_hash"), _KEY, "left").select(*columns, "_bytes", "_spans")
+    joined = inner.join(spans_of_texts(inner, length).hint("shuffle_hash"), _KEY, "left").select(*columns, "_bytes", "_spans")
 
     def run(batches):
         import pyarrow as pa

@@ -11,7 +11,7 @@ from fixtures_llm import DOCUMENTS, odd_rows, prose
 
 from draftline.llm import byte_windows, mixing, neighbours
 from draftline.llm.packing import fullest, pack, plan_bins
-from draftline.llm.suffix_dedup import remove_repeats
+from draftline.llm.suffix_dedup import remove_repeats, spans_of_texts
 from draftline.llm.token_files import encode_documents, read_metadata, read_tokens, write_tokens
 
 import public_tokenizers  # isort: skip
@@ -150,6 +150,14 @@ def test_long_texts_in_chunks_lose_the_same_bytes(spark):
     assert found[2].n_removed == 0 and found[3].n_removed == 400
 
 
+def test_spans_of_repeated_rows_are_held_once(spark):
+    text = prose(11, 1500)
+    docs = spark.createDataFrame([(1, 2, text.encode())] * 60 + [(3, 4, text.encode())], "_k1 bigint, _k2 bigint, _bytes binary")
+    found = [sorted((x["start"], x["end"]) for x in r["_spans"]) for r in spans_of_texts(docs).collect()]
+    assert len(found) == 2 and found[0] == found[1]
+    assert len(set(found[0])) == len(found[0]) and found[0][0][0] == 0 and max(e for _, e in found[0]) == len(text)
+
+
 def test_graph_search_finds_the_nearest_lists():
     random = np.random.default_rng(7)
     rows = random.normal(size=(4000, 16)) + 4 * random.integers(0, 3, (4000, 1))
