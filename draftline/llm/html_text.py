@@ -49,6 +49,7 @@ _ENDS = {
 }
 _SCOPE = frozenset("ul ol dl table body html article section div main".split())
 _LISTS = frozenset("ul ol dl table div section".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _SHORT = 25
 
 
@@ -148,9 +149,11 @@ def main_text(page: str | None) -> str:
 
     Every block of at least 25 characters gives one point, one per comma and up to three for length
     to its parent, half of that to the grandparent and ever smaller shares above; an element's points
-    shrink by its share of link text. The best element and siblings of it that score well are kept,
-    widened to the article or main element around it. Lists in it that are mostly links go. If no
-    block is long enough, all blocks count. NULL, empty and text-free pages give an empty text.
+    shrink by its share of link text. The best element is kept, widened to the article or main element
+    around it. Without these, siblings of it that score well are kept, too, and all that stands between
+    or beside them up to a list of links. A list of links goes if it stands before the first heading
+    or long text, outside of article and main. If no block is long enough, all blocks count. NULL,
+    empty and text-free pages give an empty text.
     """
     tree = _Tree(page or "")
     if not tree.blocks:
@@ -182,28 +185,65 @@ def main_text(page: str | None) -> str:
         if tree.tag[up] in ("article", "main"):
             best = up
         up = tree.parent[up]
-    kept = {best}
-    if best and tree.tag[best] not in ("article", "main", "body", "html"):
-        least = max(10.0, 0.2 * score[best])
+    kept, loose = {best}, set()
+    whole = tree.tag[best] in ("article", "main")
+    if best and not whole and tree.tag[best] not in ("body", "html"):
+        _beside(tree, best, score, chars, links, anchors, kept, loose)
+    last = [-1] * n
+    for at, (node, *_) in enumerate(tree.blocks):
+        last[node] = at
+    for node in range(n - 1, 0, -1):
+        last[tree.parent[node]] = max(last[tree.parent[node]], last[node])
+    gone: set[int] = set()
+    state = [0 in kept] * n
+    for node in range(1, n):  # parents come first
+        state[node] = node in kept or state[tree.parent[node]]
+    held = [at for at, (node, *_) in enumerate(tree.blocks) if at in loose or state[node]]
+    if not whole:
+        starts = (
+            at for at in held
+            if (b := tree.blocks[at])[2] <= 0.5 * len(b[1]) and (tree.tag[b[0]] in _HEADINGS or len(b[1]) >= _SHORT)
+        )
+        start = next(starts, len(tree.blocks))
         for i in range(1, n):
-            if tree.parent[i] == tree.parent[best] and i != best and chars[i]:
-                dense = links[i] / chars[i]
-                kept |= {i} if score[i] >= least or tree.tag[i] == "p" and chars[i] > 80 and dense < 0.25 else set()
-    gone = {
-        i
-        for i in range(1, n)
-        if i not in kept and tree.tag[i] in _LISTS and anchors[i] > 2 and links[i] > 0.5 * chars[i]
-    }
-    state: dict[int, bool] = {0: 0 in kept}
-
-    def inside(node: int) -> bool:
-        if node not in state:
-            state[node] = node not in gone and (node in kept or inside(tree.parent[node]))
-        return state[node]
-
-    for node in range(1, n):  # parents come first, so deep trees need no recursion
-        inside(node)
-    return "\n\n".join(text for node, text, _ in tree.blocks if inside(node))
+            heavy = tree.tag[i] in _LISTS and anchors[i] > 2 and links[i] > 0.5 * chars[i]
+            if tree.parent[i] in gone or i not in kept and heavy and last[i] < start:
+                gone.add(i)
+        held = [at for at in held if tree.blocks[at][0] not in gone]
+    return "\n\n".join(tree.blocks[at][1] for at in held)
+
+
+def _beside(tree: _Tree, best: int, score: list, chars: list, links: list, anchors: list, kept: set, loose: set) -> None:
+    """Add siblings of the best element to `kept` and text that stands free among them to `loose`."""
+    while tree.parent[best] and tree.tag[tree.parent[best]] not in ("body", "html") and chars[tree.parent[best]] == chars[best]:
+        best = tree.parent[best]  # nothing else is in what wraps it
+    kept.add(best)
+    around, child, items = tree.parent[best], [0] * len(tree.tag), []
+    for i in range(1, len(tree.tag)):
+        child[i] = i if tree.parent[i] == around else child[tree.parent[i]]
+    for at, (node, *_) in enumerate(tree.blocks):
+        item = child[node] or (-1 - at if node == around else 0)
+        if item and (not items or items[-1] != item):
+            items.append(item)
+    least = max(10.0, 0.2 * score[best])
+
+    def good(i: int) -> bool:
+        if i < 0 or i == best:
+            return i == best
+        return score[i] >= least or tree.tag[i] == "p" and chars[i] > 80 and links[i] < 0.25 * chars[i]
+
+    chosen = [at for at, i in enumerate(items) if good(i)]
+    low, high = chosen[0], chosen[-1]
+    found = set(items[low : high + 1])
+    for side in (items[:low][::-1], items[high + 1 :]):
+        for i in side:
+            size, linked = (chars[i], links[i]) if i > 0 else (len(tree.blocks[-1 - i][1]), tree.blocks[-1 - i][2])
+            if i > 0 and anchors[i] > 2 and linked > 0.5 * size:
+                break
+            if linked < size:
+                found.add(i)
+    kept |= {i for i in found if i > 0}
+    loose |= {-1 - i for i in found if i < 0}
 
 
 def extract(pages: DataFrame, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -191,6 +191,32 @@ def test_main_text(page, text):
     assert main_text(page) == text
 
 
+REFERENCES = "".join(f"<li><a href={i}>Source number {i}</a></li>" for i in range(4))
+
+
+@pytest.mark.parametrize(
+    "page, words",
+    [
+        (f"<div id=wrap><h1>Title</h1><div class=content><p>{LONG}</p><p>{LONG}</p></div></div>", "Title"),
+        (f"<div><h1>Title</h1><p>Short lead.</p><div><div><p>{LONG}</p><p>{LONG}</p></div></div></div>", "Title Short lead."),
+        (f"<body><div><p>{LONG}</p><p>{LONG}</p></div><h2>Next</h2><ul><li>one</li></ul><pre>x = 1</pre><div><p>{LONG}</p><p>{LONG}</p></div><section><p>The end.</p></section></body>", "Next one x = 1 The end."),
+        (f"<div><div><p>{LONG}</p><p>{LONG}</p></div>free text<table><tr><td>cell</table></div>", "free text cell"),
+        (f"<article><p>{LONG}</p><h2>Sources</h2><ol>{REFERENCES}</ol></article>", "Sources " + " ".join(f"Source number {i}" for i in range(4))),
+        (f"<div class=post><p>{LONG}</p><p>{LONG}</p><ul>{REFERENCES}</ul></div>", " ".join(f"Source number {i}" for i in range(4))),
+    ],
+)
+def test_nothing_of_the_article_goes(page, words):
+    found = main_text(page)
+    assert " ".join(x for x in found.split("\n\n") if x != LONG.strip()) == words
+    assert found.count(LONG.strip()[:40]) == page.count(LONG[:40])
+
+
+def test_menus_beside_the_article_go():
+    menu = "".join(f"<li><a href={i}>Menu {i}</a></li>" for i in range(4))
+    page = f"<body><ul>{menu}</ul><div><p>{LONG}</p><p>{LONG}</p></div><p>End.</p><div><ul>{menu}</ul></div><div>Company</div></body>"
+    assert main_text(page) == f"{LONG.strip()}\n\n{LONG.strip()}\n\nEnd."
+
+
 def test_deep_and_broken_pages_end():
     assert main_text("<div>" * 20_000 + "deep text here" + "</p>" * 5) == "deep text here"
     assert main_text("<p>a<" * 2000)
