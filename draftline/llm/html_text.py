@@ -15,8 +15,8 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
     re.S,
 )
-_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 _BLOCK = frozenset(
@@ -28,7 +28,7 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Their content is not markup; it ends at their own end tag.
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 _DEAD = frozenset(
-    "head nav footer aside form noscript template button select option svg math canvas object audio video dialog menu".split()
+    "head nav footer aside form noscript template button select option svg annotation annotation-xml canvas object audio video dialog menu".split()
 )
 #: Words in class, id or role that mark what surrounds an article.
 _BAD = frozenset(
@@ -38,6 +38,12 @@ _BAD = frozenset(
     " recommended recommendations related remark replies reply respond rss search share sharing shoutbox sidebar signup skip"
     " social sponsor sponsored subscribe subscription taboola tags toolbar tooltip trending widget".split()
 )
+#: Words that say no more of an element than that it is one.
+_FILL = frozenset(
+    "area articles bar block blocks body bottom box button buttons col column component container content entry form group"
+    " icon icons inner item items left link links list lists module outer panel post posts right row section slot stories"
+    " text top unit wrap wrapper zone".split()
+)
 _ALWAYS = frozenset("comment comments sidebar".split())
 _BESIDE = frozenset("has with no without is not".split())
 _GOOD = frozenset("article body column content entry main post story text".split())
@@ -58,6 +64,7 @@ class _Tree:
 
     def __init__(self, page: str):
         self.tag, self.parent, self.dead, self.link, self.block = ["#"], [0], [False], [False], [0]
+        self.article, self.weak, self.doubt = [False], [False], [False]
         self.depth, self.blocks, self._text, self._links = [0], [], [], 0
         stack, at, low = [0], 0, None
         while m := _TAG.search(page, at):
@@ -109,14 +116,14 @@ class _Tree:
                     break
         above = stack[-1]
         dead = self.dead[above] or name in _DEAD or (name == "header" and not self._inside(above, "article"))
+        article = self.article[above] or name in ("article", "main")
+        weak, doubt = self.weak[above] and name not in ("article", "main"), False
         if not dead and attributes and name not in _SAFE:
-            names = [_PART.findall(x) for _, value in _NAMES.findall(attributes) for x in value.strip("\"'").split()]
-            names = [[w.lower() for w in words] for words in names if words]
-            # "with-sidebar" is said of what stands beside a sidebar
-            names = [words for words in names if words[0] not in _BESIDE]
-            parts = {w for words in names for w in words}
-            dead = bool(parts & _BAD) and not parts & _GOOD or any(words[0] in _ALWAYS for words in names)
-            dead = dead or bool(_HIDDEN.search(attributes))
+            dead, doubt = self._judged(name, attributes)
+        # a hint alone counts outside of articles and for lists of links
+        self.article.append(article)
+        self.weak.append(weak or doubt and not article and name in _BLOCK)
+        self.doubt.append(doubt)
         node = len(self.tag)
         self.tag.append(name)
         self.parent.append(above)
@@ -126,6 +133,32 @@ class _Tree:
         self.depth.append(self.depth[above] + 1)
         stack.append(node)
 
+    def _judged(self, name: str, attributes: str) -> tuple[bool, bool]:
+        """Whether the attributes show that an element is no part of an article, and whether they hint at it."""
+        strong, bad, good = False, False, False
+        for m in _ATTRIBUTE.finditer(attributes):
+            key, value = m[1].lower(), (m[2] or "").strip("\"'")
+            if key == "hidden" or key == "aria-hidden" and value.lower().startswith("true") or key == "style" and _NONE.search(value):
+                return True, True
+            # ids of headings and sections come from titles
+            if key not in ("class", "id", "role") or name in _HEADINGS or key == "id" and name == "section":
+                continue
+            for token in value.split():
+                words = [w.lower() for w in _PART.findall(token)]
+                # "with-sidebar" is said of what stands beside a sidebar
+                if not words or words[0] in _BESIDE:
+                    continue
+                parts = set(words)
+                good = good or bool(parts & _GOOD)
+                always = words[0] in _ALWAYS and (key != "id" or parts <= _BAD | _FILL | _GOOD)
+                if always:
+                    return True, True
+                if parts & _BAD:
+                    bad = True
+                    strong = strong or parts <= _BAD | _FILL or key != "id" and words[-1] in _BAD
+                bad = bad or words[0] in _ALWAYS
+        return strong and not good, bad and not good
+
     def _close(self, name: str, stack: list[int]) -> None:
         for i in range(len(stack) - 1, 0, -1):
             if self.tag[stack[i]] == name:
@@ -151,7 +184,8 @@ def main_text(page: str | None) -> str:
     to its parent, half of that to the grandparent and ever smaller shares above; an element's points
     shrink by its share of link text. The best element is kept, widened to the article or main element
     around it. Without these, siblings of it that score well are kept, too, and all that stands between
-    or beside them up to a list of links. A list of links goes if it stands before the first heading
+    or beside them up to a list of links. Elements whose names only hint at something else than an article
+    ("search-methods") count if they are in what is kept, unless they are lists of links. A list of links goes if it stands before the first heading
     or long text, outside of article and main. If no block is long enough, all blocks count. NULL,
     empty and text-free pages give an empty text.
     """
@@ -159,16 +193,12 @@ def main_text(page: str | None) -> str:
     if not tree.blocks:
         return ""
     n = len(tree.tag)
-    chars, links, anchors = [0] * n, [0] * n, [0] * n
-    for node, text, linked in tree.blocks:
-        chars[node] += len(text)
-        links[node] += linked
-    for node in range(n - 1, 0, -1):
-        anchors[node] += tree.tag[node] == "a"
-        for x in (chars, links, anchors):
-            x[tree.parent[node]] += x[node]
+    sure = [b for b in tree.blocks if not tree.weak[b[0]]]
+    if not sure:
+        sure, tree.weak = tree.blocks, [False] * n
+    chars, links, anchors = _sums(tree, sure)
     score = [0.0] * n
-    long = [b for b in tree.blocks if len(b[1]) >= _SHORT] or tree.blocks
+    long = [b for b in sure if len(b[1]) >= _SHORT] or sure
     for node, text, _ in long:
         points = 1 + text.count(",") + text.count("，") + min(len(text) / 100, 3)
         plain = tree.tag[node] in ("p", "pre", "td", "li", "dd", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6")
@@ -189,6 +219,7 @@ def main_text(page: str | None) -> str:
     whole = tree.tag[best] in ("article", "main")
     if best and not whole and tree.tag[best] not in ("body", "html"):
         _beside(tree, best, score, chars, links, anchors, kept, loose)
+    chars, links, anchors = _sums(tree, tree.blocks)
     last = [-1] * n
     for at, (node, *_) in enumerate(tree.blocks):
         last[node] = at
@@ -199,20 +230,34 @@ def main_text(page: str | None) -> str:
     for node in range(1, n):  # parents come first
         state[node] = node in kept or state[tree.parent[node]]
     held = [at for at, (node, *_) in enumerate(tree.blocks) if at in loose or state[node]]
-    if not whole:
+    if held:
         starts = (
             at for at in held
             if (b := tree.blocks[at])[2] <= 0.5 * len(b[1]) and (tree.tag[b[0]] in _HEADINGS or len(b[1]) >= _SHORT)
         )
-        start = next(starts, len(tree.blocks))
+        start = 0 if whole else next(starts, len(tree.blocks))
         for i in range(1, n):
             heavy = tree.tag[i] in _LISTS and anchors[i] > 2 and links[i] > 0.5 * chars[i]
-            if tree.parent[i] in gone or i not in kept and heavy and last[i] < start:
+            if tree.parent[i] in gone or i not in kept and heavy and (last[i] < start or tree.doubt[i]):
                 gone.add(i)
         held = [at for at in held if tree.blocks[at][0] not in gone]
     return "\n\n".join(tree.blocks[at][1] for at in held)
 
 
+def _sums(tree: _Tree, blocks: list) -> tuple[list, list, list]:
+    """Characters, linked characters and links in each element."""
+    n = len(tree.tag)
+    chars, links, anchors = [0] * n, [0] * n, [0] * n
+    for node, text, linked in blocks:
+        chars[node] += len(text)
+        links[node] += linked
+    for node in range(n - 1, 0, -1):
+        anchors[node] += tree.tag[node] == "a"
+        for x in (chars, links, anchors):
+            x[tree.parent[node]] += x[node]
+    return chars, links, anchors
+
+
 def _beside(tree: _Tree, best: int, score: list, chars: list, links: list, anchors: list, kept: set, loose: set) -> None:
     """Add siblings of the best element to `kept` and text that stands free among them to `loose`."""
     while tree.parent[best] and tree.tag[tree.parent[best]] not in ("body", "html") and chars[tree.parent[best]] == chars[best]:
@@ -223,7 +268,7 @@ def _beside(tree: _Tree, best: int, score: list, chars: list, links: list, ancho
         child[i] = i if tree.parent[i] == around else child[tree.parent[i]]
     for at, (node, *_) in enumerate(tree.blocks):
         item = child[node] or (-1 - at if node == around else 0)
-        if item and (not items or items[-1] != item):
+        if item and not tree.weak[node] and (not items or items[-1] != item):
             items.append(item)
     least = max(10.0, 0.2 * score[best])
 

@@ -211,6 +211,31 @@ def test_nothing_of_the_article_goes(page, words):
     assert found.count(LONG.strip()[:40]) == page.count(LONG[:40])
 
 
+@pytest.mark.parametrize(
+    "inner",
+    [
+        "<h2 id=related-work>Related</h2>",
+        "<h2 id=copyright>On copyright</h2>",
+        "<section id=legal-history><p>History.</p></section>",
+        "<section id=search-methods><h3>Methods</h3></section>",
+        "<div id=search-methods class='section level2'><p>Methods.</p></div>",
+        "<p title='the hidden cost'>Cost.</p>",
+        "<p data-note='class=ad'>Note.</p>",
+        "<p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>",
+    ],
+)
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_names_and_titles_do_not_end_sections(inner, around):
+    expected = " ".join(re.sub("<[^>]*>", "", inner).split())
+    assert main_text(f"<{around}><p>{LONG}</p>{inner}<p>{LONG}</p></{around}>").split("\n\n")[1:-1] == [expected]
+
+
+@pytest.mark.parametrize("names", ["class=related-posts", "class=ad", "id=comments", "role=search", "hidden", "style='color:red; display: none'", "aria-hidden=true", "class='social-media'"])
+def test_clear_marks_end_what_they_mark(names):
+    page = f"<article><p>{LONG}</p><div {names}>{'<a href=x>Some link</a> ' * 4}</div></article>"
+    assert main_text(page) == LONG.strip()
+
+
 def test_menus_beside_the_article_go():
     menu = "".join(f"<li><a href={i}>Menu {i}</a></li>" for i in range(4))
     page = f"<body><ul>{menu}</ul><div><p>{LONG}</p><p>{LONG}</p></div><p>End.</p><div><ul>{menu}</ul></div><div>Company</div></body>"
