@@ -5,11 +5,12 @@ Every stage takes the table its predecessor kept. All but the last return the co
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from draftline.llm.common import prepare, store, table, with_row_key
-from draftline.llm.language import UNKNOWN, predict, train
+from draftline.llm.language import UNKNOWN, fit, predict, train
 from draftline.llm.mixing import mix
 from draftline.llm.packing import cut_pieces, pack
 from draftline.llm.simhash import near_duplicates
@@ -19,9 +20,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: NULL texts, no letters, or two languages about equally near."""
+    """Documents without a recognisable language go: NULL texts, no letters, or two languages about equally near.
+
+    If no row to learn from has a label, there are no languages to tell apart, and all texts with a letter stay.
+    """
     prepare(spark)
-    judged = predict(docs, train(docs), extra=tuple(c for c in COLUMNS if c != "doc_id"))
+    model = train(docs)
+    if not model.classes:  # one class for all
+        model = fit(np.zeros((1, model.size), np.float32), ["any"], model.size)
+    judged = predict(docs, model, extra=tuple(c for c in COLUMNS if c != "doc_id"))
     return judged.where((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*COLUMNS)
 
 

@@ -122,3 +122,8 @@ def test_odd_documents_pass_every_stage(spark):
     kept = pd.Series([r.doc_id for r in docs.collect()])
     assert not kept.isin([1, 2, 3, 7]).any()  # no letters
     assert corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).count() >= len(kept)
+
+
+def test_without_labels_texts_with_letters_stay(spark):
+    docs = spark.createDataFrame([(1, "some text", None, "a", 9), (2, None, None, "a", 0), (3, "12 %", None, "a", 4)], DOCUMENTS)
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, docs, FOLDER).collect()] == [1]
