@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.storage import checkpoint_folder
 from .common import store, table
+from .conversation_repair import repair_damaged
+from .histogram_packing import encode_pieces, pack_histogram
 from .html_text import extract
 from .language import predict, train
 from .mixing import taken
 from .neighbours import search
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import cut_pieces, pack
+from .periodic_runs import collapse_runs, digests, with_planted_runs
 from .quality_rules import apply_rules
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
@@ -70,6 +73,21 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(store(pieces, "pieces"))
 
 
+def op11_histogram_packing(spark: SparkSession, folder: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    pieces = encode_pieces(table(spark, folder, "documents"), tokenizer, end_id=1)
+    return pack_histogram(store(pieces, "window-pieces"))
+
+
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_damaged(table(spark, folder, "conversations"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return digests(collapse_runs(docs.withColumn("text", with_planted_runs(F.col("text"), F.col("doc_id")))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_rules": op2_quality_rules,
@@ -81,4 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_neighbours": op9_neighbours,
     "op10_packing": op10_packing,
+    "op11_histogram_packing": op11_histogram_packing,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_periodic_runs": op13_periodic_runs,
 }

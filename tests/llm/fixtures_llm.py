@@ -49,9 +49,28 @@ def write_tables(spark: SparkSession, folder: str, rows: list[tuple] | None) ->
     )
     pages = [] if rows is None else [(1, "u", None), (2, None, ""), (None, "v", "<p>One, two.</p>"), (None, "v", "<p>One, two.</p>")]
     spark.createDataFrame(pages, "page_id bigint, url string, html string").write.parquet(f"{folder}/pages.parquet")
+    rows = [] if rows is None else odd_conversations()
+    conversations = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    conversations.selectExpr("*", "1 AS copies", "'x' AS part", "2 AS units").write.parquet(f"{folder}/conversations.parquet")
     return folder
 
 
+def odd_conversations() -> list[tuple]:
+    rnd = random.Random(12)
+    texts = [None, "", " \t\n", "Yes.", "No", "What?\n", "Go! \u2028", "a.b!c?", "Ü😀.", "Yes."]
+    roles = [None, "", "user", "assistant", "system", "tool", "User", "unknown", "user", "assistant"]
+    rows = []
+    for conv in [None, *range(400)]:
+        turn = rnd.choice([0, 3, None])
+        for _ in range(rnd.choice([1, 1, 2, 3, 5, 8, 12])):
+            rows.append((conv, turn, rnd.choice(roles), rnd.choice(texts) if rnd.random() < 0.5 else f"text {rnd.random()}."))
+            if turn is not None:
+                turn = rnd.choice([None, turn, turn + 1, turn + 1, turn + 1, turn + 4])
+    rows += [(7000, t, ("user", "assistant")[t % 2], f"word {t}" + "." * (t % 3)) for t in range(300)]
+    rows += [(8000, 5, "user", "again.")] * 200 + [(8000, None, "user", "again.")] * 40
+    return rows
+
+
 def clashing(df: DataFrame) -> DataFrame:
     return df.selectExpr("*", *[f"{value} AS {name}" for name, value in CLASHING.items()])
 
