@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import partial
 
 from pyspark.ml.feature import VectorAssembler
@@ -16,11 +17,14 @@ from .plans import run_curation, run_training
 from .sources import (
     FILE_POSITION,
     materialize,
+    read_by_year,
     read_curated,
     read_matches,
     read_versions,
     stored_once,
     with_file_position,
+    write_bucketed,
+    write_by_year,
     write_csv,
     write_inventory,
     write_metadata,
@@ -28,12 +32,13 @@ from .sources import (
 )
 from .sources.storage import checkpoint_folder, input_files
 from .schema import DRAFT
-from .sources.match_view import VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, match_view, version_view, wide_view
+from .sources.match_view import PERIOD, VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, match_view, version_view, wide_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 _ROUND = 6
 _runs: dict[tuple, mod.BaselineRun] = {}
+_encoded: dict[tuple, enc.PreparedFeatures] = {}
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,7 +60,15 @@ def _matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, folder: str) -> enc.PreparedFeatures:
-    return enc.encode_with_train_vocabulary(_matches(spark, folder), VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF)
+    """Encoded rows, encoded and stored once per session and state of the table."""
+    key = (spark.sparkContext.applicationId, input_files(spark, f"{folder}/orders.parquet"))
+    if key not in _encoded:
+        _encoded.clear()
+        prepared = enc.encode_with_train_vocabulary(_matches(spark, folder), VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF)
+        vector = prepared.encoder.getOrDefault(prepared.encoder.outputCol)
+        frame = materialize(prepared.frame.drop(vector))
+        _encoded[key] = replace(prepared, frame=prepared.encoder.with_vector(frame))
+    return _encoded[key]
 
 
 def _split(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,6 +127,13 @@ def keep_latest_events(spark, folder):
     return cur.keep_latest(events, ["user_id"], ["ts", "event_id"])
 
 
+def keep_latest_events_bucketed(spark, folder):
+    """The same on a table stored in buckets of the key, which takes no shuffle."""
+    events = _table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return cur.keep_latest(spark.table(write_bucketed(events, ["user_id"], buckets)), ["user_id"], ["ts", "event_id"])
+
+
 def hash_sample_orders(spark, folder, rows=1000):
     orders = _table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return cur.hash_sample(orders, "o_orderkey", rows)
@@ -173,6 +193,14 @@ def chronological_split(spark, folder):
     return _split(spark, folder).select("match_id", "split")
 
 
+def matches_between(spark, folder):
+    """A period of the curated table, stored by year."""
+    table = _matches(spark, folder)
+    path = _written(spark, folder, "matches-by-year", lambda path: write_by_year(table, path))
+    kept = sp.matches_between(read_by_year(spark, path, table), *PERIOD)
+    return kept.select("match_id", DRAFT.time, F.col(DRAFT.label).cast("int").alias("label"))
+
+
 def split_boundaries_shipdate(spark, folder):
     return sp.split_boundaries(_table(spark, folder, "lineitem"), "l_shipdate")
 
@@ -345,6 +373,25 @@ def logistic_weights(spark, folder):
     return spark.createDataFrame(table, "feature string, weight double").withColumn("weight", F.round("weight", 4))
 
 
+def evaluate_prior(spark, folder):
+    """A fitted model on the encoded rows."""
+    frame = _prepared(spark, folder).frame.withColumn(DRAFT.label, F.col(DRAFT.label).cast("int"))
+    model = mod.ClassPrior(labelCol=DRAFT.label).fit(sp.of_split(frame, "train"))
+    return _rounded(mod.evaluate_model(model, frame, mod.PRIOR), "accuracy", "roc_auc", "log_loss")
+
+
+def weight_slopes(spark, folder):
+    """Slopes of the fitted logistic model's loss; zero at the optimum."""
+    slopes = mod.stationarity(_run(spark, folder))
+    return slopes.withColumn("slope", F.round("slope", 6) + F.lit(0.0))  # no negative zero
+
+
+def encoded_by_join(spark, folder):
+    """Encoded rows with the vocabulary joined, as for IDs that are spread widely."""
+    matches = _matches(spark, folder)
+    return enc.encoded_long(enc.encode_with_train_vocabulary(matches, VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, lookup_span=0))
+
+
 def prior_metrics(spark, folder):
     df = _split(spark, folder).withColumn(DRAFT.label, F.col(DRAFT.label).cast("int"))
     model = mod.ClassPrior(labelCol=DRAFT.label).fit(sp.of_split(df, "train"))
@@ -373,6 +420,7 @@ QUERIES: dict[str, Query] = {
     "curated_all": _curated,
     "keep_latest_matches": keep_latest_matches,
     "keep_latest_events": keep_latest_events,
+    "keep_latest_events_bucketed": keep_latest_events_bucketed,
     "hash_sample": hash_sample_orders,
     "hash_sample_large": partial(hash_sample_orders, rows=5000),
     "hash_sample_repeated_key": hash_sample_parts_of_lines,
@@ -431,6 +479,7 @@ QUERIES: dict[str, Query] = {
     "split_boundaries": _with(_matches, sp.split_boundaries),
     "split_boundaries_shipdate": split_boundaries_shipdate,
     "chronological_split": chronological_split,
+    "matches_between": matches_between,
     "split_plan": _with(_matches, sp.split_plan, "share"),
     "split_summary": _with(_split, sp.split_summary, "label_rate", "share"),
     "split_counts": _with(_split, sp.split_counts),
@@ -463,6 +512,7 @@ def _of_run(report: Callable[[mod.BaselineRun], DataFrame]) -> Query:
 QUERIES |= {
     "vocabulary_summary": _of_prepared(enc.vocabulary_summary),
     "encoded_long": _of_prepared(enc.encoded_long),
+    "encoded_long_by_join": encoded_by_join,
     "encoded_vectors": encoded_vectors,
     "unseen_hero_summary": _of_prepared(enc.unseen_pick_summary),
     "unseen_hero_catalog": _of_prepared(enc.unseen_pick_catalog),
@@ -495,6 +545,7 @@ QUERIES |= {
     "training_guards": training_guards,
     # models
     "prior_metrics": prior_metrics,
+    "evaluate_prior": evaluate_prior,
     "gate_checks_of_scores": lambda s, f: mod.gate_checks(_measured(s, f)).drop("position"),
     "metric_gaps_of_scores": lambda s, f: _rounded(
         gaps := ev.metric_gaps(_measured(s, f), mod.LOGISTIC, mod.PRIOR), *gaps.columns
@@ -503,6 +554,7 @@ QUERIES |= {
     "named_means": named_means,
     "strongest_means": lambda s, f: mod.strongest(named_means(s, f)),
     "logistic_weights": logistic_weights,
+    "weight_slopes": weight_slopes,
     "baseline_metrics": _of_run(mod.ordered_metrics),
     "gate_checks": _of_run(lambda run: mod.gate_checks(run.metrics).drop("position")),
     "metric_gaps": _of_run(lambda run: ev.metric_gaps(run.metrics, mod.LOGISTIC, mod.PRIOR)),

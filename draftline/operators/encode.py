@@ -10,7 +10,7 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from ..functions import share, split_rank
 from ..schema import DRAFT, FORBIDDEN, SPLITS, STRICT_FORBIDDEN, TRAIN_CUTOFF, VALIDATION_CUTOFF, DraftSchema
@@ -33,6 +33,9 @@ class _EncoderParams(DefaultParamsReadable, DefaultParamsWritable):
     item = Param(Params._dummy(), "item", "name of a pick in column and feature names", TypeConverters.toString)
     versionCol = Param(Params._dummy(), "versionCol", "version ID column", TypeConverters.toString)
     versionPrefix = Param(Params._dummy(), "versionPrefix", "prefix of version features", TypeConverters.toString)
+    lookupSpan = Param(
+        Params._dummy(), "lookupSpan", "widest range of IDs looked up in a constant array; wider ones are joined", TypeConverters.toInt
+    )
     sides = Param(Params._dummy(), "sides", "side names; +1 then -1", TypeConverters.toListString)
     slots = Param(Params._dummy(), "slots", "picks per side", TypeConverters.toInt)
 
@@ -67,10 +70,12 @@ class DraftEncoder(Estimator, _EncoderParams):
     """Learns the pick and version vocabularies of the rows it is given: pass training rows only."""
 
     @keyword_only
-    def __init__(self, *, outputCol: str = "features", entriesCol: str = ENTRIES, schema: DraftSchema = DRAFT):
+    def __init__(
+        self, *, outputCol: str = "features", entriesCol: str = ENTRIES, schema: DraftSchema = DRAFT, lookupSpan: int | None = None
+    ):
         super().__init__()
         self._set_schema_defaults(schema)
-        self._set(outputCol=outputCol, entriesCol=entriesCol)
+        self._set(outputCol=outputCol, entriesCol=entriesCol, **({} if lookupSpan is None else {"lookupSpan": lookupSpan}))
 
     def _fit(self, df: DataFrame) -> "DraftEncoderModel":
         self._require_input(df)
@@ -138,7 +143,8 @@ class DraftEncoderModel(Model, _EncoderParams):
 
     def _positions(self, df: DataFrame, columns: Sequence[str], ids: Sequence[int], names: Sequence[str]) -> DataFrame:
         """Add the vocabulary position of each column, -1 if unknown."""
-        if ids[-1] - ids[0] <= LOOKUP_SPAN:
+        span = self.getOrDefault(self.lookupSpan) if self.isSet(self.lookupSpan) else LOOKUP_SPAN
+        if ids[-1] - ids[0] <= span:
             known = {value: position for position, value in enumerate(ids)}
             cells = ",".join(str(known.get(v, -1)) for v in range(ids[0], ids[-1] + 1))
             table = F.split(F.lit(cells), ",").cast("array<int>")  # folded into one constant
@@ -374,10 +380,11 @@ def encode_with_train_vocabulary(
     train_cutoff: str = TRAIN_CUTOFF,
     validation_cutoff: str = VALIDATION_CUTOFF,
     schema: DraftSchema = DRAFT,
+    lookup_span: int | None = None,
 ) -> PreparedFeatures:
     """Split by time, learn the encoder on the training period and encode every row; no checks."""
     split = chronological_split(df, train_cutoff, validation_cutoff, schema)
-    encoder = DraftEncoder(schema=schema)
+    encoder = DraftEncoder(schema=schema, lookupSpan=lookup_span)
     encoder._require_input(split)
     # The plain time limit reaches the Parquet scan; the split name alone would not.
     cutoff = F.lit(_cutoffs(train_cutoff, validation_cutoff)[0]).cast("timestamp_ntz")
@@ -399,8 +406,9 @@ def prepare_features(
 ) -> PreparedFeatures:
     """Split, encode, build the label and validate.
 
-    Rows are encoded once and stored with their entries; tests, training and scoring read them back.
-    Target and feature tests share one pass.
+    Rows are encoded once and stored with their entries; training and scoring read them back. Target and
+    feature tests are observed while the rows are written, so they cost no scan. The write has no shuffle
+    after the observed step, so a task that runs again is not counted twice.
     """
     require_columns(df, [schema.time], "split input")
     if df.schema[schema.time].dataType.simpleString() != "timestamp_ntz":
@@ -409,8 +417,10 @@ def prepare_features(
         raise ValueError(f"{schema.time} contains missing values")
     prepared = encode_with_train_vocabulary(df, train_cutoff, validation_cutoff, schema)
     encoder = prepared.encoder
-    frame = materialize(prepared.frame.drop(encoder.getOrDefault(encoder.outputCol)))
-    facts = frame.agg(*_target_facts(frame, schema), *_feature_facts(encoder)).first()
+    frame = prepared.frame.drop(encoder.getOrDefault(encoder.outputCol))
+    observed = Observation()
+    frame = materialize(frame.observe(observed, *_target_facts(frame, schema), *_feature_facts(encoder)))
+    facts = observed.get
     _raise_on_target(facts, schema)
     _raise_on_features(facts, encoder, FORBIDDEN)
     labelled = frame.withColumn(schema.label, F.col(schema.label).cast("tinyint"))

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Estimator, Model, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import item_of_feature
 from ..schema import DRAFT, SPLITS, DraftSchema
@@ -70,24 +72,35 @@ def fit_logistic(
     max_iter: int = 1000,
     tol: float = 1e-10,
     rows: int | None = None,
+    solver: str = "newton",
 ) -> PipelineModel:
     """L2 logistic regression that minimises `|w|^2 / 2 + C * sum(loss)`, bias inside `|w|`.
 
-    Spark never penalises its own intercept, so the bias is a constant feature instead. Spark
-    also ignores a feature that never varies, so one all-zero row is added, as heavy as all
-    training rows together: its loss is a constant, and it gives the bias feature a spread. The
-    row exists only here, and the total weight it doubles is undone in the penalty.
+    "newton" sums normal equations in one pass per step and needs a handful of steps; it is the choice up to
+    `NEWTON_WIDTH` features, whose square the driver holds. Wider tables, and fits whose steps do not settle,
+    go to "lbfgs", which takes some hundred passes to the same solution.
+
+    Spark never penalises its own intercept, so the bias is a constant feature instead. "lbfgs" also ignores a
+    feature that never varies, so one all-zero row is added there, as heavy as all training rows together: it
+    gives the bias feature a spread, and its share of the total weight is undone in the penalty.
     """
-    if rows is None:
-        rows = train.count()
+    if solver not in ("newton", "lbfgs"):
+        raise ValueError(f"unknown solver {solver!r}")
     with_bias = SQLTransformer(statement=f"SELECT *, CAST(1.0 AS DOUBLE) AS {_BIAS} FROM __THIS__")
     assemble = VectorAssembler(inputCols=[features, _BIAS], outputCol=_WITH_BIAS)
     cells = [F.col(label).cast("double").alias(label), features]
-    assembled = assemble.transform(with_bias.transform(train.select(*cells))).select(
-        label, _WITH_BIAS, F.lit(1.0).alias(_WEIGHT)
-    )
+    assembled = assemble.transform(with_bias.transform(train.select(*cells))).select(label, _WITH_BIAS)
     width = assembled.schema[_WITH_BIAS].metadata["ml_attr"]["num_attrs"]
-    anchor = train.sparkSession.createDataFrame([(0.0, Vectors.sparse(width, [], []), float(rows))], assembled.schema)
+    if solver == "newton" and width <= NEWTON_WIDTH:
+        steps = _newton(materialize(assembled), label, C, width)
+        if steps is not None:
+            probability = SQLTransformer(statement=f"SELECT *, 1.0 / (1.0 + exp({_MARGIN})) AS _no, 1.0 / (1.0 + exp(-{_MARGIN})) AS _yes FROM __THIS__")
+            both = VectorAssembler(inputCols=["_no", "_yes"], outputCol="probability")
+            return PipelineModel(stages=[with_bias, assemble, steps, probability, both])
+    if rows is None:
+        rows = train.count()
+    weighted = assembled.withColumn(_WEIGHT, F.lit(1.0))
+    anchor = train.sparkSession.createDataFrame([(0.0, Vectors.sparse(width, [], []), float(rows))], weighted.schema)
     anchor = anchor.coalesce(1)  # one row; each empty task would cost time in every iteration
     model = LogisticRegression(
         featuresCol=_WITH_BIAS,
@@ -99,13 +112,50 @@ def fit_logistic(
         regParam=1.0 / (C * 2.0 * rows),
         maxIter=max_iter,
         tol=tol,
-    ).fit(assembled.unionByName(anchor))
+    ).fit(weighted.unionByName(anchor))
     return PipelineModel(stages=[with_bias, assemble, model])
 
 
+#: Widest table, bias included, that Spark's normal equations take.
+NEWTON_WIDTH = 4096
+_MARGIN = "_margin"
+_SETTLED = 1e-6
+
+
+def _newton(table: DataFrame, label: str, C: float, width: int, most: int = 15):
+    """Newton steps as weighted regressions, one pass each; the last one's model, or None if they do not settle.
+
+    A step regresses margin + (label - p) / v on the features with weights v = p (1 - p): the solution of its
+    normal equations is the next weight vector. The penalty is one more row per feature, which asks for zero
+    with weight 1 / C; so no feature is without spread, and Spark's own penalty, which depends on the
+    spread of the target, is not needed. Errors square from step to step: one shorter than 1e-6 is the last.
+    """
+    y, margin = F.col(label), F.col(_MARGIN)
+    p = 1.0 / (1.0 + F.exp(-margin))
+    v = F.greatest(p * (1.0 - p), F.lit(1e-12))
+    schema = T.StructType([table.schema[label], table.schema[_WITH_BIAS], T.StructField(_WEIGHT, T.DoubleType())])
+    zeros = [(0.0, Vectors.sparse(width, [j], [1.0]), 1.0 / C) for j in range(width)]
+    penalty = materialize(table.sparkSession.createDataFrame(zeros, schema).coalesce(1))
+    regression = LinearRegression(
+        featuresCol=_WITH_BIAS, labelCol=label, weightCol=_WEIGHT, predictionCol=_MARGIN, fitIntercept=False, solver="normal"
+    )
+    model, last = None, np.zeros(width)
+    for _ in range(most):
+        placed = model.transform(table) if model is not None else table.withColumn(_MARGIN, F.lit(0.0))
+        working = placed.select((margin + (y - p) / v).alias(label), _WITH_BIAS, v.alias(_WEIGHT))
+        model = regression.fit(working.unionByName(penalty))
+        now = model.coefficients.toArray()
+        if not np.isfinite(now).all():
+            return None
+        if abs(now - last).max() <= _SETTLED * max(1.0, abs(now).max()):
+            return model
+        last = now
+    return None
+
+
 def weights(model: PipelineModel) -> tuple[list[float], float]:
     """Feature weights and bias of a fitted logistic pipeline."""
-    values = model.stages[-1].coefficients.toArray().tolist()
+    values = model.stages[2].coefficients.toArray().tolist()
     return values[:-1], values[-1]
 
 
@@ -236,6 +286,26 @@ def train_baselines(prepared: PreparedFeatures, evaluate_test: bool = True, C: f
     return BaselineRun(prepared, models, as_table(), passed)
 
 
+def stationarity(run: BaselineRun, C: float = 1.0) -> DataFrame:
+    """Slope of the penalised loss `|w|^2 / 2 + C * sum(loss)` along every weight, bias last.
+
+    Summed from the stored non-zero entries of the training rows, apart from any solver: all slopes are zero
+    at the optimum and nowhere else, as the loss is strictly convex.
+    """
+    schema, model = run.prepared.schema, run.prepared.encoder
+    names, (values, bias) = run.prepared.feature_names, weights(run.models[LOGISTIC])
+    entries = F.col(model.getOrDefault(model.entriesCol))
+    train = run.prepared.frame.filter(F.col(schema.split) == SPLITS[0])
+    error = entry_scores((values, bias), entries) - F.col(schema.label).cast("double")
+    one = F.array(F.struct(F.lit(len(names)).alias("index"), F.lit(1.0).alias("value")))
+    cells = train.select(error.alias("_error"), F.inline(F.concat(entries, one)))
+    sums = cells.groupBy("index").agg(F.sum(F.col("_error") * F.col("value")).alias("_sum"))
+    rows = [(i, n, w) for i, (n, w) in enumerate(zip([*names, _BIAS.strip("_")], [*values, bias]))]
+    table = train.sparkSession.createDataFrame(rows, "index int, feature string, weight double")
+    slope = F.col("weight") + F.lit(C) * F.coalesce("_sum", F.lit(0.0))
+    return table.join(sums, "index", "left").select("index", "feature", slope.alias("slope"))
+
+
 def coefficient_table(run: BaselineRun) -> DataFrame:
     """Weight of every feature."""
     values, _ = weights(run.models[LOGISTIC])
@@ -339,6 +409,7 @@ __all__ = [
     "require_trainable",
     "run_summary",
     "scored_by",
+    "stationarity",
     "strongest",
     "train_baselines",
     "training_facts",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions import row_hash
 from ..schema import DRAFT, SAMPLE_ROWS, DraftSchema
@@ -46,14 +46,48 @@ def missing_cells(df: DataFrame) -> DataFrame:
     return null_profile(df).agg(F.sum("null_count").alias("missing_cells"))
 
 
+#: Keys that one of Spark's bitmaps holds, and the rows per bitmap from which it is smaller than the keys.
+_BITS, _ROWS_PER_BITMAP = 32_768, 256
+
+
+def _are_dense(df: DataFrame, key: str) -> bool:
+    """Whether integer keys lie close enough for bitmaps; otherwise one bitmap would hold few keys or one."""
+    if not isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return False
+    low, high, rows = df.agg(F.min(key), F.max(key), F.count(key)).first()
+    return rows > 0 and (high - low) // _BITS <= rows // _ROWS_PER_BITMAP
+
+
+def _bitmap_counts(df: DataFrame, key: str) -> DataFrame:
+    """One row: all rows, different keys, and whether NULL is among them. Each task folds its rows into one
+    bitmap per 32,768 neighbouring keys, so the shuffle carries bits instead of keys."""
+    number = F.col(key).cast("bigint")
+    bits = F.bitmap_construct_agg(F.bitmap_bit_position(number))
+    per_range = df.groupBy(F.bitmap_bucket_number(number).alias("_range")).agg(F.count("*").alias("_n"), bits.alias("_bits"))
+    different = F.when(F.col("_range").isNull(), 0).otherwise(F.bitmap_count("_bits"))
+    return per_range.agg(
+        F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum(different), F.lit(0)).cast("bigint").alias("different"),
+        F.coalesce(F.max(F.col("_range").isNull().cast("int")), F.lit(0)).alias("null_key"),
+    )
+
+
 def repeated_keys(df: DataFrame, key: str) -> DataFrame:
-    """Rows beyond the first of their key, one row; NULL counts as one key."""
+    """Rows beyond the first of their key, one row; NULL counts as one key.
+
+    Integer keys that lie close together are counted in bitmaps, others by an exact distinct.
+    """
+    if _are_dense(df, key):
+        counts = _bitmap_counts(df, key)
+        return counts.select((F.col("rows") - F.col("different") - F.col("null_key")).cast("bigint").alias("repeated_keys"))
     per_key = df.groupBy(key).agg(F.count("*").alias("_n"))
     return per_key.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).cast("bigint").alias("repeated_keys"))
 
 
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
-    """Different keys without NULL, one row."""
+    """Different keys without NULL, one row; in bitmaps where integer keys lie close together."""
+    if _are_dense(df, key):
+        return _bitmap_counts(df, key).select(F.col("different").alias("unique_key_count"))
     return df.select(key).distinct().agg(F.count(key).alias("unique_key_count"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import distinct_values, status
 from ..schema import DRAFT, FORBIDDEN, SPLITS, DraftSchema
 from .profile import repeated_keys
-from .ranks import order_breaks
+from .ranks import breaks_between, sequence_ends
 
 
 def require_columns(df: DataFrame, columns: Iterable[str], context: str) -> None:
@@ -57,8 +57,9 @@ def all_passed(checks: DataFrame) -> DataFrame:
 def dataset_facts(df: DataFrame, sequence: str, within: Sequence[str] = (), schema: DraftSchema = DRAFT) -> DataFrame:
     """The numbers behind the dataset checks, one row.
 
-    Keys and order are counted by themselves: put in the same aggregate, they would drag every
-    other counter through the shuffle of the keys.
+    One scan of all columns, and one of key, time and sequence: put in the same aggregate, the latter would
+    drag every other counter through the shuffle of the keys. Where the key is the sequence, the order
+    check's stored table holds one row per key and tells the repeated ones.
     """
     internal = {sequence, *within}
     columns = [c for c in df.columns if c not in internal or c in schema.curated_columns()]
@@ -77,8 +78,12 @@ def dataset_facts(df: DataFrame, sequence: str, within: Sequence[str] = (), sche
         F.count_if(F.col(schema.label).cast("int") == 0).alias("label_false"),
         F.count_if(~F.col(schema.label).cast("int").isin(0, 1)).alias("label_other"),
     ).withColumn("columns", F.lit(len(columns)))
-    keys = repeated_keys(df.select(schema.key), schema.key)
-    order = order_breaks(df.select(*{schema.time: 0, sequence: 0, **dict.fromkeys(within, 0)}), schema.time, sequence, within)
+    ends = sequence_ends(df.select(*{schema.time: 0, sequence: 0, **dict.fromkeys(within, 0)}), schema.time, sequence, within)
+    if sequence == schema.key and not within:
+        keys = ends.agg(F.coalesce(F.sum(F.col("_rows") - 1), F.lit(0)).cast("bigint").alias("repeated_keys"))
+    else:
+        keys = repeated_keys(df.select(schema.key), schema.key)
+    order = breaks_between(ends, sequence, within)
     return per_row.withColumns({"repeated_keys": keys.scalar(), "breaks": order.scalar()})
 
 

@@ -112,8 +112,18 @@ def order_breaks(df: DataFrame, value: str, sequence: str, within: Sequence[str]
     natural pieces such as file and block; without it, pieces are ranges of the sequence. Each piece is
     checked on its own, and then the last value of a piece against the first of the next.
     """
-    ends = df.where(F.col(value).isNotNull()).groupBy(*within, sequence).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
-    ends = materialize(ends)
+    return breaks_between(sequence_ends(df, value, sequence, within), sequence, within)
+
+
+def sequence_ends(df: DataFrame, value: str, sequence: str, within: Sequence[str] = ()) -> DataFrame:
+    """Rows, smallest and largest value of every sequence value, stored."""
+    low, high = F.min(value).alias("_low"), F.max(value).alias("_high")
+    return materialize(df.groupBy(*within, sequence).agg(F.count("*").alias("_rows"), low, high))
+
+
+def breaks_between(ends: DataFrame, sequence: str, within: Sequence[str] = ()) -> DataFrame:
+    """`order_breaks` of stored `sequence_ends`."""
+    ends = ends.where(F.col("_low").isNotNull()).drop("_rows")
     pieces, by = (ends, list(within)) if within else (with_range_bucket(ends, sequence), ["_bucket"])
     before = F.lag("_high").over(Window.partitionBy(*by).orderBy(sequence))
     broken = F.coalesce(F.col("_low") < before, F.lit(False)).cast("int")

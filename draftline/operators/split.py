@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import share, split_label, split_rank
+from ..sources.layout import YEAR
 from ..schema import (
     DRAFT,
     SPLITS,
@@ -41,6 +42,24 @@ def chronological_split(
     return df.withColumn(schema.split, split_label(F.col(schema.time), first, second))
 
 
+def matches_between(
+    df: DataFrame, first: str | datetime, last: str | datetime, schema: DraftSchema = DRAFT, year: str = YEAR
+) -> DataFrame:
+    """Rows from `first` to `last`, both included; rows without a time are outside.
+
+    Of a table stored by year (`write_by_year`) only the years in question are listed and read; inside them,
+    the limits on the time itself skip row groups.
+    """
+    moments = [m if isinstance(m, datetime) else datetime.fromisoformat(m) for m in (first, last)]
+    if moments[0] > moments[1]:
+        raise ValueError("the first moment lies after the last")
+    limits = [F.lit(m.isoformat(sep=" ")).cast("timestamp_ntz") for m in moments]
+    kept = df.filter(F.col(schema.time).between(*limits))
+    if year in df.columns:
+        kept = kept.filter(F.col(year).between(moments[0].year, moments[1].year)).drop(year)
+    return kept
+
+
 def of_split(df: DataFrame, name: str, schema: DraftSchema = DRAFT) -> DataFrame:
     """Rows of one split."""
     if name not in SPLITS:

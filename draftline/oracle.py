@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .schema import DRAFT, raw_struct
-from .sources.match_view import MATCH_VIEW_CTES, VERSIONS_CTE, VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, WIDE_VIEW_CTE
+from .sources.match_view import MATCH_VIEW_CTES, PERIOD, VERSIONS_CTE, VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, WIDE_VIEW_CTE
 
 _IDS, _NAMES = DRAFT.pick_ids(), DRAFT.pick_names()
 _PICKS = ", ".join(f"m.{i}, m.{n}" for i, n in zip(_IDS, _NAMES))
@@ -69,6 +69,15 @@ width AS (SELECT (SELECT count(*) FROM known_heroes) + 3 + (SELECT count(*) FROM
 _LEVELS = [MATCH_VIEW_CTES, VERSIONS_CTE, _LATEST, _MATCHES, _SPLIT, _PICKS_CTE, _VOCABULARY, _ENCODED]
 
 
+_FEATURES = """
+features AS (
+  SELECT concat('hero_', hero_id) AS feature, row_number() OVER (ORDER BY hero_id) - 1 AS i FROM known_heroes
+  UNION ALL SELECT 'unknown_radiant_hero_count', (SELECT count(*) FROM known_heroes)
+  UNION ALL SELECT 'unknown_dire_hero_count', (SELECT count(*) FROM known_heroes) + 1
+  UNION ALL SELECT concat('patch_', game_version_id), (SELECT count(*) FROM known_heroes) + 1 + row_number() OVER (ORDER BY game_version_id) FROM known_patches
+  UNION ALL SELECT 'patch_unknown', (SELECT w - 1 FROM width))"""
+
+
 def _sql(level: int, text: str, *more: str) -> str:
     return "WITH " + ",".join([*_LEVELS[: level + 1], *more]) + "\n" + text
 
@@ -366,14 +375,17 @@ w{k + 1} AS (SELECT
         f" UNION ALL SELECT 'discount', round(b, 4) FROM {last} UNION ALL SELECT 'bias', round(c, 4) FROM {last}"
     )
 
+_LATEST_EVENTS = """SELECT event_id, ts, user_id, event_type, value FROM (
+        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"""
+
 ORACLE_SQL: dict[str, str] = {
     # curation
     "curated_sample": _sample(30_000),
     "curated_small_sample": _sample(2000),
     "curated_all": _m("SELECT * FROM matches"),
     "keep_latest_matches": _sql(2, f"SELECT m.match_id, m.{_TIME}, m.game_version_id, m.winner_id, {_LABEL} FROM latest m"),
-    "keep_latest_events": """SELECT event_id, ts, user_id, event_type, value FROM (
-        SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""",
+    "keep_latest_events": _LATEST_EVENTS,
+    "keep_latest_events_bucketed": _LATEST_EVENTS,
     "hash_sample": _key_sample("orders", "o_orderkey", "o_orderkey, o_custkey, o_totalprice", 1000),
     "hash_sample_large": _key_sample("orders", "o_orderkey", "o_orderkey, o_custkey, o_totalprice", 5000),
     "hash_sample_repeated_key": _key_sample("lineitem", "l_partkey", "l_orderkey, l_linenumber, l_partkey", 150),
@@ -464,15 +476,18 @@ gate AS (SELECT max(roc_auc) FILTER (WHERE model = 'Logistic regression') AS auc
     "encoded_vectors": _e(
         """SELECT c.match_id, CAST(max(w) AS INT) AS size, string_agg(concat(f.i, ':', c.value), ' ' ORDER BY f.i) AS cells
         FROM cells c JOIN features f USING (feature), width GROUP BY 1""",
-        """
-features AS (
-  SELECT concat('hero_', hero_id) AS feature, row_number() OVER (ORDER BY hero_id) - 1 AS i FROM known_heroes
-  UNION ALL SELECT 'unknown_radiant_hero_count', (SELECT count(*) FROM known_heroes)
-  UNION ALL SELECT 'unknown_dire_hero_count', (SELECT count(*) FROM known_heroes) + 1
-  UNION ALL SELECT concat('patch_', game_version_id), (SELECT count(*) FROM known_heroes) + 1 + row_number() OVER (ORDER BY game_version_id) FROM known_patches
-  UNION ALL SELECT 'patch_unknown', (SELECT w - 1 FROM width))""",
+        _FEATURES,
     ),
     "logistic_weights": _newton(12),
+    "weight_slopes": _e(
+        """SELECT CAST(i AS INT) AS index, feature, CAST(0 AS DOUBLE) AS slope FROM features
+        UNION ALL SELECT CAST(w AS INT), 'bias', 0 FROM width""",
+        _FEATURES,
+    ),
+    "evaluate_prior": _s(_PRIOR_METRICS),
+    "matches_between": _s(
+        f"SELECT match_id, {_TIME}, y AS label FROM split_matches WHERE {_TIME} BETWEEN TIMESTAMP '{PERIOD[0]}' AND TIMESTAMP '{PERIOD[1]}'"
+    ),
     "missing_cells": _view(
         f"SELECT CAST(sum(null_count) AS BIGINT) AS missing_cells FROM ({_nulls('match_view', _VIEW_COLUMNS, percent=False)})"
     ),
@@ -583,6 +598,7 @@ checks AS (
         SELECT split, game_version_id IN (SELECT game_version_id FROM known_patches) AS known FROM split_matches) GROUP BY 1"""
     ),
     "encoded_long": _e("SELECT match_id, feature, value FROM cells"),
+    "encoded_long_by_join": _e("SELECT match_id, feature, value FROM cells"),
     "unseen_hero_summary": _v(
         """SELECT n.split, count(u.hero_id) AS unseen_picks, count(DISTINCT u.hero_id) AS unseen_hero_ids,
         count(DISTINCT u.match_id) AS affected_matches FROM split_names n LEFT JOIN unseen u USING (split) GROUP BY 1"""

@@ -65,6 +65,8 @@ versions AS (
 # Period ends of the view: its own 70 % and 85 % boundaries at scale factor 0.01.
 VIEW_TRAIN_CUTOFF = "1999-08-29 00:00:00"
 VIEW_VALIDATION_CUTOFF = "2000-08-09 00:00:00"
+# A period inside it.
+PERIOD = ("1996-03-01 00:00:00", "1998-06-30 00:00:00")
 
 
 def match_view(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from draftline.functions import distinct_values, eligible, outcome
 from draftline.operators import curate as cur
 from draftline.schema import DRAFT
+from draftline.sources import write_bucketed
 
 from fixtures import raw_match, raw_matches
 
@@ -114,3 +115,16 @@ def test_hash_sample_of_nothing_and_of_null_keys(spark):
     df = spark.createDataFrame([(None,), (1,), (1,), (2,)], "k int")
     assert cur.hash_sample(df, "k", 0).count() == 0
     assert sorted(r.k for r in cur.hash_sample(df, "k", 5).collect()) == [1, 1, 2]
+
+
+def test_buckets_spare_the_shuffle(spark):
+    rows = [(i % 40 if i % 9 else None, i * 7 % 100, f"v{i}") for i in range(600)]
+    df = spark.createDataFrame(rows, "k bigint, t bigint, v string")
+    stored = spark.table(write_bucketed(df, ["k"], 4, ["t"]))
+    latest = cur.keep_latest(stored, ["k"], ["t", "v"])
+    assert sorted(latest.collect(), key=str) == sorted(cur.keep_latest(df, ["k"], ["t", "v"]).collect(), key=str)
+    assert "Exchange" not in latest._jdf.queryExecution().executedPlan().toString()
+    other = spark.table(write_bucketed(df.select("k").distinct(), ["k"], 4))
+    joined = stored.join(other.hint("merge"), "k")
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == sum(k is not None for k, *_ in rows)

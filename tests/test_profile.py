@@ -100,3 +100,25 @@ def test_fingerprint_sees_a_value_move_next_to_a_null(spark):
     prints = {prof.fingerprint(spark.createDataFrame(rows, kind)).first().hash_sum for rows in tables}
     assert len(prints) == len(tables)
     assert prof.fingerprint(spark.createDataFrame([], kind)).first() == (0, "0")
+
+
+@pytest.mark.parametrize("keys", [
+    [], [None], [None, None, 5], [-1, 0, 1, -1, 32767, 32768, 32769, -32768, -32769, None, None],
+    [-(2**63), 2**63 - 1, 7, 7], [3] * 50, list(range(-40_000, 40_000, 3)) * 2,
+])
+def test_distinct_and_repeated_keys_in_bitmaps_and_without(spark, keys, monkeypatch):
+    for kind in ("bigint", "int") if all(k is None or abs(k) < 2**31 for k in keys) else ("bigint",):
+        df = spark.createDataFrame([(k,) for k in keys], f"k {kind}").repartition(3)
+        different = len({k for k in keys if k is not None})
+        for rows in (256, 10**9, 1):  # by density, never bitmaps, bitmaps wherever there is a row per range
+            monkeypatch.setattr(prof, "_ROWS_PER_BITMAP", rows)
+            assert prof.distinct_keys(df, "k").first()[0] == different
+            assert prof.repeated_keys(df, "k").first()[0] == len(keys) - different - (None in keys)
+
+
+def test_dense_keys_shuffle_bitmaps(spark):
+    dense = spark.range(100_000).withColumnRenamed("id", "k")
+    plan = prof.distinct_keys(dense, "k")._jdf.queryExecution().toString()
+    assert "bitmap_construct_agg" in plan
+    far = spark.range(100_000).selectExpr("xxhash64(id) AS k")
+    assert "bitmap_construct_agg" not in prof.distinct_keys(far, "k")._jdf.queryExecution().toString()

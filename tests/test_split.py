@@ -1,3 +1,6 @@
+import re
+from datetime import datetime
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -5,6 +8,7 @@ from pyspark.sql import functions as F
 from draftline.functions import flip_where, split_rank
 from draftline.operators import quality, split as sp
 from draftline.schema import DRAFT
+from draftline.sources import read_by_year, write_by_year
 
 from fixtures import match, matches
 
@@ -63,3 +67,28 @@ def test_flip_where_inverts_only_the_masked_rows(spark):
     mask = F.col(DRAFT.time).between("2023-01-01", "2023-12-31")
     rows = df.withColumn(DRAFT.label, flip_where(F.col(DRAFT.label), mask)).orderBy(DRAFT.key).collect()
     assert [r[DRAFT.label] for r in rows] == [1, 0, 1]
+
+
+def test_a_period_reads_its_years_only(spark, tmp_path):
+    rows = [(i, datetime(1990 + i % 10, 1 + i % 12, 1 + i % 28, i % 24)) for i in range(500)] + [(1000, None)]
+    df = spark.createDataFrame(rows, f"match_id bigint, {DRAFT.time} timestamp_ntz")
+    write_by_year(df, str(tmp_path / "years"))
+    stored = read_by_year(spark, str(tmp_path / "years"), df)
+    first, last = datetime(1993, 4, 5, 4), datetime(1995, 8, 20)
+    kept = sp.matches_between(stored, first, last)
+    assert kept.columns == df.columns
+    expected = sorted(i for i, t in rows if t is not None and first <= t <= last)
+    assert sorted(r.match_id for r in kept.collect()) == expected
+    assert sorted(r.match_id for r in sp.matches_between(df, str(first), str(last)).collect()) == expected
+    plan = spark._jvm.PythonSQLUtils.explainString(kept._jdf.queryExecution(), "formatted")
+    assert re.search(r"PartitionFilters: \[.*_year.* >= 1993.*_year.* <= 1995", plan)
+    assert re.search(r"PushedFilters: \[.*GreaterThanOrEqual", plan)
+    assert len(kept.inputFiles()) < len(stored.inputFiles())
+    with pytest.raises(ValueError):
+        sp.matches_between(df, last, first)
+
+
+def test_an_empty_table_by_year(spark, tmp_path):
+    df = spark.createDataFrame([], f"match_id bigint, {DRAFT.time} timestamp_ntz")
+    write_by_year(df, str(tmp_path / "years"))
+    assert read_by_year(spark, str(tmp_path / "years"), df).count() == 0

@@ -171,3 +171,41 @@ def test_stored_tables_follow_their_source_and_go_at_the_end(spark, tmp_path):
         storage._folders[:] = kept
         storage._stored.update(stored)
     assert folder in kept
+
+
+def test_both_solvers_reach_the_optimum(spark, run):
+    train = run.prepared.frame.filter("split = 'train'")
+    weights = [mod.weights(mod.fit_logistic(train, label="radiant_win", solver=s)) for s in ("newton", "lbfgs")]
+    assert np.allclose(weights[0][0] + [weights[0][1]], weights[1][0] + [weights[1][1]], atol=1e-4)
+    slopes = mod.stationarity(run).orderBy("index").collect()
+    assert [r.feature for r in slopes] == [*run.prepared.feature_names, "bias"]
+    assert max(abs(r.slope) for r in slopes) < 1e-9
+    with pytest.raises(ValueError, match="unknown solver"):
+        mod.fit_logistic(train, label="radiant_win", solver="sgd")
+
+
+def test_slopes_show_a_model_off_the_optimum(spark, run):
+    from dataclasses import replace
+
+    train = run.prepared.frame.filter("split = 'train'")
+    off = replace(run, models=run.models | {mod.LOGISTIC: mod.fit_logistic(train, label="radiant_win", C=0.01)})
+    assert max(abs(r.slope) for r in mod.stationarity(off).collect()) > 0.1
+    assert max(abs(r.slope) for r in mod.stationarity(off, C=0.01).collect()) < 1e-9
+
+
+def test_newton_takes_few_passes(spark, run, monkeypatch):
+    fits = []
+    fit = mod.LinearRegression.fit
+    monkeypatch.setattr(mod.LinearRegression, "fit", lambda self, *a: fits.append(1) or fit(self, *a))
+    mod.fit_logistic(run.prepared.frame.filter("split = 'train'"), label="radiant_win")
+    assert 0 < len(fits) <= 15
+
+
+def test_wide_tables_and_steps_that_do_not_settle_take_lbfgs(spark, run, monkeypatch):
+    train = run.prepared.frame.filter("split = 'train'")
+    want = mod.weights(mod.fit_logistic(train, label="radiant_win", solver="lbfgs"))
+    monkeypatch.setattr(mod, "NEWTON_WIDTH", 3)
+    assert mod.weights(mod.fit_logistic(train, label="radiant_win")) == want
+    monkeypatch.undo()
+    monkeypatch.setattr(mod, "_SETTLED", -1.0)
+    assert mod.weights(mod.fit_logistic(train, label="radiant_win")) == want
