@@ -28,16 +28,23 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 #: Their content is not markup; it ends at their own end tag.
 _RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 _DEAD = frozenset(
-    "head nav footer aside form noscript template button select option svg annotation annotation-xml canvas object audio video dialog menu".split()
+    "head nav footer aside noscript template button select option label legend svg annotation annotation-xml canvas object audio"
+    " video dialog menu".split()
 )
-#: Words in class, id or role that mark what surrounds an article.
+#: What may stand in a head; any other start tag, or text, ends a head whose end tag was left out.
+_IN_HEAD = frozenset("head base link meta noscript script style template title".split())
+#: Plain English words in class, id or role for what surrounds an article.
 _BAD = frozenset(
-    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs combx comment comments community"
-    " consent cookie cookies copyright disqus extra foot footer form gdpr header legal login masthead menu menubar"
-    " modal nav navbar navigation newsletter notice notices outbrain overlay pager pagination paywall popup promo promoted"
-    " recommended recommendations related remark replies reply respond rss search share sharing shoutbox sidebar signup skip"
-    " social sponsor sponsored subscribe subscription taboola tags toolbar tooltip trending widget".split()
+    "ad ads adsense advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie"
+    " cookies copyright footer form gdpr header legal login masthead menu menubar modal nav navbar navigation newsletter"
+    " notice notices overlay pagination paywall popup promo promoted recommended recommendations related replies reply"
+    " respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar"
+    " tooltip trending widget".split()
 )
+#: Those that inside an article may as well be said of its own parts; there, only lists of links go by them.
+_OWN = frozenset("banner copyright footer form header legal notice notices overlay respond search skip tags toolbar tooltip trending widget".split())
+#: Elements that are parts of a text, table or picture and never judged by their names.
+_PLAIN = frozenset("h1 h2 h3 h4 h5 h6 tr th td thead tbody tfoot caption p pre blockquote figure figcaption dt dd hgroup".split())
 #: Words that say no more of an element than that it is one.
 _FILL = frozenset(
     "area articles bar block blocks body bottom box button buttons col column component container content entry form group"
@@ -66,8 +73,11 @@ class _Tree:
         self.tag, self.parent, self.dead, self.link, self.block = ["#"], [0], [False], [False], [0]
         self.article, self.weak, self.doubt = [False], [False], [False]
         self.depth, self.blocks, self._text, self._links = [0], [], [], 0
+        self.forms: list[int] = []
         stack, at, low = [0], 0, None
         while m := _TAG.search(page, at):
+            if self.tag[stack[-1]] == "head" and page[at : m.start()].strip():
+                stack.pop()
             self._add(page[at : m.start()], stack[-1])
             at = m.end()
             name = (m[2] or m[5] or "").lower()
@@ -91,6 +101,24 @@ class _Tree:
             self._open(name, m[3] if m[2] else m[6], stack)
         self._add(page[at:], stack[-1])
         self._flush(stack[-1])
+        self._judge_forms()
+
+    def _judge_forms(self) -> None:
+        """Drop the text of forms, but of those around an article, main element or most of the page's text."""
+        if not self.forms:
+            return
+        n, total = len(self.tag), sum(len(b[1]) for b in self.blocks)
+        chars, holds = [0] * n, [t in ("article", "main") for t in self.tag]
+        for node, text, _ in self.blocks:
+            chars[node] += len(text)
+        for node in range(n - 1, 0, -1):
+            chars[self.parent[node]] += chars[node]
+            holds[self.parent[node]] |= holds[node]
+        out = [False] * n
+        small = {f for f in self.forms if not holds[f] and 2 * chars[f] <= total}
+        for node in range(1, n):
+            out[node] = out[self.parent[node]] or node in small
+        self.blocks = [b for b in self.blocks if not out[b[0]]]
 
     def _add(self, text: str, node: int) -> None:
         if text and not self.dead[node]:
@@ -114,17 +142,23 @@ class _Tree:
                     del stack[i:]
                 elif self.tag[stack[i]] in _SCOPE:
                     break
+        if name not in _IN_HEAD:
+            for i in range(len(stack) - 1, 0, -1):
+                if self.tag[stack[i]] == "head":
+                    del stack[i:]
         above = stack[-1]
-        dead = self.dead[above] or name in _DEAD or (name == "header" and not self._inside(above, "article"))
         article = self.article[above] or name in ("article", "main")
+        dead = self.dead[above] or name in _DEAD or (name == "header" and not article)
         weak, doubt = self.weak[above] and name not in ("article", "main"), False
         if not dead and attributes and name not in _SAFE:
-            dead, doubt = self._judged(name, attributes)
+            dead, doubt = self._judged(name, attributes, article)
         # a hint alone counts outside of articles and for lists of links
         self.article.append(article)
         self.weak.append(weak or doubt and not article and name in _BLOCK)
         self.doubt.append(doubt)
         node = len(self.tag)
+        if name == "form" and not dead:
+            self.forms.append(node)
         self.tag.append(name)
         self.parent.append(above)
         self.dead.append(dead)
@@ -133,15 +167,18 @@ class _Tree:
         self.depth.append(self.depth[above] + 1)
         stack.append(node)
 
-    def _judged(self, name: str, attributes: str) -> tuple[bool, bool]:
-        """Whether the attributes show that an element is no part of an article, and whether they hint at it."""
+    def _judged(self, name: str, attributes: str, article: bool) -> tuple[bool, bool]:
+        """Whether the attributes show that an element is no part of an article, and whether they hint at it.
+
+        Hidden elements go, whatever they are. Names are looked at for blocks that can hold an aside alone.
+        """
         strong, bad, good = False, False, False
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or "").strip("\"'")
             if key == "hidden" or key == "aria-hidden" and value.lower().startswith("true") or key == "style" and _NONE.search(value):
                 return True, True
             # ids of headings and sections come from titles
-            if key not in ("class", "id", "role") or name in _HEADINGS or key == "id" and name == "section":
+            if key not in ("class", "id", "role") or name not in _BLOCK or name in _PLAIN or key == "id" and name == "section":
                 continue
             for token in value.split():
                 words = [w.lower() for w in _PART.findall(token)]
@@ -155,7 +192,8 @@ class _Tree:
                     return True, True
                 if parts & _BAD:
                     bad = True
-                    strong = strong or parts <= _BAD | _FILL or key != "id" and words[-1] in _BAD
+                    proof = _BAD - _OWN if article else _BAD
+                    strong = strong or bool(parts & proof) and parts <= _BAD | _FILL or not article and key != "id" and words[-1] in _BAD
                 bad = bad or words[0] in _ALWAYS
         return strong and not good, bad and not good
 
@@ -169,13 +207,6 @@ class _Tree:
             if name not in _BLOCK and self.tag[stack[i]] in _BLOCK:
                 return  # an inline end tag never closes a block
 
-    def _inside(self, node: int, name: str) -> bool:
-        while node:
-            if self.tag[node] == name:
-                return True
-            node = self.parent[node]
-        return False
-
 
 def main_text(page: str | None) -> str:
     """The article of one page: blocks in page order, joined by empty lines.

@@ -256,3 +256,36 @@ def test_pages_lose_nothing_of_the_article(spark):
         inner = re.search(r"<article>(.*?)</article>", row.html, re.S)[1]
         words = re.sub(r"<[^>]*>", " ", inner).replace("&amp;", "&").replace("&quot;", '"').replace("&amp", "&").split()
         assert row.text.split() == words and row.n_chars == len(row.text)
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<body><form id=aspnetForm><nav><a href=x>Home</a></nav><article><p>{LONG}</p></article></form></body>", LONG.strip()),
+        (f"<body><form><div><p>{LONG}</p><p>{LONG}</p></div></form><footer>Foot</footer></body>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><form><p>Leave a reply, dear reader.</p><label>Name</label></form>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<html><head><title>x</title><body><article><p>{LONG}</p></article>", LONG.strip()),
+        (f"<html><head><title>x</title><meta name=a><article><p>{LONG}</p></article>", LONG.strip()),
+        (f"<html><head><title>x</title>{LONG}<p>{LONG}</p>", f"{LONG.strip()}\n\n{LONG.strip()}"),
+        (f"<article><p>{LONG}</p><table><tr class=header><td>Year</td></tr><tr><td>1999</td></tr></table></article>", f"{LONG.strip()}\n\nYear\n\n1999"),
+        (f"<article><div class=section-header><h2>Method</h2></div><p>{LONG}</p></article>", f"Method\n\n{LONG.strip()}"),
+        (f"<article><p>The <span class=tooltip>entropy</span> rises. {LONG}</p></article>", f"The entropy rises. {LONG.strip()}"),
+        (f"<main><header><h1>Title</h1></header><p>{LONG}</p></main>", f"Title\n\n{LONG.strip()}"),
+        (f"<article><p class=extra>More.</p><p>{LONG}</p><figure class=banner><figcaption>Fig. 1</figcaption></figure></article>", f"More.\n\n{LONG.strip()}\n\nFig. 1"),
+    ],
+)
+def test_no_page_is_lost_to_a_form_a_head_or_a_name(page, text):
+    assert main_text(page) == text
+
+
+@pytest.mark.parametrize("change", [
+    lambda page: page.replace("</head>", ""),
+    lambda page: re.sub(r"(<body[^>]*>)", r"\1<form id=aspnetForm method=post>", page).replace("</body>", "</form></body>"),
+    lambda page: page.replace("<article>", "<div>").replace("</article>", "</div>"),
+    lambda page: re.sub("</?body[^>]*>", "", page.replace("</head>", "")),
+])
+def test_pages_read_alike_however_they_are_wrapped(change):
+    pages = pd.read_parquet(f"{SMALL}/pages.parquet").html
+    assert sum(change(page) != page for page in pages) > 0.5 * len(pages)
+    for page in pages:
+        assert main_text(change(page)) == main_text(page)
