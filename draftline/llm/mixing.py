@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import in_batches, n_words, store, with_row_key
 
 WEIGHTS = (3, 1, 2)
+#: Fixed value: fewer blocks than this are drawn by the library.
+LIBRARY_LIMIT = 1_000_000_000
 _ROW = ["_k1", "_k2"]
 
 
@@ -84,18 +86,28 @@ def plan_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
 
 def split_quota(quota: np.ndarray, part: int, random: np.random.Generator) -> np.ndarray:
-    """How many blocks of each source fall into a random part of all: multivariate hypergeometric."""
+    """How many blocks of each source fall into a random part of all: multivariate hypergeometric.
+
+    Beyond the library's limit, every block is first taken by a coin of the part's share, one binomial per
+    source. Given its size, such a set is uniformly random; so it becomes the part by a uniformly random
+    removal of what is too much, or choice of what is missing. That is the same draw of about the square
+    root of the size, so a few rounds lead below the limit, and the distribution is the exact one.
+    """
     total = int(quota.sum())
-    if total < 1_000_000_000:  # the library's limit
+    if total < LIBRARY_LIMIT:
         return random.multivariate_hypergeometric(quota, part, method="marginals")
-    out, left = np.zeros_like(quota), part
-    for i, k in enumerate(quota.tolist()):  # same mean and variance, same exact sum
-        share = k / total if total else 0
-        spread = left * share * (1 - share) * (total - left) / max(total - 1, 1)
-        x = round(random.normal(left * share, max(spread, 0) ** 0.5))
-        out[i] = min(max(x, left - (total - k), 0), k, left)
-        left, total = left - int(out[i]), total - k
-    return out
+    if 2 * part > total:
+        return quota - split_quota(quota, total - part, random)
+    if part <= 64:  # one after the other
+        out = np.zeros_like(quota)
+        for _ in range(part):
+            out[np.searchsorted(np.cumsum(quota - out), random.integers(int((quota - out).sum())), side="right")] += 1
+        return out
+    coins = random.binomial(quota, part / total)
+    missing = part - int(coins.sum())
+    if missing < 0:
+        return coins - split_quota(coins, -missing, random)
+    return coins + split_quota(quota - coins, missing, random)
 
 
 def shard_quotas(quota: np.ndarray, shards: int, shard: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,13 +147,15 @@ def place(planned: DataFrame, shard_blocks: int = 4096, seed: int = 11) -> DataF
         def one(batch):
             for shard in batch.column(0).to_pylist():
                 first, count = shard_quotas(quota, shards, shard, seed)
-                arrays = [pa.array(names), pa.array(first), pa.array(first + count), pa.array([shard] * len(names), pa.int64())]
+                some = count > 0
+                low, high = first[some], (first + count)[some]
+                arrays = [pa.array(names[some]), pa.array(low), pa.array(high), pa.array([shard] * len(low), pa.int64())]
                 yield pa.RecordBatch.from_arrays(arrays, ["_p", "_low", "_high", "shard"])
 
         yield from in_batches(one)(batches)
 
     spark = planned.sparkSession
-    table = spark.range(shards).mapInArrow(ranges, "_p int, _low bigint, _high bigint, shard bigint").where("_low < _high")
+    table = spark.range(shards).mapInArrow(ranges, "_p int, _low bigint, _high bigint, shard bigint")
     width = 1024
     table = table.withColumn("_chunk", F.explode(F.expr(f"sequence(_low div {width}, (_high - 1) div {width})")))
     blocks = planned.where("copies > 0").select("position", "n", "rank", F.explode(F.expr("sequence(0, copies - 1)")).alias("round"))

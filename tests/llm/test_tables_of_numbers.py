@@ -220,3 +220,27 @@ def test_token_files_are_read_selectively(spark, tmp_path, dictionary):
     assert ("RLE_DICTIONARY" in ids.encodings) == dictionary and ("DELTA_BINARY_PACKED" in ids.encodings) != dictionary
     assert "DELTA_BINARY_PACKED" in columns["doc_id"].encodings
     assert ids.has_offset_index and columns["doc_id"].has_column_index
+
+
+@pytest.mark.parametrize("part", [0, 1, 7, 60, 100, 130, 150])
+def test_draws_beyond_the_library_have_the_same_distribution(part, monkeypatch):
+    quota = np.array([90, 0, 15, 45])
+    plain = np.array([np.random.default_rng([1, i]).multivariate_hypergeometric(quota, part) for i in range(8000)])
+    monkeypatch.setattr(mixing, "LIBRARY_LIMIT", 30)
+    found = np.array([mixing.split_quota(quota, part, np.random.default_rng([2, i])) for i in range(8000)])
+    assert (found.sum(axis=1) == part).all() and (found >= 0).all() and (found <= quota).all()
+    for column in range(4):
+        edges = np.arange(-1, 92)
+        a, b = (np.searchsorted(np.sort(x[:, column]), edges, side="right") / len(x) for x in (plain, found))
+        assert abs(a - b).max() < 0.035  # two samples of the same distribution differ by less
+    assert np.allclose(np.cov(plain.T), np.cov(found.T), atol=0.06 * max(1.0, abs(np.cov(plain.T)).max()))
+
+
+def test_shards_of_very_many_blocks_are_complete():
+    quota = np.array([3 * 10**12, 10**9, 5, 0])
+    first = np.zeros(4, dtype=np.int64)
+    for shard in range(7):
+        begin, count = mixing.shard_quotas(quota, 7, shard, 3)
+        assert (begin == first).all() and abs(count.sum() - quota.sum() / 7) < 1
+        first = begin + count
+    assert (first == quota).all()
