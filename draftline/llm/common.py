@@ -43,6 +43,15 @@ def store(df: DataFrame, name: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*stored: DataFrame) -> None:
+    """Delete tables of `store` that everything that reads them has been stored without."""
+    for df in stored:
+        files = df.inputFiles()
+        if files:  # an empty table has none
+            path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def with_row_key(docs: DataFrame) -> DataFrame:
     """Add _k1 and _k2, 128 bits of a row's content; only rows that are equal in all columns share them."""
     cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in sorted(docs.columns)]

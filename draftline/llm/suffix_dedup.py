@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .byte_windows import Hasher, anchors, mix
-from .common import in_batches, store
+from .common import discard, in_batches, store
 
 GRAM = 100
 BLOCK = 16
@@ -166,7 +166,7 @@ def _window_rows(contexts: DataFrame, live: DataFrame, length: int) -> DataFrame
 
 
 def _rerank(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(names of repeats, rows for the next round).
+    """(names of repeats, rows for the next round), both stored.
 
     Rows of one kind share c1 and c2; `known` rows only stand for repeats found before. A kind with
     one row that is not known is open. The next round gets one row of each kind whose rank `g` also
@@ -179,31 +179,42 @@ def _rerank(rows: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     ranks = kinds.groupBy("g").agg(F.count("*").alias("_kinds"), F.max("open").alias("_open"))
     # stored, so that the join below has plain shuffles on both sides and a hot rank can be split
     ranks = store(ranks.where((F.col("_kinds") > 1) & F.col("_open")).select("g"), "open-ranks")
-    following = kinds.join(ranks, "g").select("_one.*", (~F.col("open")).alias("known"))
-    return kinds.where("n > 1").select("c1", "c2"), following
+    following = store(kinds.join(ranks, "g").select("_one.*", (~F.col("open")).alias("known")), "live")
+    names = store(kinds.where("n > 1").select("c1", "c2"), "repeated")
+    discard(kinds, ranks)
+    return names, following
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """_k1, _k2, start, end of every run of windows that also starts elsewhere (see `remove_repeats`)."""
-    found = store(_anchor_rows(docs, length), "anchors", compression="zstd")
+    """_k1, _k2, start, end of every run of windows that also starts elsewhere (see `remove_repeats`).
+
+    Spans are stored as they are found: a string that very many places share is then split over tasks where
+    its places are joined, as nothing else happens in that step, and the tables it took can go.
+    """
+    anchored = store(_anchor_rows(docs, length), "anchors", compression="zstd")
     # most grams are unique; their anchors need no further look
-    shared = store(found.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "shared-grams")
-    found = store(found.join(shared, "g"), "shared-anchors", compression="zstd")
+    shared = store(anchored.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g"), "shared-grams")
+    found = store(anchored.join(shared, "g"), "shared-anchors", compression="zstd")
+    discard(anchored, shared)
     names, live = _rerank(found.withColumn("known", F.lit(False)), [*_KEY, "a", "s", "e"])
-    live = store(live, "live-anchors")
     spans = found.select(*_KEY, "s", "e", "c1", "c2").join(names, ["c1", "c2"])
-    spans = spans.select(*_KEY, F.col("s").alias("start"), (F.col("e") + length).alias("end"))
+    spans = store(spans.select(*_KEY, F.col("s").alias("start"), (F.col("e") + length).alias("end")), "spans")
+    discard(found, names)
 
     contexts = store(_contexts(docs, live, length), "contexts")
     blocks = store(_block_rows(contexts, length), "blocks")
+    discard(live)
     names, live = _rerank(blocks, [*_KEY, "a", "s", "lo", "hi"])
     more = blocks.where(~F.col("known")).join(names, ["c1", "c2"])
-    more = more.select(*_KEY, (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + length).alias("end"))
+    more = store(more.select(*_KEY, (F.col("a") - F.col("hi")).alias("start"), (F.col("a") - F.col("lo") + length).alias("end")), "spans")
+    discard(blocks, names)
 
     windows = store(_window_rows(contexts, live, length), "windows")
+    discard(contexts, live)
     again = windows.groupBy("c1", "c2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     last = windows.where(~F.col("known")).join(again, ["c1", "c2"])
-    last = last.select(*_KEY, F.col("s").alias("start"), (F.col("s") + length).alias("end"))
+    last = store(last.select(*_KEY, F.col("s").alias("start"), (F.col("s") + length).alias("end")), "spans")
+    discard(windows)
     return spans.unionByName(more).unionByName(last)
 
 

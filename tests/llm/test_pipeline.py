@@ -60,12 +60,13 @@ def test_one_of_each_group_stays(stages):
 def test_repeats_are_cut_out(stages):
     before, after = stages[0][2]
     texts = [t.encode() for t in before.text]
-    windows = Counter(hashlib.md5(t[p : p + 400]).digest() for t in texts for p in range(len(t) - 399))
+    n = corpus_pipeline.REPEATED_BYTES
+    windows = Counter(hashlib.md5(t[p : p + n]).digest() for t in texts for p in range(len(t) - n + 1))
     for row, text in zip(before.itertuples(), texts):
         gone = np.zeros(len(text), dtype=bool)
-        for p in range(len(text) - 399):
-            if windows[hashlib.md5(text[p : p + 400]).digest()] > 1:
-                gone[p : p + 400] = True
+        for p in range(len(text) - n + 1):
+            if windows[hashlib.md5(text[p : p + n]).digest()] > 1:
+                gone[p : p + n] = True
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes().decode("utf-8", "ignore")
         found = after[after.doc_id == row.doc_id].iloc[0]
         assert found.text == kept and found.n_chars == len(kept) and found.source == row.source
