@@ -16,6 +16,9 @@ from draftline.llm.packing import cut_pieces, pack
 from draftline.llm.simhash import near_duplicates
 from draftline.llm.suffix_dedup import remove_repeats
 
+#: Bytes of a string that the pipeline removes where it repeats. A passage of over 50 words has some 285 bytes or
+#: more in these texts; 256 leaves none of them, while phrases and sentences that documents share by chance stay.
+REPEATED_BYTES = 256
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -49,10 +52,10 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated strings of 400 bytes are cut out; n_chars follows the text. A character of which only some
+    """Repeated strings of `REPEATED_BYTES` bytes are cut out; n_chars follows the text. A character of which only some
     bytes stay is left out. Documents of which nothing stays remain, with an empty text."""
     prepare(spark)
-    cut = remove_repeats(docs.select(*COLUMNS), rewrite=True)
+    cut = remove_repeats(docs.select(*COLUMNS), length=REPEATED_BYTES, rewrite=True)
     return cut.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
