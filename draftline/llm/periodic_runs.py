@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import words
+from .common import n_words, words
 
 #: Fixed values, a perfect difference set: every distance modulo 13 lies between two of its members.
 _MODULUS, _COVER = 13, (0, 1, 3, 9)
@@ -263,12 +263,19 @@ def with_planted_runs(text: Column, doc_id: Column) -> Column:
     Other texts stay as they are, and so do those without an ID.
     """
     h = F.crc32(doc_id.cast("string").cast("binary"))
-    g, all_words = F.floor(h / 10), words(text)
-    n = F.size(all_words)
-    a = (g % n).cast("int")
-    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
-    moved = F.transform(all_words, lambda w, i: F.when(i < a, w).otherwise(all_words[a + (i - a) % p]))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(moved, " ")).otherwise(text)
+    g = F.floor(h / 10)
+
+    def repeated(row: Column) -> Column:
+        w, a, p = row["w"], row["a"], row["p"]
+        return F.transform(w, lambda x, i: F.when(i < a, x).otherwise(w[a + (i - a) % p]))
+
+    def placed(w: Column) -> Column:
+        n = F.size(w)
+        return F.struct(w.alias("w"), (g % n).cast("int").alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).cast("int").alias("p"))
+
+    # arrays of one element bind the words and places, which would else be made anew for every word
+    bound = F.transform(F.transform(F.array(words(text)), placed), repeated)[0]
+    return F.when((h % 10 == 0) & (n_words(text) > 0), F.array_join(bound, " ")).otherwise(text)
 
 
 def digests(found: DataFrame) -> DataFrame:
