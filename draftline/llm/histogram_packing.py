@@ -8,12 +8,20 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import in_batches, store
 
-_PIECE = "doc_tokens bigint, start bigint, length bigint, part int, turn bigint, ids_crc32 bigint, ids array<int>"
+_PIECE = "doc_tokens bigint, start bigint, length bigint, part int, turn bigint, ids_crc32 bigint, ids binary"
+
+
+def _binary(offsets, ids):
+    """Arrow binaries between byte offsets of an array of ids."""
+    import pyarrow as pa
+
+    buffers = [None, pa.py_buffer(offsets.astype("<i4")), pa.py_buffer(ids.astype("<u4", copy=False))]
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, buffers)
 
 
 def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, id_column: str = "doc_id") -> DataFrame:
     """Every document's ids with `end_id`, cut into full windows and a rest: the ID, doc_tokens, start,
-    length, part, turn, ids_crc32, ids.
+    length, part, turn, ids_crc32, ids (little-endian unsigned 32-bit numbers).
 
     `part` is the input split, `turn` the number of the piece among those of its length in that split:
     together they order the pieces of a length without a sort. NULL and empty texts have the end id alone.
@@ -52,9 +60,7 @@ def encode_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                     "part": batch.column(2).take(pa.array(row)),
                     "turn": pa.array(turn),
                     "ids_crc32": pa.array(crc, pa.int64()),
-                    "ids": pa.ListArray.from_arrays(
-                        pa.array(np.append(begin, at[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))
-                    ),
+                    "ids": _binary(np.append(begin, at[-1]) * 4, ids),  # pieces follow each other as the ids do
                 }
             )
 
@@ -202,7 +208,7 @@ def plan_windows(counts, depth: int = 3):
 
 def pack_histogram(pieces: DataFrame, capacity: int = 2048, depth: int = 3, with_ids: bool = False, id_column: str = "doc_id") -> DataFrame:
     """Place pieces (`encode_pieces`, stored) in sequences: the ID, start, length, ids_crc32, doc_tokens,
-    sequence_id, offset and, on request, ids.
+    sequence_id, offset and, on request, ids (as `encode_pieces` gives them).
 
     The driver sees one count per length. Pieces in planned windows are whole; the rest is laid end to end,
     the longest first, and cut where a window ends. The last window ends in sequences of falling powers of
@@ -249,7 +255,7 @@ def pack_histogram(pieces: DataFrame, capacity: int = 2048, depth: int = 3, with
 
     fixed = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     columns = [id_column, *fixed, *(["ids"] if with_ids else [])]
-    kinds = [T.StructField(c, T.LongType()) for c in fixed] + [T.StructField("ids", T.ArrayType(T.IntegerType()))]
+    kinds = [T.StructField(c, T.LongType()) for c in fixed] + [T.StructField("ids", T.BinaryType())]
     schema = T.StructType([pieces.schema[id_column], *kinds][: len(columns)])
 
     def place(batches):
@@ -294,22 +300,20 @@ def pack_histogram(pieces: DataFrame, capacity: int = 2048, depth: int = 3, with
                 done[row] += stop - here
                 row = row[stop < until[row]]
             r, skip, size, number, offset = np.concatenate(found, axis=1)
-            lists = batch.column("ids")
-            ids = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            begin = lists.offsets.to_numpy()[r] + skip
-            slices = [ids[a:b] for a, b in zip(begin.tolist(), (begin + size).tolist())]
+            r, skip, size = r.tolist(), skip.tolist(), size.tolist()
+            whole = [memoryview(x) for x in batch.column("ids").to_pylist()]
+            slices = [whole[x][4 * a : 4 * (a + n)] for x, a, n in zip(r, skip, size)]
             made = {
                 id_column: batch.column(id_column).take(pa.array(r)),
-                "start": pa.array(take["start"][r] + skip),
-                "length": pa.array(size),
-                "ids_crc32": pa.array([zlib.crc32(s.data) for s in slices], pa.int64()),
+                "start": pa.array(take["start"][r] + np.array(skip)),
+                "length": pa.array(size, pa.int64()),
+                "ids_crc32": pa.array([zlib.crc32(x) for x in slices], pa.int64()),
                 "doc_tokens": pa.array(take["doc_tokens"][r]),
                 "sequence_id": pa.array(number),
                 "offset": pa.array(offset),
             }
             if with_ids:
-                sizes = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                made["ids"] = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(slices).astype(np.int32)))
+                made["ids"] = pa.array([bytes(x) for x in slices], pa.binary())
             yield pa.RecordBatch.from_arrays([made[c] for c in columns], columns)
 
         yield from in_batches(one)(batches)

@@ -125,7 +125,7 @@ def test_packing_keeps_ids_and_deals_a_hot_length(spark):
     found = pack_histogram(pieces, capacity=64, with_ids=True).toPandas()
     assert found.length.sum() == sum(r.length for r in pieces.select("length").collect())
     for row in found.itertuples():
-        assert len(row.ids) == row.length and crc(row.ids) == row.ids_crc32
+        assert len(row.ids) == 4 * row.length and zlib.crc32(row.ids) == row.ids_crc32
     sizes = found.groupby("sequence_id").length.sum()
     assert (sizes <= 64).all() and (sizes & (sizes - 1) == 0).all()
     for _, part in found.sort_values("offset").groupby("sequence_id"):
