@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .functions import flip_where, keep_known, outcome
 from .operators import curate as cur, encode as enc, evaluate as ev, explore as ex, models as mod
-from .operators import profile as prof, quality as q, ranks, roles, split as sp
+from .operators import profile as prof, quality as q, ranks, roles, split as sp, wide
 from .plans import run_curation, run_training
 from .sources import (
     FILE_POSITION,
@@ -392,6 +392,13 @@ def encoded_by_join(spark, folder):
     return enc.encoded_long(enc.encode_with_train_vocabulary(matches, VIEW_TRAIN_CUTOFF, VIEW_VALIDATION_CUTOFF, lookup_span=0))
 
 
+def encoded_by_table(spark, folder):
+    """Encoded rows with a vocabulary that is a stored table."""
+    split = _split(spark, folder)
+    known = wide.fit_stored(sp.of_split(split, "train"))
+    return wide.encode_stored(split, known).select("match_id", "feature", "value")
+
+
 def prior_metrics(spark, folder):
     df = _split(spark, folder).withColumn(DRAFT.label, F.col(DRAFT.label).cast("int"))
     model = mod.ClassPrior(labelCol=DRAFT.label).fit(sp.of_split(df, "train"))
@@ -513,6 +520,7 @@ QUERIES |= {
     "vocabulary_summary": _of_prepared(enc.vocabulary_summary),
     "encoded_long": _of_prepared(enc.encoded_long),
     "encoded_long_by_join": encoded_by_join,
+    "encoded_long_by_table": encoded_by_table,
     "encoded_vectors": encoded_vectors,
     "unseen_hero_summary": _of_prepared(enc.unseen_pick_summary),
     "unseen_hero_catalog": _of_prepared(enc.unseen_pick_catalog),

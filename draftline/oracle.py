@@ -599,6 +599,7 @@ checks AS (
     ),
     "encoded_long": _e("SELECT match_id, feature, value FROM cells"),
     "encoded_long_by_join": _e("SELECT match_id, feature, value FROM cells"),
+    "encoded_long_by_table": _e("SELECT match_id, feature, value FROM cells"),
     "unseen_hero_summary": _v(
         """SELECT n.split, count(u.hero_id) AS unseen_picks, count(DISTINCT u.hero_id) AS unseen_hero_ids,
         count(DISTINCT u.match_id) AS affected_matches FROM split_names n LEFT JOIN unseen u USING (split) GROUP BY 1"""
