@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from fixtures_llm import DOCUMENTS, odd_rows, prose
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from draftline.llm import byte_windows, mixing, neighbours
 from draftline.llm.packing import fullest, pack, plan_bins
 from draftline.llm.suffix_dedup import remove_repeats, spans_of_texts
-from draftline.llm.token_files import encode_documents, read_metadata, read_tokens, write_tokens
+from draftline.llm.token_files import encode_documents, read_metadata, read_tokens, with_blocks, write_tokens
 
 import public_tokenizers  # isort: skip
 
@@ -248,3 +250,32 @@ def test_shards_of_very_many_blocks_are_complete():
         assert (begin == first).all() and abs(count.sum() - quota.sum() / 7) < 1
         first = begin + count
     assert (first == quota).all()
+
+
+@pytest.mark.parametrize("blocks", [1, 4, 16])
+def test_hot_ids_are_dealt_over_blocks_in_order(spark, blocks):
+    random = np.random.default_rng(blocks)
+    ids = [*[None] * 1000, *[7] * 1000, *[2**60 + i for i in range(200)], *random.integers(-500, 500, 800).tolist()]
+    rows = [(i, f"é text {n // 2}" if n % 5 else f"text {n} 😀") for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    dealt, n = with_blocks(docs, blocks)
+    found = dealt.select(F.coalesce("doc_id", F.lit(2**62)).alias("doc_id"), "text", "block").toPandas()
+    assert len(found) == len(rows) and found.block.between(0, n - 1).all() and n <= 2 * blocks + 2
+    ordered = found.sort_values(["doc_id", "text"])
+    assert ordered.block.is_monotonic_increasing
+    assert found.groupby(["doc_id", "text"]).block.nunique().max() == 1
+    if blocks == 16:
+        assert found.block.value_counts().max() < 2.5 * len(rows) / blocks
+
+
+def test_starts_follow_the_order_of_hot_ids(spark, tmp_path):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = [(None if n % 3 == 0 else 5 if n % 3 == 1 else n, f"some text {n} " + "word " * (n % 7)) for n in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    path = str(tmp_path / "tokens")
+    write_tokens(encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"), 2), path)
+    found = read_tokens(spark, path).toPandas().sort_values("start")
+    assert found.start.tolist() == [0, *np.cumsum(found.n_tokens)[:-1]]
+    assert found.doc_id.fillna(2**62).is_monotonic_increasing
+    expected = [(-1 if i is None else i, *tokenizer.encode(t, add_special_tokens=False).ids, 2) for i, t in rows]
+    assert sorted(expected) == sorted((int(i), *ids) for i, ids in zip(found.doc_id.fillna(-1), found.ids))
