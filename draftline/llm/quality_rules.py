@@ -19,27 +19,34 @@ LEAST_ROWS = 30
 _BITS = 7
 
 
-def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+def base_counts(docs: DataFrame, text: str = "text", hash_bits: int = 64) -> DataFrame:
     """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words to each row.
 
     NULL and empty texts count zero everywhere. Windows of three words are found again by sorting
     one number per window, hash above position, inside the row: nothing is unfolded or shuffled.
-    Neighbours with equal hashes are compared word by word.
+    Neighbours with equal hashes are compared word by word. In a text where two of them differ, as the
+    hash keeps fewer bits the longer the text is, the windows themselves are sorted instead.
     """
     df = docs.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).withColumn("_w", words(F.col("_text")))
     df = df.withColumn("n_words", F.size("_w").cast("long"))
     df = df.withColumn("_shift", F.length(F.bin("n_words")))
-    keys = "transform(sequence(0, n_words - 3), i -> shiftleft(xxhash64(_w[i], _w[i + 1], _w[i + 2]), _shift) | i)"
+    window = f"shiftright(xxhash64(_w[i], _w[i + 1], _w[i + 2]), {64 - hash_bits})"
+    keys = f"transform(sequence(0, n_words - 3), i -> shiftleft({window}, _shift) | i)"
     df = df.withColumn("_keys", F.expr(f"IF(n_words > 3, sort_array({keys}), CAST(array() AS array<bigint>))"))
     at = "CAST({} & (shiftleft(1L, _shift) - 1) AS int)".format
-    same = (
-        "(shiftright({0}, _shift) = shiftright({1}, _shift) AND _w[{2}] = _w[{3}]"
-        " AND _w[{2} + 1] = _w[{3} + 1] AND _w[{2} + 2] = _w[{3} + 2])"
-    )
-    before = same.format("_keys[j - 1]", "k", at("_keys[j - 1]"), at("k"))
-    after = same.format("_keys[j + 1]", "k", at("_keys[j + 1]"), at("k"))
+    hashes = "shiftright({0}, _shift) = shiftright({1}, _shift)".format
+    same = "(_w[{0}] = _w[{1}] AND _w[{0} + 1] = _w[{1} + 1] AND _w[{0} + 2] = _w[{1} + 2])".format
+    before = f"{hashes('_keys[j - 1]', 'k')} AND {same(at('_keys[j - 1]'), at('k'))}"
+    after = f"{hashes('_keys[j + 1]', 'k')} AND {same(at('_keys[j + 1]'), at('k'))}"
     found = f"filter(_keys, (k, j) -> (j > 0 AND {before}) OR (j < size(_keys) - 1 AND {after}))"
-    df = df.withColumn("_pos", F.expr(f"sort_array(transform({found}, k -> {at('k')}))"))
+    clash = f"j > 0 AND {hashes('_keys[j - 1]', 'k')} AND NOT {same(at('_keys[j - 1]'), at('k'))}"
+    df = df.withColumn("_clash", F.expr(f"size(filter(_keys, (k, j) -> {clash})) > 0"))
+    whole = "sort_array(transform(sequence(0, n_words - 3), i -> struct(_w[i] AS a, _w[i + 1] AS b, _w[i + 2] AS c, CAST(i AS int) AS i)))"
+    df = df.withColumn("_whole", F.expr(f"IF(_clash, {whole}, NULL)"))
+    beside = "(k.a = _whole[{0}].a AND k.b = _whole[{0}].b AND k.c = _whole[{0}].c)".format
+    exact = f"filter(_whole, (k, j) -> (j > 0 AND {beside('j - 1')}) OR (j < size(_whole) - 1 AND {beside('j + 1')}))"
+    pos = f"IF(_clash, transform({exact}, k -> k.i), transform({found}, k -> {at('k')}))"
+    df = df.withColumn("_pos", F.expr(f"sort_array({pos})"))
     covered = "aggregate(transform(_pos, (p, j) -> IF(j = 0, 3, least(3, p - _pos[j - 1]))), 0, (a, x) -> a + x)"
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     df = df.withColumn("_lines", lines)
@@ -51,7 +58,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_lines": F.size("_lines").cast("long"),
             "n_repeat_words": F.expr(covered).cast("long"),
         }
-    ).drop("_text", "_w", "_shift", "_keys", "_pos", "_lines")
+    ).drop("_text", "_w", "_shift", "_keys", "_clash", "_whole", "_pos", "_lines")
 
 
 def base_failed() -> Column:
