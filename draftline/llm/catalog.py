@@ -22,12 +22,13 @@ from .periodic_runs import collapse_runs, digests, with_planted_runs
 from .quality_rules import apply_rules
 from .simhash import near_duplicates
 from .suffix_dedup import remove_repeats
-from .token_counts import token_counts
+from .token_counts import token_counts, unigram_scores
 from .token_files import encode_documents, read_tokens, with_crc, write_tokens
 
 
 def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    docs = table(spark, folder, "documents")
+    return token_counts(docs, unigram_scores(docs, public_tokenizers.path("piece_bpe_32k.model")))
 
 
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:

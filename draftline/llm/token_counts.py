@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -88,39 +89,99 @@ class TrieCounter:
         return path[-1][2]
 
 
-def piece_scores(model: str) -> dict[str, float]:
-    """Pieces of a public vocabulary with scores of Zipf's law, -ln(rank + 1); control, unknown and byte
-    pieces are left out. Not trained: the rank is the piece's id in the file."""
+def _pieces(library) -> dict[str, int]:
+    """Pieces of a vocabulary that stand for text, with their ids: no control, unknown or byte pieces."""
+    skipped = (library.is_control, library.is_unknown, library.is_byte)
+    ids = [i for i in range(library.get_piece_size()) if not any(is_kind(i) for is_kind in skipped)]
+    return {library.id_to_piece(i): i for i in ids}
+
+
+def piece_counts(docs: DataFrame, model: str, words: int = 200_000) -> DataFrame:
+    """piece (its id) and n: how often the public tokenizer at `model` cuts each piece out of the words of all texts.
+
+    Words are counted before they are cut, `words` different ones at a time, so a word costs one cut however
+    often it stands there. A task hands on at most one row per piece.
+    """
+
+    def run(batches):
+        from itertools import chain
+
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        import sentencepiece
+
+        library = sentencepiece.SentencePieceProcessor(model_file=model)
+        totals, counts = np.zeros(library.get_piece_size(), np.int64), {}
+
+        def cut():
+            found = library.encode(list(counts), num_threads=1)
+            sizes = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter(chain.from_iterable(found), np.int64, int(sizes.sum()))
+            np.add.at(totals, ids, np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), sizes))
+            counts.clear()
+
+        def one(batch):
+            coded = pc.ascii_split_whitespace(pc.fill_null(batch.column(0), "")).flatten().dictionary_encode()
+            times = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
+            for word, n in zip(coded.dictionary.to_pylist(), times.tolist()):
+                if word:
+                    counts[word] = counts.get(word, 0) + n
+            if len(counts) > words:
+                cut()
+            return ()
+
+        for _ in in_batches(one)(batches):
+            pass
+        if counts:
+            cut()
+        used = np.flatnonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(totals[used])], ["piece", "n"])
+
+    return docs.select("text").mapInArrow(run, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def unigram_scores(docs: DataFrame, model: str) -> dict[str, float]:
+    """Log probability of each piece of the public vocabulary at `model`, from its count in all of `docs`.
+
+    One is added to every count, so pieces that never occur have a score, too, and an empty table makes all
+    alike. The vocabulary stays as published; the driver receives one count per piece of it.
+    """
     import sentencepiece
 
-    model = sentencepiece.SentencePieceProcessor(model_file=model)
-    pieces = [
-        model.id_to_piece(i)
-        for i in range(model.get_piece_size())
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))
-    ]
-    return {p: -math.log(rank + 2.0) for rank, p in enumerate(pieces)}
+    pieces = _pieces(sentencepiece.SentencePieceProcessor(model_file=model))
+    found = {r["piece"]: r["n"] for r in piece_counts(docs, model).collect()}
+    counts = {piece: found.get(i, 0) + 1 for piece, i in pieces.items()}
+    total = sum(counts.values())
+    return {piece: math.log(n / total) for piece, n in counts.items()}
 
 
 _counters: dict[str, TrieCounter] = {}
 
 
-def token_counts(docs: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_words and n_tokens of every whole text.
+def _counter(scores: dict[str, float], key: str) -> TrieCounter:
+    """The counter of this Python worker; one for other scores is given up."""
+    if key not in _counters:
+        _counters.clear()
+        _counters[key] = TrieCounter(scores)
+    return _counters[key]
+
+
+def token_counts(docs: DataFrame, scores: dict[str, float]) -> DataFrame:
+    """doc_id, n_words and n_tokens of every whole text, by the best path under `scores`.
 
     Words are cut at ASCII white space and take a leading space mark, so a text's count is the sum over
     its words. NULL, empty and blank texts count zero; repeated rows count alike; other columns are
     ignored. Each worker keeps a trie over its partitions: nothing is shuffled or sent to the driver.
     """
+    key = hashlib.sha256(repr(sorted(scores.items())).encode()).hexdigest()
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if model not in _counters:
-            _counters[model] = TrieCounter(piece_scores(model))
-        counter = _counters[model]
+        counter = _counter(scores, key)
 
         def one(batch):
             lists = pc.ascii_split_whitespace(pc.fill_null(batch.column(1), ""))

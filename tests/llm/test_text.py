@@ -1,7 +1,10 @@
 """Fingerprints, quality counts, token counts, language and main text against plain versions."""
 
+import functools
+import math
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -9,6 +12,7 @@ import pandas as pd
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import sentencepiece
 import xxhash
 from compare import difference
 from fixtures_llm import clashing, odd_rows, write_tables
@@ -19,8 +23,8 @@ from __spark_entry__ import oracle_sql, queries
 from draftline.llm import simhash
 from draftline.llm.html_text import main_text
 from draftline.llm.language import code_words, predict, train
-from draftline.llm.quality_rules import apply_rules
-from draftline.llm.token_counts import TrieCounter, piece_scores
+from draftline.llm.quality_rules import apply_rules, base_counts
+from draftline.llm.token_counts import TrieCounter, piece_counts, unigram_scores
 from draftline.llm.tokens import PieceEncoder
 
 SMALL = "/root/testdata/sf0.01"
@@ -107,6 +111,21 @@ def test_links_connect_just_what_two_bits_connect(spark, pairwise, monkeypatch):
             assert ours == (root(i) == root(j))
 
 
+@pytest.mark.parametrize("bits", [1, 3, 9])
+def test_windows_of_equal_hashes_are_told_apart(spark, bits):
+    random = np.random.default_rng(bits)
+    texts = [" ".join(random.choice(list("abcdefg"), n)) for n in random.integers(0, 200, 60)]
+    texts += [" ".join(map(str, range(n))) for n in (0, 2, 3, 4, 5, 90)] + ["a b c a b c", "a b c x a b c", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r.id: r.n_repeat_words for r in base_counts(docs, hash_bits=bits).collect()}
+    assert found == {r.id: r.n_repeat_words for r in base_counts(docs).collect()}
+    for i, text in enumerate(texts):
+        words = (text or "").split()
+        windows = Counter(zip(words, words[1:], words[2:]))
+        again = {j + k for j, w in enumerate(zip(words, words[1:], words[2:])) if windows[w] > 1 for k in range(3)}
+        assert found[i] == len(again)
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_cached_pieces_give_the_ids_of_whole_texts(name):
     random = np.random.default_rng(1)
@@ -120,8 +139,8 @@ def test_cached_pieces_give_the_ids_of_whole_texts(name):
             assert ids[starts[i] : starts[i + 1]].tolist() == [*expected, 5]
 
 
-def test_trie_counts_equal_the_library_and_do_not_depend_on_the_bound():
-    scores = piece_scores(public_tokenizers.path("piece_bpe_32k.model"))
+def test_trie_counts_equal_the_library_and_do_not_depend_on_the_bound(spark):
+    scores = unigram_scores(spark.read.parquet(f"{SMALL}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model"))
     library = Tokenizer(models.Unigram([("<unk>", min(scores.values())), *scores.items()], unk_id=0))
     library.pre_tokenizer = pre_tokenizers.Metaspace()
     texts = pd.read_parquet(f"{SMALL}/documents.parquet").text
@@ -133,6 +152,55 @@ def test_trie_counts_equal_the_library_and_do_not_depend_on_the_bound():
     assert ours.size < sum(len(w) + 1 for w in words) / 2  # prefixes are shared
 
 
+def plain_scores(texts):
+    """Scores by counting every word of every text on its own."""
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    seen = Counter(i for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t or "") for i in library.encode(w))
+    kept = [
+        i
+        for i in range(library.get_piece_size())
+        if not (library.is_control(i) or library.is_unknown(i) or library.is_byte(i))
+    ]
+    total = sum(seen[i] + 1 for i in kept)
+    return {library.id_to_piece(i): math.log((seen[i] + 1) / total) for i in kept}
+
+
+def plain_tokens(word, scores, unknown):
+    """Tokens of the best path, by a table over all pairs of places."""
+    text, best = "▁" + word, [(0.0, 0)]
+    for end in range(1, len(text) + 1):
+        ways = [
+            (best[start][0] + scores[text[start:end]], start, best[start][1] + 1)
+            for start in range(max(0, end - 64), end)
+            if text[start:end] in scores
+        ]
+        if text[end - 1] not in scores:
+            ways.append((best[end - 1][0] + unknown, end, best[end - 1][1] + len(text[end - 1].encode())))
+        score, _, tokens = max(ways, key=lambda way: (way[0], -way[1]))
+        best.append((score, tokens))
+    return best[-1][1]
+
+
+def test_token_counts_of_whole_texts(spark, tmp_path):
+    rows = odd_rows()
+    found = queries()["op1_token_counts"](spark, write_tables(spark, str(tmp_path), rows))
+    scores = plain_scores([r[1] for r in rows])
+    assert max(map(len, scores)) <= 64
+    unknown = min(scores.values()) - 10.0
+    tokens = functools.cache(lambda word: plain_tokens(word, scores, unknown))
+    expected = []
+    for doc_id, text, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        expected.append((-1 if doc_id is None else doc_id, len(words), sum(map(tokens, words))))
+    assert sorted(map(tuple, found.na.fill(-1, ["doc_id"]).collect())) == sorted(expected)
+
+
+def test_scores_do_not_depend_on_how_many_words_are_cut_at_once(spark):
+    docs, model = spark.read.parquet(f"{SMALL}/documents.parquet"), public_tokenizers.path("piece_bpe_32k.model")
+    some = dict(map(tuple, piece_counts(docs.repartition(5), model, words=50).collect()))
+    assert some == dict(map(tuple, piece_counts(docs, model).collect()))
+
+
 def test_language_on_held_out_documents(spark):
     found = queries()["op8_language_id"](spark, SMALL).toPandas().merge(pd.read_parquet(f"{SMALL}/documents.parquet"), on="doc_id")
     assert (found.held_out == [zlib.crc32(str(i).encode()) % 4 == 2 for i in found.doc_id]).all()
