@@ -113,8 +113,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
 
     The driver sees one count per length and plans bins for lengths, not for pieces. A piece's
     number among those of its length (`order` and ids_crc32 decide; full ties are the same) tells
-    its bin. A length may hold a third of all pieces: it is numbered in hash buckets, each starting
-    at the sum of the buckets before. Empty tables stay empty; other columns are carried along.
+    its bin. A length may hold a third of all pieces, and so may a NULL doc_id: they are numbered in hash
+    buckets of `order` and ids_crc32, each starting at the sum of the buckets before. Empty tables stay empty; other columns are carried along.
     """
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
@@ -131,7 +131,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, order: tuple[str, ...] = ("doc
     slots.sort()
 
     salts = partitions(pieces.sparkSession)
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(*order, "ids_crc32"), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     starts = sums.select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
