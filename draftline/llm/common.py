@@ -54,8 +54,10 @@ def discard(*stored: DataFrame) -> None:
 
 def with_row_key(docs: DataFrame) -> DataFrame:
     """Add _k1 and _k2, 128 bits of a row's content; only rows that are equal in all columns share them."""
-    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\u0000")) for c in sorted(docs.columns)]
-    return docs.withColumns({"_k1": F.xxhash64(*cells), "_k2": F.xxhash64(*reversed(cells), F.lit(1))})
+    names = sorted(docs.columns)
+    cells = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names]
+    nulls = F.concat(*[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in names])
+    return docs.withColumns({"_k1": F.xxhash64(*cells, nulls), "_k2": F.xxhash64(nulls, *reversed(cells), F.lit(1))})
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import in_batches, n_words, store, with_row_key
 
@@ -11,6 +11,7 @@ WEIGHTS = (3, 1, 2)
 #: Fixed value: fewer blocks than this are drawn by the library.
 LIBRARY_LIMIT = 1_000_000_000
 _ROW = ["_k1", "_k2"]
+_GROUP = ["position", "_perm", "size", "_byte"]
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = 150) -> DataFrame:
@@ -49,32 +50,35 @@ def plan_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     Whole documents are taken: each source as many times as its target has whole rounds, and then a
     prefix of its documents in the order of md5(seed, doc_id), up to the document whose middle reaches
-    the target. Places in that order are found per (source, first three hex digits) and added up, so
-    no source, however large, is ordered by one task.
+    the target. Rows that also agree in size and in the first byte of their key form a group; a group's
+    places follow from its number of rows, and groups are added up per (source, first three hex digits).
+    So neither a source nor a NULL or repeated doc_id, however large, is ordered by one task: of such a
+    doc_id one task sees one row per size and byte. Only rows equal in all columns stay together.
     """
     perm = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = with_row_key(docs).select(
         *_ROW, "doc_id", "source", n_words(F.col("text")).alias("size"), perm.alias("_perm")
     )
-    sized = store(sized.withColumn("_bucket", F.substring("_perm", 1, 3)), "sizes")
-    buckets = store(
-        sized.groupBy("source", "_bucket").agg(F.count("*").alias("_n"), F.sum("size").alias("_s")), "size-buckets"
-    )
-    sources = buckets.groupBy("source").agg(F.sum("_n").alias("n"), F.sum("_s").alias("source_size"))
-    sources = store(targets(sources), "targets")
-    earlier = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = buckets.select(
-        F.col("source").alias("_source"),
-        F.col("_bucket").alias("_in"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"),
-        F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s0"),
-    )
-    starts = starts.join(sources, F.col("_source").eqNullSafe(sources.source)).drop("source")
-    joined = sized.join(starts, sized.source.eqNullSafe(starts._source) & (F.col("_bucket") == F.col("_in")))
-    inside = Window.partitionBy("source", "_bucket").orderBy("_perm", "doc_id", "size", *_ROW)
-    ranked = joined.withColumn("rank", F.col("_n0") + F.row_number().over(inside) - 1).withColumn(
-        "_before", F.col("_s0") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    )
+    sized = store(sized, "sizes")
+    sources = sized.groupBy("source").agg(F.count("*").alias("n"), F.sum("size").alias("source_size"))
+    sources = store(targets(sources).withColumnRenamed("source", "_source"), "targets")
+    joined = sized.join(sources, sized.source.eqNullSafe(F.col("_source")))
+    joined = joined.withColumn("_byte", F.shiftright("_k1", 56))
+    groups = joined.groupBy(*_GROUP).agg(F.count("*").alias("_n"))
+    groups = store(groups.withColumn("_bucket", F.substring("_perm", 1, 3)).withColumn("_s", F.col("_n") * F.col("size")), "size-groups")
+    buckets = groups.groupBy("position", "_bucket").agg(F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+
+    def before(column: str, window: Window) -> Column:
+        return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    earlier = Window.partitionBy("position").orderBy("_bucket")
+    bases = buckets.select("position", "_bucket", before("_n", earlier).alias("_n0"), before("_s", earlier).alias("_s0"))
+    inside = Window.partitionBy("position", "_bucket").orderBy("_perm", "size", "_byte")
+    starts = groups.withColumns({"_n1": before("_n", inside), "_s1": before("_s", inside)}).join(bases, ["position", "_bucket"])
+    starts = starts.select(*_GROUP, (F.col("_n0") + F.col("_n1")).alias("_n"), (F.col("_s0") + F.col("_s1")).alias("_s"))
+    turn = F.row_number().over(Window.partitionBy(*_GROUP).orderBy(*_ROW)) - 1
+    ranked = joined.withColumn("_turn", turn).join(starts, _GROUP)
+    ranked = ranked.withColumn("rank", F.col("_n") + F.col("_turn")).withColumn("_before", F.col("_s") + F.col("_turn") * F.col("size"))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     ranked = ranked.withColumn("_rounds", rounds).withColumn(
         "_extra", F.col("target") - F.col("_rounds") * F.col("source_size")

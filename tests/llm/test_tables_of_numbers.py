@@ -1,6 +1,7 @@
 """Packing, mixing, anchors, neighbours and token files."""
 
 import bisect
+import hashlib
 import itertools
 from collections import Counter
 
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from draftline.llm import byte_windows, mixing, neighbours
+from draftline.llm.common import with_row_key
 from draftline.llm.packing import fullest, pack, plan_bins
 from draftline.llm.suffix_dedup import remove_repeats, spans_of_texts
 from draftline.llm.token_files import encode_documents, read_metadata, read_tokens, with_blocks, write_tokens
@@ -279,3 +281,40 @@ def test_starts_follow_the_order_of_hot_ids(spark, tmp_path):
     assert found.doc_id.fillna(2**62).is_monotonic_increasing
     expected = [(-1 if i is None else i, *tokenizer.encode(t, add_special_tokens=False).ids, 2) for i, t in rows]
     assert sorted(expected) == sorted((int(i), *ids) for i, ids in zip(found.doc_id.fillna(-1), found.ids))
+
+
+def test_mix_of_a_hot_null_id_follows_the_plain_order(spark):
+    random = np.random.default_rng(8)
+    rows = [(None if n % 3 == 0 else 7 if n % 3 == 1 else n, f"w{n} " * int(random.integers(0, 9)), "ab"[n % 5 == 0]) for n in range(900)]
+    rows += rows[:20]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    plan = mixing.plan_copies(docs)
+    found = plan.toPandas().sort_values(["position", "rank"])
+    perm = found.doc_id.map(lambda x: hashlib.md5(f"mix|{'' if x != x else int(x)}".encode()).hexdigest())
+    for position, part in found.assign(perm=perm).groupby("position"):
+        expected = part.sort_values(["perm", "size", "_k1", "_k2"], kind="stable")
+        assert part["rank"].tolist() == list(range(len(part))) and (part.n == len(part)).all()
+        assert part[["perm", "size", "_k1", "_k2"]].values.tolist() == expected[["perm", "size", "_k1", "_k2"]].values.tolist()
+        rounds = int(part.target.iloc[0] // part.source_size.iloc[0])
+        before = part["size"].cumsum() - part["size"]
+        more = part.target.iloc[0] - rounds * part.source_size.iloc[0]
+        assert (part.copies == rounds + ((more > 0) & (2 * before + part["size"] <= 2 * more))).all()
+
+
+def test_hot_null_ids_of_one_length_are_dealt_over_buckets(spark):
+    rows = spark.range(4000).selectExpr("IF(id % 3 = 0, NULL, id) doc_id", "0 piece", "700L length", "id * 7919 ids_crc32")
+    salts = 8
+    salted = rows.where("doc_id IS NULL").withColumn("s", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    assert salted.groupBy("s").count().agg(F.max("count")).first()[0] < 2 * 1334 / salts
+    found = pack(rows).toPandas()
+    assert len(found) == 4000 and found.groupby("sequence_id").length.sum().max() <= 2048
+    assert not found.duplicated(["sequence_id", "offset"]).any()
+    again = pack(rows.repartition(7)).toPandas()
+    columns = ["ids_crc32", "sequence_id", "offset"]
+    assert sorted(found[columns].values.tolist()) == sorted(again[columns].values.tolist())
+
+
+def test_row_keys_tell_null_from_every_text(spark):
+    rows = [(None, "a"), ("\0", "a"), ("", "a"), ("a", None), ("a", "\0"), ("a", ""), ("0", "a"), (None, None)]
+    keyed = with_row_key(spark.createDataFrame(rows, "b string, `a.c` string"))
+    assert keyed.select("_k1").distinct().count() == keyed.select("_k2").distinct().count() == len(rows)
