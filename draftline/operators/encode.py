@@ -161,17 +161,19 @@ class DraftEncoderModel(Model, _EncoderParams):
         """The same by one join over the unfolded cells, for IDs that are spread widely.
 
         Rows are stored first, so that the numbers given to them stay. A cell's value may be in a third
-        of all rows; the join leaves it to the optimizer to send the vocabulary to every task or to
-        split that value.
+        of all rows; a vocabulary of usual size goes to every task, a larger one is merged, which lets
+        Spark split that value. Both joins are told so: a table's size in files, where equal values take
+        next to no room, says little of its unfolded cells, which Spark would else take for the side to send.
         """
         rows = materialize(df.withColumn("_row_number", F.monotonically_increasing_id()))
         lookup = df.sparkSession.createDataFrame([(v, p) for p, v in enumerate(ids)], "_value bigint, _position int")
         cells = F.posexplode(F.array(*[F.col(c).cast("bigint") for c in columns])).alias("_cell", "_value")
+        lookup = F.broadcast(lookup) if len(ids) <= BROADCAST_ROWS else lookup.hint("merge")
         found = rows.select("_row_number", cells).join(lookup, "_value")
         per_row = found.groupBy("_row_number").agg(
             *[F.max(F.when(F.col("_cell") == i, F.col("_position"))).alias(name) for i, name in enumerate(names)]
         )
-        joined = rows.join(per_row, "_row_number", "left")
+        joined = rows.join(per_row.hint("merge"), "_row_number", "left")
         return joined.withColumns({name: F.coalesce(name, F.lit(-1)) for name in names}).select(*df.columns, *names)
 
     def _transform(self, df: DataFrame) -> DataFrame:

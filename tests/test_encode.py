@@ -183,3 +183,15 @@ def test_fitted_encoder_also_encodes_a_stream(spark, tmp_path):
     key = lambda r: r.match_id
     got = sorted(spark.read.parquet(str(tmp_path / "out")).collect(), key=key)
     assert got == sorted(model.transform(df).select("match_id", "entries").collect(), key=key)
+
+
+def test_joined_lookup_sends_the_vocabulary_not_the_cells(spark, tmp_path):
+    """Rows that next to no bytes in files stand for: their unfolded cells are the larger side all the same."""
+    one = matches(spark, [match(1, "2022-01-01")])
+    one.crossJoin(spark.range(200_000).select(F.col("id").alias("_n"))).drop("_n").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    model = DraftEncoderModel()._set(items=list(range(1, 60_001)), versions=[1], lookupSpan=0)
+    placed = model._joined_positions(rows, DRAFT.pick_ids(), model.item_vocabulary, [f"_p{i}" for i in range(10)])
+    plan = placed._jdf.queryExecution().sparkPlan().toString()
+    assert "BuildLeft" not in plan and "BroadcastHashJoin [_value" in plan
+    assert placed.select("_p0", "_p9").distinct().collect() == [(0, 9)]
