@@ -298,8 +298,10 @@ def stationarity(run: BaselineRun, C: float = 1.0) -> DataFrame:
     train = run.prepared.frame.filter(F.col(schema.split) == SPLITS[0])
     error = entry_scores((values, bias), entries) - F.col(schema.label).cast("double")
     one = F.array(F.struct(F.lit(len(names)).alias("index"), F.lit(1.0).alias("value")))
-    cells = train.select(error.alias("_error"), F.inline(F.concat(entries, one)))
-    sums = cells.groupBy("index").agg(F.sum(F.col("_error") * F.col("value")).alias("_sum"))
+    # Each row's cells carry its error, so that it is computed once and not again for every cell.
+    shares = F.transform(F.concat(entries, one), lambda e: F.struct(e["index"].alias("index"), (F.col("_error") * e["value"]).alias("_share")))
+    cells = train.select(entries, error.alias("_error")).select(F.inline_outer(shares))
+    sums = cells.groupBy("index").agg(F.sum("_share").alias("_sum"))
     rows = [(i, n, w) for i, (n, w) in enumerate(zip([*names, _BIAS.strip("_")], [*values, bias]))]
     table = train.sparkSession.createDataFrame(rows, "index int, feature string, weight double")
     slope = F.col("weight") + F.lit(C) * F.coalesce("_sum", F.lit(0.0))

@@ -209,3 +209,9 @@ def test_wide_tables_and_steps_that_do_not_settle_take_lbfgs(spark, run, monkeyp
     monkeypatch.undo()
     monkeypatch.setattr(mod, "_SETTLED", -1.0)
     assert mod.weights(mod.fit_logistic(train, label="radiant_win")) == want
+
+
+def test_slopes_score_a_row_once(run):
+    """The error of a row is found before its cells are unfolded."""
+    plan = mod.stationarity(run)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.index("generate") < plan.index("exp(") and "exp(" not in plan[: plan.index("generate")]
