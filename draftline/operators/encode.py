@@ -141,21 +141,24 @@ class DraftEncoderModel(Model, _EncoderParams):
         """(index, feature) of every feature, as a DataFrame in the session of `df`."""
         return df.sparkSession.createDataFrame(list(enumerate(self.feature_names)), "index int, feature string")
 
-    def _positions(self, df: DataFrame, columns: Sequence[str], ids: Sequence[int], names: Sequence[str]) -> DataFrame:
-        """Add the vocabulary position of each column, -1 if unknown."""
+    def _positions(self, df: DataFrame, columns: Sequence[str], ids: Sequence[int], name: str) -> DataFrame:
+        """Add the vocabulary positions of the columns as one array, -1 for the unknown.
+
+        One lookup is written for all columns: a copy for each would make the generated method too long for
+        the JVM to compile, and it would be interpreted for every row.
+        """
         span = self.getOrDefault(self.lookupSpan) if self.isSet(self.lookupSpan) else LOOKUP_SPAN
         if ids[-1] - ids[0] <= span:
             known = {value: position for position, value in enumerate(ids)}
             cells = ",".join(str(known.get(v, -1)) for v in range(ids[0], ids[-1] + 1))
             table = F.split(F.lit(cells), ",").cast("array<int>")  # folded into one constant
-            found = {
-                name: F.when(
-                    F.col(c).between(ids[0], ids[-1]), F.get(table, (F.col(c).cast("bigint") - ids[0]).cast("int"))
-                ).otherwise(-1)
-                for c, name in zip(columns, names)
-            }
-            return df.withColumns(found)
-        return self._joined_positions(df, columns, ids, names)
+            values = F.array(*[F.col(c).cast("bigint") for c in columns])
+            return df.withColumn(
+                name,
+                F.transform(values, lambda v: F.when(v.between(ids[0], ids[-1]), F.get(table, (v - ids[0]).cast("int"))).otherwise(-1)),
+            )
+        names = [f"{name}{i}" for i in range(len(columns))]
+        return self._joined_positions(df, columns, ids, names).withColumn(name, F.array(*names)).drop(*names)
 
     def _joined_positions(self, df: DataFrame, columns: Sequence[str], ids: Sequence[int], names: Sequence[str]) -> DataFrame:
         """The same by one join over the unfolded cells, for IDs that are spread widely.
@@ -181,23 +184,20 @@ class DraftEncoderModel(Model, _EncoderParams):
         self._require_input(df)
         s, width = self.schema, len(items)
         ids, version = s.pick_ids(), F.col(s.version)
-        positions = [f"_p{i}" for i in range(len(ids))]
-        placed = self._positions(df, ids, items, positions)
-        placed = self._positions(placed, [s.version], versions, ["_v"])
-
-        incomplete = F.lit(False)
-        for c in ids:
-            incomplete = incomplete | F.col(c).isNull()
-        first, second = positions[: s.slots], positions[s.slots :]
+        placed = self._positions(df, ids, items, "_p")
+        placed = self._positions(placed, [s.version], versions, "_v")
+
+        incomplete = F.array_contains(F.array(*[F.col(c).isNull() for c in ids]), True)
+        first, second = F.slice("_p", 1, s.slots), F.slice("_p", s.slots + 1, s.slots)
         unknown = F.array(F.lit(-1))
         # A pick on both sides keeps the second side's sign, and a repeated pick counts once.
-        minus = F.array_except(F.array(*second), unknown)
-        plus = F.array_except(F.array(*first), F.concat(F.array(*second), unknown))
+        minus = F.array_except(second, unknown)
+        plus = F.array_except(first, F.concat(second, unknown))
         placed = placed.withColumns(
             {
                 "_plus": F.when(incomplete, F.raise_error(f"encoder input: {s.item} ID columns contain missing values").cast("array<int>")).otherwise(plus),
                 "_minus": minus,
-                **{f"_u{n}": sum(((F.col(p) == -1).cast("int") for p in side), F.lit(0)) for n, side in enumerate((first, second))},
+                **{f"_u{n}": F.lit(s.slots) - F.size(F.array_remove(side, -1)) for n, side in enumerate((first, second))},
             }
         )
         none_int, none_double = F.array().cast("array<int>"), F.array().cast("array<double>")
@@ -209,14 +209,14 @@ class DraftEncoderModel(Model, _EncoderParams):
             seen = F.col(f"_u{n}") > 0
             index.append(F.when(seen, F.array(F.lit(width + n))).otherwise(none_int))
             value.append(F.when(seen, F.array(F.col(f"_u{n}").cast("double"))).otherwise(none_double))
-        in_vocabulary = version.isNotNull() & (F.col("_v") >= 0)
+        in_vocabulary = version.isNotNull() & (F.get("_v", 0) >= 0)
         unknown_version = width + 2 + len(versions)
-        index.append(F.array(F.when(in_vocabulary, F.col("_v") + width + 2).otherwise(unknown_version)))
+        index.append(F.array(F.when(in_vocabulary, F.get("_v", 0) + width + 2).otherwise(unknown_version)))
         value.append(F.array(F.lit(1.0)))
         pairs = F.sort_array(F.arrays_zip(F.concat(*index).alias("index"), F.concat(*value).alias("value")))
 
         entries = self.getOrDefault(self.entriesCol)
-        return self.with_vector(placed.withColumn(entries, pairs).drop(*positions, "_v", "_plus", "_minus", "_u0", "_u1"))
+        return self.with_vector(placed.withColumn(entries, pairs).drop("_p", "_v", "_plus", "_minus", "_u0", "_u1"))
 
     def with_vector(self, encoded: DataFrame) -> DataFrame:
         """Add the feature vector to rows that have their entries."""

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -195,3 +196,17 @@ def test_joined_lookup_sends_the_vocabulary_not_the_cells(spark, tmp_path):
     plan = placed._jdf.queryExecution().sparkPlan().toString()
     assert "BuildLeft" not in plan and "BroadcastHashJoin [_value" in plan
     assert placed.select("_p0", "_p9").distinct().collect() == [(0, 9)]
+
+
+def method_sizes(df, capsys):
+    """Bytes of the largest generated method of every subtree; the JVM compiles none of more than 8000."""
+    capsys.readouterr()
+    df.explain(mode="codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+
+
+def test_encoding_is_short_enough_to_be_compiled(spark, tmp_path, capsys):
+    matches(spark, [match(1, "2022-01-01"), match(2, "2023-01-01", radiant=(1, 2, 3, 4, 99))]).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    sizes = method_sizes(enc.encode_with_train_vocabulary(rows).frame.drop("features"), capsys)
+    assert sizes and max(sizes) <= 8000
