@@ -232,8 +232,7 @@ _outputs: dict[tuple, str] = {}
 
 def _curated_file(spark, folder):
     """The whole curated table as a CSV export in time order."""
-    table = cur.curate(match_view(spark, folder), version_view(spark, folder), rows=None)
-    return _written(spark, folder, "curated-csv", lambda path: write_csv(table, path))
+    return _written(spark, folder, "curated-csv", lambda path: write_csv(cur.in_time_order(_matches(spark, folder)), path))
 
 
 def curated_csv(spark, folder):

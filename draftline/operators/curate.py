@@ -119,6 +119,10 @@ def curate(
         kept = hash_sample(kept, schema.key, rows)
     latest = latest_eligible(kept, schema).withColumn(schema.label, outcome(schema))
     table = with_version_name(latest, versions, schema).select(*schema.curated_columns())
-    if ordered:
-        table = table.orderBy(F.col(schema.time).asc_nulls_last(), F.col(schema.key).asc_nulls_last())
-    return table
+    return in_time_order(table, schema) if ordered else table
+
+
+def in_time_order(table: DataFrame, schema: DraftSchema = DRAFT) -> DataFrame:
+    """Rows by time, then key. Spark reads the rows twice, first for the limits of its ranges, so pass a
+    table that is stored if it is large and costly to derive."""
+    return table.orderBy(F.col(schema.time).asc_nulls_last(), F.col(schema.key).asc_nulls_last())

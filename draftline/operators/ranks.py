@@ -116,13 +116,18 @@ def order_breaks(df: DataFrame, value: str, sequence: str, within: Sequence[str]
 
 
 def sequence_ends(df: DataFrame, value: str, sequence: str, within: Sequence[str] = ()) -> DataFrame:
-    """Rows, smallest and largest value of every sequence value, stored."""
+    """Rows, smallest and largest value of every sequence value; stored, unless natural pieces are given.
+
+    Ranges of the sequence take several readings; given pieces take one, which needs no stored copy of a
+    table that may have a row, and the names of its pieces, for every row of `df`.
+    """
     low, high = F.min(value).alias("_low"), F.max(value).alias("_high")
-    return materialize(df.groupBy(*within, sequence).agg(F.count("*").alias("_rows"), low, high))
+    ends = df.groupBy(*within, sequence).agg(F.count("*").alias("_rows"), low, high)
+    return ends if within else materialize(ends)
 
 
 def breaks_between(ends: DataFrame, sequence: str, within: Sequence[str] = ()) -> DataFrame:
-    """`order_breaks` of stored `sequence_ends`."""
+    """`order_breaks` of `sequence_ends`."""
     ends = ends.where(F.col("_low").isNotNull()).drop("_rows")
     pieces, by = (ends, list(within)) if within else (with_range_bucket(ends, sequence), ["_bucket"])
     before = F.lag("_high").over(Window.partitionBy(*by).orderBy(sequence))

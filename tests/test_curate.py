@@ -128,3 +128,20 @@ def test_buckets_spare_the_shuffle(spark):
     joined = stored.join(other.hint("merge"), "k")
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == sum(k is not None for k, *_ in rows)
+
+
+def test_export_orders_the_stored_table(spark, tmp_path, monkeypatch):
+    """Ordering reads its rows twice, so the duplicates are not ranked below it."""
+    from draftline import catalog
+
+    written = []
+    monkeypatch.setattr(catalog, "write_csv", lambda df, path: written.append(df))
+    orders = "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz"
+    rows = spark.range(500).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey", "CAST(timestampadd(DAY, 500 - id, TIMESTAMP '1997-01-01') AS timestamp_ntz) AS o_orderdate")
+    assert rows.schema.simpleString() == spark.createDataFrame([], orders).schema.simpleString()
+    rows.write.parquet(str(tmp_path / "orders.parquet"))
+    catalog._curated_file(spark, str(tmp_path))
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort" in plan and "Window" not in plan
+    times = [r[0] for r in written[0].select("match_start_date_time").collect()]
+    assert times == sorted(times) and len(times) > 100

@@ -73,3 +73,9 @@ def test_a_hot_sequence_value_becomes_one_row(spark):
     assert ranks.order_breaks(df, "v", "i").first().breaks == 2  # before its smallest and after its largest
     plan = df.where("v IS NOT NULL").groupBy("i").agg(F.min("v"), F.max("v"))._jdf.queryExecution().executedPlan().toString()
     assert plan.index("HashAggregate") < plan.index("Exchange") < plan.rindex("HashAggregate")  # reduced below the shuffle
+
+
+def test_given_pieces_are_read_once_and_not_stored(spark, monkeypatch):
+    monkeypatch.setattr(ranks, "materialize", lambda df: pytest.fail("stored"))
+    df = spark.createDataFrame([("a", 0, 3), ("a", 1, 2), ("b", 2, 1), ("b", 3, None), ("b", 4, 5)], "piece string, place int, v int")
+    assert ranks.order_breaks(df, "v", "place", ["piece"]).first().breaks == 2
