@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..schema import raw_struct
-from .storage import stored_once
+from .storage import spread, stored_once
 
 _STEPS = range(10)
 _SIGNAL = " ".join(f"{'+' if i < 5 else '-'} (h{i} * 37 % 101 - 50)" for i in _STEPS)
@@ -73,7 +73,7 @@ def match_view(spark: SparkSession, folder: str) -> DataFrame:
     """The view, stored as a Parquet table as raw matches are in practice."""
 
     def derive() -> DataFrame:
-        orders = spark.read.parquet(f"{folder}/orders.parquet")
+        orders = spread(spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderdate"))
         return spark.sql(f"WITH {MATCH_VIEW_CTES.replace('FROM orders', 'FROM {orders}')} SELECT * FROM match_view", orders=orders)
 
     return stored_once(spark, f"{folder}/orders.parquet", "match_view", derive)

@@ -19,6 +19,7 @@ from draftline.sources import (
     with_file_position,
     write_csv,
 )
+from draftline.sources.match_view import match_view
 
 from fixtures import RAW, raw_match
 
@@ -119,3 +120,16 @@ def test_materialized_rows_have_no_lineage(spark):
 def test_raw_layout_has_130_columns():
     kinds = [f.dataType.simpleString() for f in raw_struct()]
     assert {k: kinds.count(k) for k in set(kinds)} == {"string": 56, "bigint": 34, "smallint": 32, "int": 5, "timestamp_ntz": 3}
+
+
+def test_matches_of_one_row_group_are_derived_by_many_tasks(spark, tmp_path):
+    """Also where a third of the rows share one key."""
+    key = "CASE WHEN id % 3 = 0 THEN 97 ELSE id END"
+    orders = spark.range(250_000).selectExpr(f"{key} AS o_orderkey", "id % 7 AS o_custkey", "TIMESTAMP_NTZ '1997-01-01' AS o_orderdate")
+    orders.coalesce(1).write.parquet(path := str(tmp_path / "orders.parquet"))
+    (file,) = (tmp_path / "orders.parquet").glob("*.parquet")
+    assert pq.ParquetFile(file).num_row_groups == 1
+    view = match_view(spark, str(tmp_path))
+    held = [r["count"] for r in view.groupBy(F.input_file_name()).count().collect()]
+    assert max(held) < 100_000
+    assert sum(held) == 250_000 + spark.read.parquet(path).filter("o_orderkey % 97 = 0").count()
