@@ -28,31 +28,37 @@ class TrieCounter:
         self.scores, self.most, self.words = scores, nodes, words
         self.counts, self.old = {}, {}
         self.reach = max(map(len, scores))
-        #: Longest piece by its last two characters: no longer strings need to be looked up.
-        self.longest: dict[str, int] = {}
-        for piece in scores:
-            self.longest[piece[-2:]] = max(self.longest.get(piece[-2:], 1), len(piece))
+        #: Pieces from their last character to their first, as (score if a piece starts here, next characters).
+        self.ends: dict[str, tuple] = {}
+        for piece, score in scores.items():
+            children = self.ends
+            for letter in piece[:0:-1]:
+                children = children.setdefault(letter, (None, {}))[1]
+            children[piece[0]] = score, children.get(piece[0], (None, {}))[1]
         self.unknown = min(scores.values()) - 10.0
         self._clear()
 
     def _clear(self) -> None:
-        self.root, self.size = ({}, 0.0, 0), 0
-
-    def _step(self, text: str, end: int, path: list[tuple]) -> tuple[dict, float, int]:
-        """The node for text[:end]; path[i] is that of text[:i]."""
-        get, best, n = self.scores.get, None, 0
-        for start in range(max(0, end - self.longest.get(text[max(0, end - 2) : end], 1)), end):
-            score = get(text[start:end])
+        #: Nodes are numbers, the root is 0: the node that follows (node, code point), and (score, tokens) of each.
+        #: Plain numbers, as a million objects that refer to others keep the garbage collector busy.
+        self.after, self.ways, self.size = {}, [(0.0, 0)], 0
+
+    def _step(self, text: str, end: int, path: list[tuple] | dict[int, tuple]) -> tuple[float, int]:
+        """Score and tokens of text[:end]; path[i] has those of text[:i]."""
+        children, start, best, n = self.ends, end, None, 0
+        while start and (found := children.get(text[start - 1])):
+            start -= 1
+            score, children = found
             if score is not None:
-                _, before, tokens = path[start]
+                before, tokens = path[start]
                 score += before
-                if best is None or score > best:
+                if best is None or score >= best:  # the longest of equal ways
                     best, n = score, tokens + 1
         if text[end - 1] not in self.scores:
-            score = path[end - 1][1] + self.unknown
+            score = path[end - 1][0] + self.unknown
             if best is None or score > best:
-                best, n = score, path[end - 1][2] + len(text[end - 1].encode("utf-8", "surrogatepass"))
-        return {}, best, n
+                best, n = score, path[end - 1][1] + len(text[end - 1].encode("utf-8", "surrogatepass"))
+        return best, n
 
     def count(self, word: str) -> int:
         found = self.counts.get(word)
@@ -71,22 +77,23 @@ class TrieCounter:
         text = _SPACE + word
         if len(word) > _LONG:
             # only the last `reach` prefixes matter to the next one
-            path = {0: ({}, 0.0, 0)}
+            path = {0: (0.0, 0)}
             for end in range(1, len(text) + 1):
                 path[end] = self._step(text, end, path)
                 path.pop(end - self.reach, None)
-            return path[len(text)][2]
+            return path[len(text)][1]
         if self.size > self.most:
             self._clear()
-        path = [self.root]
-        for end in range(1, len(text) + 1):
-            children, letter = path[-1][0], text[end - 1]
-            node = children.get(letter)
+        after, ways, node, path = self.after, self.ways, 0, [(0.0, 0)]
+        for end, letter in enumerate(text, 1):
+            place = node << 21 | ord(letter)
+            node = after.get(place)
             if node is None:
-                node = children[letter] = self._step(text, end, path)
+                node = after[place] = len(ways)
+                ways.append(self._step(text, end, path))
                 self.size += 1
-            path.append(node)
-        return path[-1][2]
+            path.append(ways[node])
+        return path[-1][1]
 
 
 def _pieces(library) -> dict[str, int]:
@@ -124,7 +131,7 @@ def piece_counts(docs: DataFrame, model: str, words: int = 200_000) -> DataFrame
         def one(batch):
             coded = pc.ascii_split_whitespace(pc.fill_null(batch.column(0), "")).flatten().dictionary_encode()
             times = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
-            for word, n in zip(coded.dictionary.to_pylist(), times.tolist()):
+            for word, n in zip(coded.dictionary.to_numpy(zero_copy_only=False).tolist(), times.tolist()):
                 if word:
                     counts[word] = counts.get(word, 0) + n
             if len(counts) > words:

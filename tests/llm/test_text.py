@@ -1,6 +1,7 @@
 """Fingerprints, quality counts, token counts, language and main text against plain versions."""
 
 import functools
+import gc
 import math
 import re
 import zlib
@@ -152,6 +153,15 @@ def test_trie_counts_equal_the_library_and_do_not_depend_on_the_bound(spark):
     assert ours.size < sum(len(w) + 1 for w in words) / 2  # prefixes are shared
 
 
+def test_trie_nodes_are_no_objects_of_the_garbage_collector():
+    counter = TrieCounter({"▁": -1.0, "▁a": -2.0, "ab": -2.5, "ba": -3.0, "a": -3.0, "b": -3.0})
+    gc.collect()
+    before = len(gc.get_objects())
+    counts = [counter.count(f"{i:013b}".replace("0", "a").replace("1", "b")) for i in range(5000)]
+    gc.collect()
+    assert len(counts) < counter.size and len(gc.get_objects()) - before < counter.size / 10
+
+
 def plain_scores(texts):
     """Scores by counting every word of every text on its own."""
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
