@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import in_batches, store
+from .common import in_batches, merged, store
 from .components import components
 
 #: Buckets of at most so many fingerprints are compared pair by pair, larger ones through neighbours.
@@ -75,7 +75,7 @@ def links(prints: DataFrame) -> DataFrame:
     """
     index = signatures(prints)
     shared = index.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = store(index.join(shared, "key"), "simhash-buckets")
+    members = store(index.join(merged(shared), "key"), "simhash-buckets")
     near = "flatten(transform(p, x -> transform(filter(p, y -> y > x AND bit_count(x ^ y) <= 2), y -> struct(x AS a, y AS b))))"
     small = members.where(F.col("n") <= PAIRWISE).groupBy("key").agg(F.collect_list("print").alias("p"))
     pairs = small.select(F.inline(F.expr(near)))
@@ -101,4 +101,4 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     lowest = linked.groupBy("_root").agg(F.min("_first").alias("component_id"))
     of_print = linked.join(lowest, "_root").select(F.col("print").alias("_print"), "component_id")
     hexed = F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint")
-    return prints.join(of_print, F.col("print") == F.col("_print")).select(id_column, hexed, "component_id")
+    return prints.join(merged(of_print), F.col("print") == F.col("_print")).select(id_column, hexed, "component_id")

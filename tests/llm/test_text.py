@@ -112,6 +112,28 @@ def test_links_connect_just_what_two_bits_connect(spark, pairwise, monkeypatch):
             assert ours == (root(i) == root(j))
 
 
+def test_signatures_are_not_broadcast(spark, monkeypatch):
+    """64 rows of each fingerprint, of which Spark knows the bytes of one."""
+    plans, keep = {}, simhash.store
+
+    def watch(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(simhash, "store", watch)
+    simhash.links(spark.range(2000).selectExpr("xxhash64(id) AS print"))
+    assert "SortMergeJoin" in plans["simhash-buckets"] and "Broadcast" not in plans["simhash-buckets"]
+
+
+def test_fingerprints_of_all_rows_are_not_broadcast(spark):
+    """NULL ids and one text take next to no bytes in a file, however many rows have them."""
+    docs = spark.range(3000).selectExpr("IF(id > 9, NULL, id) AS doc_id", "IF(id % 3 = 0, 'a b c d', 'e f g h') AS text")
+    found = simhash.near_duplicates(docs)
+    joins = [x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in x]
+    assert "SortMergeJoin [print" in joins[0]
+    assert found.count() == 3000 and found.where("component_id IS NULL").count() == 0
+
+
 @pytest.mark.parametrize("bits", [1, 3, 9])
 def test_windows_of_equal_hashes_are_told_apart(spark, bits):
     random = np.random.default_rng(bits)
