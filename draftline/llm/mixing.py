@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import in_batches, n_words, store, with_row_key
+from .common import in_batches, merged, n_words, store, with_row_key
 
 WEIGHTS = (3, 1, 2)
 #: Fixed value: fewer blocks than this are drawn by the library.
@@ -77,7 +77,7 @@ def plan_copies(docs: DataFrame, seed: str = "mix") -> DataFrame:
     starts = groups.withColumns({"_n1": before("_n", inside), "_s1": before("_s", inside)}).join(bases, ["position", "_bucket"])
     starts = starts.select(*_GROUP, (F.col("_n0") + F.col("_n1")).alias("_n"), (F.col("_s0") + F.col("_s1")).alias("_s"))
     turn = F.row_number().over(Window.partitionBy(*_GROUP).orderBy(*_ROW)) - 1
-    ranked = joined.withColumn("_turn", turn).join(starts, _GROUP)
+    ranked = joined.withColumn("_turn", turn).join(merged(starts), _GROUP)
     ranked = ranked.withColumn("rank", F.col("_n") + F.col("_turn")).withColumn("_before", F.col("_s") + F.col("_turn") * F.col("size"))
     rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     ranked = ranked.withColumn("_rounds", rounds).withColumn(
@@ -165,7 +165,7 @@ def place(planned: DataFrame, shard_blocks: int = 4096, seed: int = 11) -> DataF
     blocks = planned.where("copies > 0").select("position", "n", "rank", F.explode(F.expr("sequence(0, copies - 1)")).alias("round"))
     blocks = blocks.withColumn("_block", F.col("round") * F.col("n") + F.col("rank"))
     blocks = blocks.withColumn("_c", F.expr(f"_block div {width}"))
-    placed = blocks.join(table, (F.col("position") == F.col("_p")) & (F.col("_c") == F.col("_chunk")))
+    placed = blocks.join(merged(table), (F.col("position") == F.col("_p")) & (F.col("_c") == F.col("_chunk")))
     placed = placed.where((F.col("_block") >= F.col("_low")) & (F.col("_block") < F.col("_high")))
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64(F.lit(seed), "position", "_block"), "position", "_block")
     placed = placed.withColumn("place", F.row_number().over(shuffled) - 1)
@@ -189,10 +189,10 @@ def mix(docs: DataFrame) -> DataFrame:
     """The columns of `docs`, one row per taken copy, with shard and place; rows of a shard lie together
     in their shuffled order."""
     planned = plan_copies(docs)
-    where = place(planned).join(planned.select(*_ROW, "position", "rank"), ["position", "rank"])
+    where = place(planned).join(merged(planned.select(*_ROW, "position", "rank")), ["position", "rank"])
     # equal rows stand for each other: one of them meets the places of all
     one = Window.partitionBy(*_ROW).orderBy(F.lit(0))
     rows = with_row_key(docs).withColumn("_turn", F.row_number().over(one)).where("_turn = 1")
-    out = rows.join(where.select(*_ROW, "shard", "place"), _ROW).select(*docs.columns, "shard", "place")
+    out = rows.join(merged(where.select(*_ROW, "shard", "place")), _ROW).select(*docs.columns, "shard", "place")
     return out.repartition(F.col("shard")).sortWithinPartitions("shard", "place")
 

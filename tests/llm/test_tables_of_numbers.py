@@ -127,6 +127,21 @@ def test_mix_repeats_whole_rows_and_agrees_with_its_plan(spark):
     assert sorted(found.place) == list(range(len(found)))  # one shard
 
 
+def test_no_table_of_documents_is_broadcast(spark, monkeypatch):
+    plans, keep = {}, mixing.store
+
+    def watch(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name)
+
+    monkeypatch.setattr(mixing, "store", watch)
+    docs = spark.range(300).selectExpr("id AS doc_id", "repeat('a b ', 9) AS text", "concat('s', id % 40) AS source")
+    mixed = mixing.mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert mixed.count("SortMergeJoin") == 3 and "Broadcast" not in mixed
+    sent = [x for x in plans["copies"].splitlines() if "BroadcastHashJoin" in x]
+    assert sent and not any("_perm" in x for x in sent)
+
+
 def test_anchor_depends_on_the_window_alone(monkeypatch):
     random = np.random.default_rng(6)
     data = random.integers(97, 100, 4000).astype(np.uint8)
